@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, toxicity
+from tidemark.llm import bpe, decontaminate, secrets, toxicity
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
@@ -19,6 +19,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -28,7 +36,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_bpe": op7_bpe, "op10_toxicity": op10_toxicity}
+    return {"op2_secrets": op2_secrets, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
