@@ -3,7 +3,8 @@
 A-Z are lower-cased; words are runs of letters, digits and everything beyond ASCII. A window is ten
 consecutive words of an item; an item of fewer words, but not none, is one window. Only DataFrame
 functions are used. The set is broadcast while it holds at most ``BROADCAST_WINDOWS`` windows (counted
-first); a larger one is joined by a shuffle on the window's hash. Equal hashes are verified word by word.
+first); a larger one is joined by a shuffle on the key. The key
+hashes a window's first, middle and last word; equal keys are verified word by word.
 
 Defined cases: null and empty texts have no words and are clean; null items are no items' windows; items
 of equal text are all reported; rows equal in id and text are reported as often as they occur; an empty
@@ -20,12 +21,14 @@ from tidemark.llm.stage import keyed
 WINDOW = 10
 #: Windows (of about 200 bytes each) up to which the benchmark's set is broadcast.
 BROADCAST_WINDOWS = 500_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words, in ASCII; one look-up table also lower-cases.
+BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    line = F.trim(F.translate(F.coalesce(text, F.lit("")), BREAKS + UPPER, " " * len(BREAKS) + LOWER))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " +"))
 
 
 def starts(size: Column, length: int) -> Column:
@@ -34,17 +37,17 @@ def starts(size: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per distinct window: ``gram`` (its words), ``gram_hash`` and the ``items`` that hold it."""
+    """One row per distinct window: ``gram`` (its words), ``gram_hash`` (of its anchors) and the ``items`` that hold it."""
     items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"))
     size = F.size("w")
     grams = F.when(size >= window, F.transform(starts(size, window), lambda i: F.slice("w", i, window))).when(size > 0, F.array("w"))
-    rows = items.select("item_id", F.explode(grams).alias("gram"))
-    return rows.groupBy("gram").agg(F.collect_set("item_id").alias("items")).withColumn("gram_hash", F.xxhash64("gram"))
+    rows = items.select("item_id", F.explode_outer(grams).alias("gram")).filter(F.col("gram").isNotNull())
+    return rows.groupBy("gram").agg(F.collect_set("item_id").alias("items")).withColumn("gram_hash", anchors(F.col("gram"), F.lit(0), F.size("gram")))
 
 
-def probe(length: int) -> Column:
-    """Place, length and hash of every window of ``length`` words."""
-    return F.transform(starts(F.size("w"), length), lambda i: F.struct(i.alias("at"), F.lit(length).alias("n"), F.xxhash64(F.slice("w", i, length)).alias("h")))
+def anchors(words: Column, at: Column, n: Column) -> Column:
+    """The hash of a window's first, middle and last word (zero-based ``at``): the key of the set."""
+    return F.xxhash64(F.get(words, at), F.get(words, at + F.shiftright(n, 1)), F.get(words, at + n - 1))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -55,21 +58,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     lengths = sorted(r["n"] for r in facts) or [window]
     small = sum(r["count"] for r in facts) <= BROADCAST_WINDOWS
     parsed = keyed(docs).select("doc_id", "text_hash", words(F.col("text")).alias("w"))
-    # One row at place 0 stands for the document itself, so that one pass gives counts and hits.
-    probes = [F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("h")))]
-    probes += [probe(n) for n in lengths]
-    rows = parsed.select("doc_id", "text_hash", "w", F.concat(*probes).alias("probes")).select("doc_id", "text_hash", "w", F.explode("probes").alias("p"))
-    seen = F.slice("w", F.greatest("p.at", F.lit(1)), F.col("p.n"))
+    # Every word place is a probe; place 0 (or none, without words) also stands for the document, so that one pass
+    # gives counts and hits. Generate, probe and join run as one compiled stage, in which ``w`` isn't copied.
+    rows = parsed.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("at", "word"))
+    rows = rows.withColumn("n", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
+    whole = (F.coalesce("at", F.lit(0)) == 0) & (F.col("n") == lengths[0])
+    key, seen = anchors(F.col("w"), F.col("at"), F.col("n")), F.slice("w", F.coalesce("at", F.lit(0)) + 1, F.col("n"))
     if small:
         grams = F.broadcast(grams)
-        match = (F.col("p.h") == F.col("gram_hash")) & (F.col("p.at") > 0) & (seen == F.col("gram"))
+        # Two inequalities, as an equality would become part of the join key and cut a window at every word.
+        match = (key == F.col("gram_hash")) & (seen >= F.col("gram")) & (seen <= F.col("gram"))
     else:  # the window travels, not the document
-        rows = rows.select("doc_id", "text_hash", F.size("w").alias("size"), "p", F.when(F.col("p.at") > 0, seen).alias("seen"))
-        match = (F.col("p.h") == F.col("gram_hash")) & (F.col("seen") == F.col("gram"))
-    found = rows.join(grams, match, "left").filter((F.col("p.at") == 0) | F.col("items").isNotNull())
-    places = F.when(F.col("items").isNotNull(), F.struct("p.at", "p.n"))
+        rows = rows.select("doc_id", "text_hash", F.size("w").alias("size"), "at", "n", key.alias("key"), seen.alias("seen"))
+        match = (F.col("key") == F.col("gram_hash")) & (F.col("seen") == F.col("gram"))
+    found = rows.join(grams, match, "left").filter(whole | F.col("items").isNotNull())
+    places = F.when(F.col("items").isNotNull(), F.struct((F.col("at") + 1).alias("at"), "n"))
     size = F.size("w") if small else F.col("size")
-    merged = found.select("doc_id", "text_hash", F.when(F.col("p.at") == 0, size).alias("size"), places.alias("place"), "items").groupBy("doc_id", "text_hash").agg(
+    merged = found.select("doc_id", "text_hash", F.when(whole, size).alias("size"), places.alias("place"), "items").groupBy("doc_id", "text_hash").agg(
         F.max("size").cast("bigint").alias("n_words"),
         F.count("size").cast("int").alias("copies"),
         F.collect_set("place").alias("places"),

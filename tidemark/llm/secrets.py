@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the runs AKIA[A-Z0-9]+ of 16 or more characters
 HEX = r"[0-9a-f]{32,}"  # the runs [0-9a-f]+ of 32 or more characters
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"  # a whole run, with a digit
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Least bits per character within a window, for hexadecimal and for mixed candidates (at most log2(20) = 4.32).
@@ -33,7 +33,7 @@ ALLOW = (
 )
 
 
-def located(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
+def located(text: Column, pattern: str, kind: int, needs: Column, keep: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<start, kind, end, text>>``: the pieces between
     the matches and the matches themselves, laid end to end, give the places."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -49,7 +49,7 @@ def located(text: Column, pattern: str, kind: int, keep: Column | None = None) -
         whole = F.concat(acc["out"], F.array(span))
         return F.struct(end.alias("at"), (whole if keep is None else F.when(F.length(m["g"]) >= keep, whole).otherwise(acc["out"])).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(empty)
+    return F.when(needs & text.rlike(pattern), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(empty)
 
 
 def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
@@ -90,8 +90,8 @@ def suspicious(c: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``found`` (base and entropy spans), each sorted by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.array_sort(F.concat(located(text, ASSIGN, 0, F.lit(8)), located(text, ACCESS, 1), located(text, HEX, 2)))
-    docs = docs.withColumns({"base": base, "candidates": F.filter(located(text, CANDIDATE, 3), lambda s: suspicious(s["text"]))})
+    base = F.array_sort(F.concat(located(text, ASSIGN, 0, text.contains(":") | text.contains("="), F.lit(8)), located(text, ACCESS, 1, text.contains("AKIA")), located(text, HEX, 2, F.lit(True))))
+    docs = docs.withColumns({"base": base, "candidates": F.filter(located(text, CANDIDATE, 3, F.lit(True)), lambda s: suspicious(s["text"]))})
     apart = F.filter("candidates", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return docs.withColumn("found", F.array_sort(F.concat("base", apart))).drop("candidates")
 
