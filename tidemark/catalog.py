@@ -1,4 +1,93 @@
 """The registered queries of the event-study operators and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import events as E
+
+LOOKBACK, THETA = 12, 1.0
+
+
+def _bars(spark: SparkSession, sf: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return E.bars(orders.select(F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price")))
+
+
+def _signal(spark: SparkSession, sf: str) -> DataFrame:
+    series = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "ts", "value")
+    z = E.zscores(series, "event_type", ["ts", "event_id"], "value", LOOKBACK)
+    # A threshold must not hang on the last bits of a double.
+    z = z.withColumn("z", F.round("z", 6)).withColumn("position", E.positions(F.col("z"), THETA))
+    return E.turnover(z, "event_type", ["ts", "event_id"])
+
+
+def price_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(spark, sf).select(F.col("session").cast("string").alias("session"), "open", "high", "low", "close", "volume")
+
+
+def asof_next_open(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    day = F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") * 37 % 2420).cast("int"))
+    minutes = F.when(F.col("doc_id") % 5 == 0, 570).otherwise(F.col("doc_id") * 97 % 1440)
+    found = E.next_open(docs.select("doc_id", day.alias("day"), minutes.alias("minutes")), _bars(spark, sf))
+    return found.select("doc_id", F.col("entry").cast("string").alias("entry"))
+
+
+def forward_returns(spark: SparkSession, sf: str) -> DataFrame:
+    found = E.forward_returns(_bars(spark, sf))
+    return found.select(F.col("session").cast("string").alias("session"), *[F.round(c, 8).alias(c) for c in found.columns[1:]])
+
+
+def trailing_zscore(spark: SparkSession, sf: str) -> DataFrame:
+    return _signal(spark, sf).select("event_id", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "z")
+
+
+def positions_turnover(spark: SparkSession, sf: str) -> DataFrame:
+    return _signal(spark, sf).select("event_id", "position", "turnover")
+
+
+def signal_summary(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("position")
+    return _signal(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.count("z").alias("n_usable"), F.round(F.avg("z"), 6).alias("z_mean"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.count_if(p == 1).alias("n_long"), F.count_if(p == -1).alias("n_short"), F.count_if(p == 0).alias("n_flat"), F.sum("turnover").cast("bigint").alias("turnover"))
+
+
+def calendar_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of one calendar that the other lacks, both ways."""
+    have = _bars(spark, sf).select(F.col("session").alias("day"))
+    other = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day")).filter(F.weekday("day") < 5).distinct()
+    gone = other.join(have, "day", "left_anti").withColumn("issue", F.lit("missing_from_prices"))
+    return gone.unionByName(have.join(other, "day", "left_anti").withColumn("issue", F.lit("not_a_session"))).select(F.col("day").cast("string").alias("day"), "issue")
+
+
+QUERIES: dict = {f.__name__: f for f in (asof_next_open, price_bars, forward_returns, trailing_zscore, positions_turnover, signal_summary, calendar_check)}
+
+_BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+  min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
+  FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1)"""
+_PAST = f"OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {LOOKBACK} PRECEDING AND 1 PRECEDING)"
+_SIGNAL = f"""m AS (SELECT event_id, event_type, ts, value, count(value) {_PAST} AS n, avg(value) {_PAST} AS a, stddev_samp(value) {_PAST} AS s FROM events),
+z AS (SELECT *, CASE WHEN n = {LOOKBACK} THEN a END AS mu, CASE WHEN n = {LOOKBACK} THEN s END AS sigma,
+  CASE WHEN n = {LOOKBACK} AND s > 0 THEN round((value - a) / s, 6) END AS z FROM m),
+p AS (SELECT *, CASE WHEN z > {THETA} THEN 1 WHEN z < -{THETA} THEN -1 ELSE 0 END AS position FROM z),
+t AS (SELECT *, abs(position - lag(position, 1, 0) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS turnover FROM p)"""
+
+ORACLES: dict = {
+    "price_bars": f'WITH {_BARS} SELECT CAST(session AS VARCHAR) AS session, open, high, low, "close", volume FROM bars',
+    "asof_next_open": f"""WITH {_BARS}, r AS (SELECT doc_id, CAST(DATE '1995-01-02' + CAST(doc_id * 37 % 2420 AS INTEGER) AS TIMESTAMP)
+  + to_minutes(CASE WHEN doc_id % 5 = 0 THEN 570 ELSE doc_id * 97 % 1440 END) AS at FROM documents),
+o AS (SELECT session, CAST(session AS TIMESTAMP) + INTERVAL 570 MINUTE AS at FROM bars)
+SELECT r.doc_id, CAST(o.session AS VARCHAR) AS entry FROM r ASOF LEFT JOIN o ON r.at < o.at""",
+    "forward_returns": f"WITH {_BARS} SELECT CAST(session AS VARCHAR) AS session, "
+    + ", ".join(f'round(lead("close", {h}) OVER (ORDER BY session) / open - 1, 8) AS fwd_ret_{h}' for h in (1, 3, 5, 10, 20))
+    + " FROM bars",
+    "trailing_zscore": f"WITH {_SIGNAL} SELECT event_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, z FROM t",
+    "positions_turnover": f"WITH {_SIGNAL} SELECT event_id, position, turnover FROM t",
+    "signal_summary": f"""WITH {_SIGNAL} SELECT event_type, count(*) AS n, count(z) AS n_usable, round(avg(z), 6) AS z_mean, min(z) AS z_min, max(z) AS z_max,
+  count(*) FILTER (position = 1) AS n_long, count(*) FILTER (position = -1) AS n_short, count(*) FILTER (position = 0) AS n_flat,
+  CAST(sum(turnover) AS BIGINT) AS turnover FROM t GROUP BY event_type""",
+    "calendar_check": f"""WITH {_BARS}, l AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session FROM lineitem WHERE isodow(l_shipdate) <= 5)
+SELECT CAST(session AS VARCHAR) AS day, 'missing_from_prices' AS issue FROM l ANTI JOIN bars USING (session)
+UNION ALL SELECT CAST(session AS VARCHAR), 'not_a_session' FROM bars ANTI JOIN l USING (session)""",
+}
