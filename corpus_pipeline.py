@@ -1,11 +1,49 @@
-"""The corpus pipeline: its stages are filled in as their operators are done."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, then token ids.
 
-STAGES: list = []
+Each stage reads what its predecessor kept. The first four return the columns of ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bagminhash, bpe, decontaminate, secrets, toxicity
+from tidemark.llm.queries import tokenizer_path
+from tidemark.llm.stage import staged, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at the threshold or above go."""
+    model = toxicity.train(docs.filter(~toxicity.held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    return model.score(docs).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return bagminhash.representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redacted(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of every document."""
+    return bpe.encoded(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES: list = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("bpe", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
