@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bagminhash, bpe, decontaminate, secrets, toxicity
+from tidemark.llm import bagminhash, bpe, decontaminate, secrets, toxicity, warc
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+OP1_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN o ON p.d = o.d AND n >= 1000"""
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, manifest).drop("url")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
