@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bagminhash, bpe, decontaminate, secrets, toxicity, warc
+from tidemark.llm import bagminhash, bpe, decontaminate, repeats, secrets, toxicity, warc
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
@@ -35,6 +35,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
