@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bpe, decontaminate, repeats, secrets, toxicity, warc
+from tidemark.llm import bagminhash, bpe, decontaminate, hamming, repeats, secrets, toxicity, warc
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
@@ -39,6 +40,13 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries are the rows whose id is divisible by 20; each is searched for among all rows."""
+    codes = hamming.codes(table(spark, sf_dir, "embeddings"))
+    found = hamming.nearest(codes, codes.filter(F.col("id") % 20 == 0))
+    return found.select(F.col("id").alias("vec_id"), F.col("neighbours.id").alias("neighbour_ids"), F.col("neighbours.distance").alias("distances"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
