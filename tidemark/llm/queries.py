@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bpe, decontaminate, hamming, repeats, secrets, toxicity, warc
+from tidemark.llm import bagminhash, bpe, decontaminate, hamming, ppm, repeats, secrets, toxicity, warc
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
@@ -51,6 +51,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
