@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidemark.llm import bagminhash as B
 
@@ -23,8 +24,19 @@ def texts():
     return out + out[20:24]
 
 
-def test_classes_equal_brute_force(spark):
-    rows = list(enumerate(texts()))
+def kin():
+    """Pairs of near copies whose bases are alike, but less than the threshold: buckets of many classes."""
+    rng, base = random.Random(8), [f"b{i}" for i in range(300)]
+    for _ in range(25):
+        words = [f"y{rng.randrange(9999)}" if rng.random() < 0.03 else w for w in base]
+        yield " ".join(words)
+        words[rng.randrange(300)] = "z"
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("make", [texts, kin])
+def test_classes_equal_brute_force(spark, make):
+    rows = list(enumerate(make()))
     got = {r.doc_id: r.class_id for r in B.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     label = {i: i for i, _ in rows}
     for i, a in rows:

@@ -5,12 +5,11 @@ dyadic levels (0,1], (1,2], (2,4], ...; each element has one Poisson process on
 carry a time, a signature place and a weight within the level. A point counts iff its weight is at most
 the element's, so elements of different counts share the points below both, and two signatures agree at
 a place with the weighted Jaccard similarity as probability. Signatures of ``BANDS * ROWS`` places are
-cut into bands; all texts of a bucket are paired with its smallest and its largest member (not with each
-other), and the pairs' multisets are compared whole. Links at ``SIMILARITY`` or above make classes.
+cut into bands; all texts of a bucket are paired with its smallest and its largest member, and the pairs'
+multisets are compared whole. Links at ``SIMILARITY`` or above make classes. Texts of one bucket that are
+then still in different classes are compared with each other, so pairs are spared only within a class.
 
-At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**30 < 1e-5. Two texts of one bucket
-whose only link is to each other, and not to a smallest or largest member of any of their buckets, are
-not compared.
+At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**30 < 1e-5.
 
 Defined cases: null texts are empty; equal texts are one class whatever their words; a text of one to
 four words has one shingle; texts without words have no links to different texts; repeated rows share a
@@ -157,6 +156,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def between_classes(keys: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs of a bucket that are still in different classes, without those tested before."""
+    labelled = staged(keys.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "near-labelled")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("band")
+    left = staged(labelled.join(mixed, "band"), "near-mixed")
+    right = left.select("band", F.col("node").alias("other"), F.col("label").alias("its"))
+    pairs = left.join(right, "band").filter("label < its").select(F.least("node", "other").alias("left"), F.greatest("node", "other").alias("right")).distinct()
+    return pairs.join(tested, ["left", "right"], "left_anti")
+
+
 def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row ``doc_id, node, label``: rows of one near-duplicate class have one label."""
     rows = staged(banded(docs), "near-rows")
@@ -169,7 +178,11 @@ def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # One row of each wanted text, chosen by its key before any text travels.
     texts = docs.select(node(), "text").join(wanted, "node", "left_semi")
     bags = staged(packed(texts).groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
-    labels = components(staged(verified(pairs, bags, similarity), "near-edges"))
+    edges = staged(verified(pairs, bags, similarity), "near-edges")
+    labels = components(edges)
+    rest = staged(between_classes(keys.join(buckets.select("band"), "band"), labels, pairs), "near-rest")
+    if not rest.isEmpty():
+        labels = components(edges.union(staged(verified(rest, bags, similarity), "near-more-edges")))
     return staged(rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label")), "near-members")
 
 
