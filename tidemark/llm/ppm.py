@@ -106,19 +106,19 @@ def string_costs(grams: DataFrame, order: int) -> DataFrame:
     seen = staged(grams.filter("n > 0"), "lm-seen")
     contexts = lambda t: t.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("all"), F.count("*").alias("distinct"))
     above = contexts(seen)
-    rest = grams.filter("n = 0").select("gram", F.shiftright("gram", 8).alias("context")).join(above, "context", "left")
+    rest = grams.filter("n = 0").select("gram", F.shiftright("gram", 8).alias("context")).join(above.hint("merge"), "context", "left")
     whole, sorts = F.coalesce("all", F.lit(0)), F.coalesce("distinct", F.lit(0))
     rest = staged(rest.select("gram", F.when(sorts > 0, F.log10(sorts / (whole + sorts))).otherwise(0.0).alias("cost"), sorts.alias("gone")), "lm-rest")
-    known = seen.withColumn("context", F.shiftright("gram", 8)).join(above, "context")
+    known = seen.withColumn("context", F.shiftright("gram", 8)).join(above.hint("merge"), "context")
     costs = known.select(F.col("gram").alias("key"), F.log10(F.col("n") / (F.col("all") + F.col("distinct"))).alias("cost"))
     for length in range(order, 0, -1):  # bytes of the string that are left, its last one included
         shorter = staged(seen.groupBy(low("gram", length).alias("gram")).agg(F.sum("n").alias("n")), "lm-shorter")
         # What the longer context had seen, by its counts here.
         longer = rest.select(low("gram", length + 1).alias("gram")).select(F.shiftright("gram", 8).alias("context")).distinct()
-        left = seen.withColumn("context", F.shiftright("gram", 8)).join(longer, "context").select("context", low("gram", length).alias("gram"))
-        left = left.join(shorter, "gram").groupBy("context").agg(F.sum("n").alias("left_out"))
+        left = seen.withColumn("context", F.shiftright("gram", 8)).join(longer.hint("merge"), "context").select("context", low("gram", length).alias("gram"))
+        left = left.join(shorter.hint("merge"), "gram").groupBy("context").agg(F.sum("n").alias("left_out"))
         here = rest.withColumns({"long": F.shiftright(low("gram", length + 1), 8), "short": low("gram", length), "context": F.shiftright(low("gram", length), 8)})
-        here = here.join(left.withColumnRenamed("context", "long"), "long", "left").join(contexts(shorter), "context", "left").join(shorter.withColumnRenamed("gram", "short"), "short", "left")
+        here = here.join(left.withColumnRenamed("context", "long").hint("merge"), "long", "left").join(contexts(shorter).hint("merge"), "context", "left").join(shorter.withColumnRenamed("gram", "short").hint("merge"), "short", "left")
         d = F.coalesce("distinct", F.lit(0)) - F.col("gone")
         total = F.coalesce("all", F.lit(0)) - F.coalesce("left_out", F.lit(0)) + d
         step = F.when(d <= 0, 0.0).otherwise(F.log10(F.try_divide(F.coalesce("n", d), total)))
@@ -173,9 +173,8 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _by_broadcast(rows: DataFrame, tables: list[DataFrame], order: int, other: float) -> DataFrame:
     def sorted_arrays(t: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = t.toPandas()  # at most BROADCAST_ROWS rows
-        place = np.argsort(found["key"].to_numpy())
-        return found["key"].to_numpy()[place], found["cost"].to_numpy()[place]
+        found = t.sort("key").toArrow()  # at most BROADCAST_ROWS rows
+        return found.column("key").to_numpy(), found.column("cost").to_numpy()
 
     shared = rows.sparkSession.sparkContext.broadcast([sorted_arrays(t) for t in tables])
 
