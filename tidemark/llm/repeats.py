@@ -106,13 +106,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     """Runs of repeated windows per keyed document row: ``doc_id, text_hash, start, n``; adjoining runs stay apart."""
     found = staged(paths(docs, window, seed), "repeats-paths")
     keys = found.groupBy("key").agg(F.count("*").alias("total"), F.min("path").alias("low"), F.max("path").alias("high")).filter("total > 1")
-    hits = staged(found.join(keys.select("key", (F.col("low") == F.col("high")).alias("straight")), "key"), "repeats-hits")
+    # Written first, so that the join has an exchange on either side and Spark can split a hot seed.
+    keys = staged(keys.select("key", (F.col("low") == F.col("high")).alias("straight")), "repeats-keys")
+    hits = staged(found.join(keys, "key"), "repeats-hits")
     branching = hits.filter("not straight")
     order = F.xxhash64("doc_id", "text_hash", "start")  # one source for each path
     sources = [F.max_by(c, order).alias(c) for c in ("doc_id", "text_hash", "start")]
     each = staged(branching.groupBy("key", "path").agg(F.count("*").alias("copies"), F.max("n").alias("n"), *sources), "repeats-branches")
     windows = staged(single_windows(docs, each, window), "repeats-windows")
-    again = windows.groupBy("key", "hash").agg(F.count("*").alias("sources")).filter("sources > 1").drop("sources")
+    again = staged(windows.groupBy("key", "hash").agg(F.count("*").alias("sources")).filter("sources > 1").drop("sources"), "repeats-again")
     lone = windows.filter("copies = 1").join(again, ["key", "hash"]).select("doc_id", "text_hash", F.col("at").alias("start"), F.lit(1).alias("n"))
     copied = branching.join(each.filter("copies > 1").select("key", "path"), ["key", "path"])
     names = ["doc_id", "text_hash", "start", "n"]
