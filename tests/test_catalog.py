@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalog
+from tidemark.functions import text as T
 from tidemark.operators import events as E
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,10 @@ def test_equality_with_the_open_loses(spark):
     sessions = spark.createDataFrame([("2020-03-03",), ("2020-03-04",), ("2020-03-06",)], "s string").selectExpr("date(s) session")
     r = spark.createDataFrame([(1, "2020-03-04", 569), (2, "2020-03-04", 570), (3, "2020-03-05", 900), (4, "2020-03-06", 571), (5, None, 1)], "i int, d string, minutes int").selectExpr("i", "date(d) day", "minutes")
     assert [str(x.entry) for x in E.next_open(r, sessions).orderBy("i").collect()] == ["2020-03-04", "2020-03-06", "2020-03-06", "None", "None"]
+
+
+def test_text_functions(spark):
+    texts = ["For release at 2:00 p.m. EDT. Voting against the action. 2 Members of the board met.", "for release at 13.00 a.m", "PAGE NOT FOUND", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(T.release_minutes(F.col("t")).alias("m"), T.is_error_page(F.col("t")).alias("e"), T.sentences(F.col("t")).alias("s"), "i").orderBy("i").collect()
+    assert [r.m for r in rows] == [840, None, None, None, None] and [r.e for r in rows] == [False, False, True, False, False]
+    assert rows[0].s == ["For release at 2:00 p.m.", "Voting against the action.", "2 Members of the board met."] and rows[3].s == rows[4].s == []

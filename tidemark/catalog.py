@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators import evaluation as V
 from tidemark.operators import events as E
 
 LOOKBACK, THETA = 12, 1.0
+MIN_TEXT_CHARS, COSTS = 400, [0.0, 1.0, 2.0, 5.0, 10.0]
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +64,47 @@ def calendar_check(spark: SparkSession, sf: str) -> DataFrame:
     return gone.unionByName(have.join(other, "day", "left_anti").withColumn("issue", F.lit("not_a_session"))).select(F.col("day").cast("string").alias("day"), "issue")
 
 
-QUERIES: dict = {f.__name__: f for f in (asof_next_open, price_bars, forward_returns, trailing_zscore, positions_turnover, signal_summary, calendar_check)}
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+
+
+def document_flags(spark: SparkSession, sf: str) -> DataFrame:
+    text, error = F.col("text"), T.is_error_page(F.col("text"))
+    return _docs(spark, sf).select("doc_id", error.alias("is_error_page"), (error | (F.length(F.coalesce(text, F.lit(""))) < MIN_TEXT_CHARS)).alias("is_flagged"), T.release_minutes(text).alias("release_minutes"), T.is_scheduled(text).alias("is_scheduled"))
+
+
+def doc_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    return _rounded(V.document_scores(docs, V.scored_sentences(docs)), "s_prob", "s_count", "mean_confidence")
+
+
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    bars = _bars(spark, sf)
+    moves = bars.select("session", F.round(F.col("close") / F.col("open") - 1, 8).alias("move")).join(E.forward_returns(bars), "session")
+    moves = moves.withColumns({"position": E.positions(F.col("move"), 0.1), "series": F.lit("all")})
+    return E.turnover(moves, "series", ["session"])
+
+
+def ic_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
+    long = _moves(spark, sf).unpivot(["session", "move"], [f"fwd_ret_{h}" for h in (1, 3, 5, 10, 20)], "horizon", "fwd").withColumn("fwd", F.round("fwd", 8))
+    return _rounded(V.correlations(long, "horizon", "move", "fwd"), "ic", "t")
+
+
+def cost_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Performance of the strategy at each cost; a return is held to lose at most 99 %."""
+    returns = V.strategy_returns(_moves(spark, sf), "fwd_ret_1", COSTS).withColumn("ret", F.greatest("ret", F.lit(-0.99)))
+    return _rounded(V.performance(returns, "bps", "session"), "growth", "vol", "sharpe", "max_drawdown", "win_rate")
+
+
+QUERIES: dict = {f.__name__: f for f in (asof_next_open, price_bars, forward_returns, trailing_zscore, positions_turnover, signal_summary, calendar_check, split_sentences, document_flags, doc_sentiment, ic_by_horizon, cost_curve)}
 
 _BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
@@ -73,7 +116,36 @@ z AS (SELECT *, CASE WHEN n = {LOOKBACK} THEN a END AS mu, CASE WHEN n = {LOOKBA
 p AS (SELECT *, CASE WHEN z > {THETA} THEN 1 WHEN z < -{THETA} THEN -1 ELSE 0 END AS position FROM z),
 t AS (SELECT *, abs(position - lag(position, 1, 0) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS turnover FROM p)"""
 
+_SENTENCES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), E' \t\n\r\f\x0b'),
+  '([.!?])\s+([A-Z0-9])', E'\\1\n\\2', 'g'), E'\n'), lambda x: trim(x, E' \t\n\r\f\x0b')), lambda x: length(x) >= 15) AS l FROM documents),
+e AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS sentence FROM s)"""
+_MOVES = f"""{_BARS}, v AS (SELECT session, round("close" / open - 1, 8) AS move, {", ".join(f'lead("close", {h}) OVER (ORDER BY session) / open - 1 AS fwd_ret_{h}' for h in (1, 3, 5, 10, 20))} FROM bars),
+q AS (SELECT *, CASE WHEN move > 0.1 THEN 1 WHEN move < -0.1 THEN -1 ELSE 0 END AS position FROM v)"""
+
 ORACLES: dict = {
+    "split_sentences": f"WITH {_SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, sentence FROM e",
+    "document_flags": r"""WITH a AS (SELECT doc_id, coalesce(text, '') AS text, regexp_matches(lower(substr(coalesce(text, ''), 1, 600)), 'page not found|the page you were looking for has been moved|no longer exists') AS bad,
+  regexp_extract(substr(text, 1, 1500), '(?i)for\s+release\s+at\s+(\d{1,2})[:.](\d{2})\s*([ap])\.?\s*m\.?', ['h', 'm', 'p']) AS r FROM documents)
+SELECT doc_id, bad AS is_error_page, bad OR length(text) < 400 AS is_flagged,
+  CASE WHEN TRY_CAST(r.h AS INTEGER) BETWEEN 1 AND 12 AND TRY_CAST(r.m AS INTEGER) < 60 THEN CAST(TRY_CAST(r.h AS INTEGER) % 12 * 60 + TRY_CAST(r.m AS INTEGER) + CASE WHEN lower(r.p) = 'p' THEN 720 ELSE 0 END AS INTEGER) END AS release_minutes,
+  CASE WHEN regexp_matches(lower(text), 'conference call|unscheduled|notation vote|videoconference') THEN FALSE WHEN contains(lower(text), 'meeting') THEN TRUE END AS is_scheduled FROM a""",
+    "doc_sentiment": f"""WITH {_SENTENCES}, g AS (SELECT doc_id, sentence, exp(length(sentence) % 7 / 7.0) AS a, exp(length(sentence) % 5 / 5.0) AS b, exp(0.5) AS c FROM e),
+p AS (SELECT *, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN -1 ELSE 0 END AS y, a + b + c AS z FROM g),
+d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = -1) AS n_neg, avg((a - b) / z) AS sp, avg(greatest(a, b, c) / z) AS mc,
+  count(*) FILTER (regexp_matches(lower(sentence), '^\\s*(voting (for|against) the |in taking the discount rate action|in a related action, the board of governors (approved|voted)|the board of governors of the federal reserve system (approved|voted)|absent and not voting|release date:|for (immediate )?release)')) AS nb FROM p GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg, coalesce(nb, 0) AS n_boilerplate, round(sp, 6) AS s_prob, round(mc, 6) AS mean_confidence,
+  round((n_pos - n_neg) / n, 6) AS s_count FROM documents LEFT JOIN d USING (doc_id)""",
+    "ic_by_horizon": f"""WITH {_MOVES}, u AS (UNPIVOT (SELECT session, move, {", ".join(f"round(fwd_ret_{h}, 8) AS fwd_ret_{h}" for h in (1, 3, 5, 10, 20))} FROM q) ON COLUMNS('fwd_ret_.*') INTO NAME horizon VALUE fwd),
+k AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY move) + (count(*) OVER (PARTITION BY horizon, move) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY horizon, fwd) - 1) / 2 AS b FROM u WHERE move IS NOT NULL AND fwd IS NOT NULL),
+c AS (SELECT horizon, count(*) AS n, corr(a, b) AS ic FROM k GROUP BY 1)
+SELECT horizon, n, round(ic, 6) AS ic, round(ic * sqrt((n - 2) / (1 - ic * ic)), 6) AS t FROM c""",
+    "cost_curve": f"""WITH {_MOVES}, w AS (SELECT *, abs(position - lag(position, 1, 0) OVER (ORDER BY session)) AS turnover FROM q),
+r AS (SELECT session, bps, greatest(position * fwd_ret_1 - bps * 1e-4 * turnover, -0.99) AS ret FROM w, (SELECT CAST(unnest([0.0, 1, 2, 5, 10]) AS DOUBLE) AS bps) WHERE fwd_ret_1 IS NOT NULL),
+y AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY bps ORDER BY session)) AS equity FROM r),
+f AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY bps ORDER BY session), 1) - 1 AS fall FROM y)
+SELECT bps, count(*) AS n, round(exp(sum(ln(1 + ret)) * 8 / count(*)) - 1, 6) AS growth, round(stddev_samp(ret) * sqrt(8), 6) AS vol,
+  round(avg(ret) / stddev_samp(ret) * sqrt(8), 6) AS sharpe, round(min(fall), 6) AS max_drawdown, round(count(*) FILTER (ret > 0) / count(*), 6) AS win_rate FROM f GROUP BY bps""",
     "price_bars": f'WITH {_BARS} SELECT CAST(session AS VARCHAR) AS session, open, high, low, "close", volume FROM bars',
     "asof_next_open": f"""WITH {_BARS}, r AS (SELECT doc_id, CAST(DATE '1995-01-02' + CAST(doc_id * 37 % 2420 AS INTEGER) AS TIMESTAMP)
   + to_minutes(CASE WHEN doc_id % 5 = 0 THEN 570 ELSE doc_id * 97 % 1440 END) AS at FROM documents),
