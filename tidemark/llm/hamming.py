@@ -52,7 +52,8 @@ def nearest(rows: DataFrame, wanted: DataFrame, k: int = K, bits: int = BITS, wi
     for radius in range(width + 1):
         ring = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x) == radius)  # noqa: B023
         probes = open_.select("query", F.posexplode("query").alias("segment", "own")).withColumn("mask", F.explode(ring)).select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(table, ["segment", "value"]).withColumn("parts", apart(F.col("query"), F.col("code")))
+        # By merge: the probes' size is far above what Spark takes it for, so it would broadcast them.
+        met = probes.join(table.hint("merge"), ["segment", "value"]).withColumn("parts", apart(F.col("query"), F.col("code")))
         # Nearest here first: no code is verified twice.
         met = met.filter((F.array_min("parts") == radius) & (F.array_position("parts", radius) == F.col("segment") + 1))
         met = met.select("query", "ids", F.aggregate("parts", F.lit(0), lambda a, x: a + x).alias("distance"))
