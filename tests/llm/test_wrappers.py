@@ -43,6 +43,21 @@ def test_alignment_makes_groups_optional_or_repeated():
     assert shape[("c",)] == (False, True) and shape[("c", "d")] == (True, True)
 
 
+def texts(spark, sources):
+    """The texts of the pages of one host, in their order."""
+    rows = [(i, "http://host.example/", source) for i, source in enumerate(sources)]
+    return [r.text for r in sorted(W.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())]
+
+
+def words(i, n):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_fields_that_vary_are_content_and_fixed_ones_template(spark):
+    pages = [f"<body><p>Lead {words(i, 4)}</p><article><h4>Read this too</h4><p>{words(i, 30)}</p></article><p>One fixed line</p><section><p>Coda {i}</p></section>" for i in range(9)]
+    assert texts(spark, pages) == [f"Lead {words(i, 4)} {words(i, 30)} Coda {i}" for i in range(9)]
+
+
 def test_empty_table(spark):
     assert W.extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

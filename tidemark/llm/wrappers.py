@@ -5,13 +5,14 @@ of their classes and ids) and a text. Within a page neighbouring equal runs of s
 groups. The streams of a host are aligned one after another: what matches stays, what doesn't becomes
 optional, so a wrapper is a row of groups, each once or repeated, always or at times there, with text
 slots and no alternatives. Tasks fold their own pages, a wrapper for each host; partial wrappers are then
-aligned in two rounds, salted first, so no task holds a host's pages. From a wrapper's counts (pages,
-characters, link characters, constant texts) the slots of the main text are chosen, and every page keeps
-the blocks in them. Slot tables up to ``BROADCAST_BYTES`` (measured first) are broadcast, larger ones
-joined by host.
-
-Defined cases: null and empty pages have an empty text; a page whose slots its host's wrapper doesn't
-choose at all is judged by itself; null or broken urls share one host; repeated rows give repeated
+aligned in two rounds, salted first, so no task holds a host's pages. The slots of a host's row are its
+fields: those that vary across its pages are content, those that are fixed are template, and each page is
+matched to the row and keeps its blocks in content fields. Tags and names decide only what alignment can't:
+furniture that varies (menus, advertisements, comments), link lists, and hosts of too few pages. Tables of
+the rows up to ``BROADCAST_BYTES`` (measured first) are broadcast, larger ones joined by host.
+
+Defined cases: null and empty pages have an empty text; a page of which the wrapper of its host
+keeps nothing is judged by itself; null or broken urls share one host; repeated rows give repeated
 results; unclosed elements end where their parents do; an empty table gives no rows; other columns are
 not read.
 """
@@ -23,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,7 +39,9 @@ SALTS = 64
 LONGEST_GROUP = 8
 #: A text that is the same on this many pages of a host, and on all that have the slot, is furniture.
 CONSTANT_PAGES = 5
-LINK_SHARE, MAIN_SHARE = 0.5, 0.6
+LINK_SHARE = 0.5
+#: Matchers and page shapes that a task remembers; it starts anew beyond.
+MATCHERS, SHAPES = 500, 500
 
 #: Fixed values of HTML: what a browser lays out as blocks, reads as raw text, or never shows as prose.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul button select svg template head label object".split())
@@ -128,67 +132,118 @@ def groups(slots: list[str]) -> list[tuple[tuple[str, ...], bool]]:
 
 
 class Wrapper:
-    """``groups``: rows of ``[slots, repeated, optional]``; ``facts``: by slot pages, characters, link characters and the text (null: it varies)."""
+    """``rows``: ``[slots, repeated, optional, facts]``, with a fact for each slot of the group, which is a
+    field of the expression: pages, characters, link characters and the texts of a page (null: they vary)."""
+
+    def __init__(self, rows: list[list] | None = None):
+        self.rows = None if rows is None else [[tuple(g), r, o, facts] for g, r, o, facts in rows]
+        self.seen: dict[tuple, list[list]] = {}
 
-    def __init__(self, found: list[list] | None = None, facts: dict[str, list] | None = None):
-        self.groups, self.facts, self.seen = found, facts or {}, set()
+    @property
+    def groups(self) -> list[list]:
+        return [row[:3] for row in self.rows or []]
 
     @classmethod
     def of(cls, page: list[tuple[str, str, int]]) -> Wrapper:
-        facts: dict[str, list] = {}
-        for slot, text, links in page:
-            old = facts.get(slot)
-            facts[slot] = [1, len(text), links, text[:200]] if old is None else [1, old[1] + len(text), old[2] + links, None]
-        return cls([[list(g), r, False] for g, r in groups([b[0] for b in page])], facts)
+        found = groups([b[0] for b in page])
+        rows = [[g, r, False, [[1, 0, 0, []] for _ in g]] for g, r in found]
+        for (k, o), (_, text, links) in zip(places(found, [b[0] for b in page]), page, strict=True):
+            fact = rows[k][3][o]
+            fact[1:3] = fact[1] + len(text), fact[2] + links
+            fact[3].append(text[:200])
+        for fact in (f for row in rows for f in row[3]):
+            fact[3] = "\n".join(fact[3])
+        return cls(rows)
 
     def align(self, other: Wrapper) -> None:
-        for slot, (pages, chars, links, text) in other.facts.items():
-            old = self.facts.setdefault(slot, [0, 0, 0, text])
-            self.facts[slot] = [old[0] + pages, old[1] + chars, old[2] + links, text if old[3] == text else None]
-        if self.groups is None:
-            self.groups = other.groups
-            return
-        shape = tuple((tuple(g), r, o) for g, r, o in other.groups)
+        shape = tuple((g, r, o) for g, r, o, _ in other.rows or [])
         if shape in self.seen:
+            for mine, theirs in zip(self.seen[shape], other.rows or [], strict=True):
+                add(mine[3], theirs[3])
+            return
+        if self.rows is None:
+            self.rows = other.rows or []
+            self.seen[shape] = list(self.rows)
             return
-        mine, theirs, out = [tuple(g) for g, _, _ in self.groups], [tuple(g) for g, _, _ in other.groups], []
-        for kind, a, b, c, d in SequenceMatcher(None, mine, theirs, autojunk=False).get_opcodes():
+        theirs, out, at = other.rows or [], [], []
+        for kind, a, b, c, d in SequenceMatcher(None, [r[0] for r in self.rows], [r[0] for r in theirs], autojunk=False).get_opcodes():
             if kind == "equal":
-                out += [[g, r or s, o or p] for (g, r, o), (_, s, p) in zip(self.groups[a:b], other.groups[c:d], strict=True)]
+                for row, its in zip(self.rows[a:b], theirs[c:d], strict=True):
+                    row[1:3] = row[1] or its[1], row[2] or its[2]
+                    add(row[3], its[3])
+                out += self.rows[a:b]
+                at += self.rows[a:b]
             else:  # only one of the two has it
-                out += [[g, r, True] for g, r, _ in [*self.groups[a:b], *other.groups[c:d]]]
-        self.groups = out
-        self.seen.add(shape)
-
-    def main(self) -> list[str]:
-        """The slots of the main text."""
-        apart = {s for s in self.facts if furniture(s)}
-        repeats = {s for g, repeated, _ in self.groups or [] if repeated for s in g}
-        left = {}
-        for slot, (pages, chars, links, text) in self.facts.items():
-            inside = core(slot)
-            lists = slot in repeats and links > LINK_SHARE * chars
-            if slot not in apart and (inside or not (lists or links > 0.8 * chars or text is not None and pages >= CONSTANT_PAGES)):
-                left[slot] = chars - links + 1
-        marked = {s: n for s, n in left.items() if core(s)}
-        if marked:
-            homes: dict[str, int] = {}
-            for s, n in marked.items():
-                homes[core(s)] = homes.get(core(s), 0) + n
-            most = max(homes.values())
-            return sorted(s for s in marked if homes[core(s)] * 2 >= most)
-        # No such element: the deepest one that holds most of what is left.
-        path, total = [], sum(left.values())
-        while True:
-            nexts: dict[str, int] = {}
-            for s, n in left.items():
-                parts = s.split(">")
-                if parts[: len(path)] == path and len(parts) > len(path) + 1:
-                    nexts[parts[len(path)]] = nexts.get(parts[len(path)], 0) + n
-            best = max(nexts, key=lambda k: (nexts[k], k), default=None)
-            if best is None or nexts[best] < MAIN_SHARE * total:
-                return sorted(s for s in left if s.split(">")[: len(path)] == path)
-            path.append(best)
+                for row in [*self.rows[a:b], *theirs[c:d]]:
+                    row[2] = True
+                out += [*self.rows[a:b], *theirs[c:d]]
+                at += theirs[c:d]
+        self.rows = out
+        self.seen[shape] = at
+
+    def chosen(self) -> list[list]:
+        """The expression with, for each field, whether it is content: ``[slots, fields]``."""
+        return [[g, [content(slot, fact, r, o) for slot, fact in zip(g, facts, strict=True)]] for g, r, o, facts in self.rows or []]
+
+
+def add(mine: list[list], theirs: list[list]) -> None:
+    for old, new in zip(mine, theirs, strict=True):
+        old[:] = old[0] + new[0], old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None
+
+
+def places(found: list[tuple[tuple[str, ...], bool]], slots: list[str]) -> list[tuple[int, int]]:
+    """For each slot of a page its group and its place within the group."""
+    out: list[tuple[int, int]] = []
+    for k, (g, repeated) in enumerate(found):
+        while tuple(slots[len(out) : len(out) + len(g)]) == g:
+            out += [(k, o) for o in range(len(g))]
+            if not repeated:
+                break
+    return out
+
+
+def content(slot: str, fact: list, repeated: bool, optional: bool) -> bool:
+    """Fields that vary across pages are content and fixed ones template. Where the pages don't tell (too few,
+    or a fixed field that only some of them have, in an element marked as content), the slot's names do."""
+    pages, chars, links, text = fact
+    inside = core(slot)
+    if text is not None and pages >= CONSTANT_PAGES and not (inside and optional):
+        return False
+    return bool(inside) or links <= (LINK_SHARE if repeated else 0.8) * chars
+
+
+class Matcher:
+    """A host's expression, to match its pages to: which of their blocks are main text."""
+
+    def __init__(self, expression: list[list]):
+        self.fields = [f for _, f in expression]
+        self.matcher = SequenceMatcher(None, autojunk=False)
+        self.matcher.set_seq2([tuple(g) for g, _ in expression])
+        self.anywhere: dict[str, bool] = {}
+        for g, fields in expression:
+            for slot, f in zip(g, fields, strict=True):
+                self.anywhere[slot] = self.anywhere.get(slot, False) or f
+        self.shapes: dict[bytes, list[bool]] = {}
+
+    def content(self, slots: list[str]) -> list[bool]:
+        """For each slot of a page whether its field is content; out of line with the expression, whether any of its fields is."""
+        key = blake2b("\n".join(slots).encode("utf-8", "replace"), digest_size=16).digest()
+        if key not in self.shapes:
+            found = groups(slots)
+            self.matcher.set_seq1([g for g, _ in found])
+            fields: dict[int, list[bool]] = {}
+            for a, b, n in self.matcher.get_matching_blocks():
+                fields |= {a + i: self.fields[b + i] for i in range(n)}
+            if len(self.shapes) >= SHAPES:
+                self.shapes.clear()
+            self.shapes[key] = [fields[k][o] if k in fields else self.anywhere.get(slot, True) for (k, o), slot in zip(places(found, slots), slots, strict=True)]
+        return self.shapes[key]
+
+    def main(self, page: list[tuple[str, str, int]]) -> list[str]:
+        """The texts of the page's main text."""
+        slots = [b[0] for b in page]
+        apart = {s for s in set(slots) if furniture(s)}
+        return [text for (slot, text, _), keep in zip(page, self.content(slots), strict=True) if keep and slot not in apart]
 
 
 def core(slot: str) -> str | None:
@@ -226,7 +281,7 @@ def partial_wrappers(pages: DataFrame) -> DataFrame:
 
     def rows(held: dict[str, Wrapper]) -> pa.RecordBatch:
         salt = TaskContext.get().partitionId() % SALTS
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps([w.groups or [], w.facts]) for w in held.values()], pa.string())], names=["host", "salt", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(w.rows or []) for w in held.values()], pa.string())], names=["host", "salt", "wrapper"])
 
     return pages.mapInArrow(run, "host string, salt int, wrapper string")
 
@@ -240,8 +295,8 @@ def merged(wrappers: DataFrame, keys: list[str]) -> DataFrame:
             for each in batch.column("wrappers"):
                 whole = Wrapper()
                 for w in each:
-                    whole.align(Wrapper(*json.loads(w.as_py())))
-                out.append(json.dumps([whole.groups or [], whole.facts]))
+                    whole.align(Wrapper(json.loads(w.as_py())))
+                out.append(json.dumps(whole.rows or []))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
 
     lists = wrappers.groupBy(*keys).agg(F.sort_array(F.collect_list("wrapper")).alias("wrappers"))  # at most one wrapper a task and salt
@@ -249,39 +304,42 @@ def merged(wrappers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (JSON of its groups and facts), inferred from all pages of each host."""
+    """``host, wrapper`` (JSON of its rows), inferred from all pages of each host."""
     first = merged(staged(partial_wrappers(pages), "wrappers-partial"), ["host", "salt"])
     return merged(first, ["host"])
 
 
 def chosen(wrapped: DataFrame) -> DataFrame:
-    """``host, slots`` of the main text."""
+    """``host, rules``: its expression with the fields that are content (JSON)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [Wrapper(*json.loads(w)).main() for w in batch.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.list_(pa.string()))], names=["host", "slots"])
+            rules = [json.dumps(Wrapper(json.loads(w)).chosen()) for w in batch.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rules, pa.string())], names=["host", "rules"])
 
-    return wrapped.mapInArrow(run, "host string, slots array<string>")
+    return wrapped.mapInArrow(run, "host string, rules string")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Per page row ``page_id, url, text, n_chars``."""
     found = pages.select("page_id", "url", F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("host"), "html")
     rules = staged(chosen(wrappers(found.select("host", "html"))), "wrappers-slots")
-    size = rules.agg(F.coalesce(F.sum(F.length(F.to_json("slots")) + F.length("host")), F.lit(0)).alias("n")).first()["n"]
-    both = found.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "slots")
+    size = rules.agg(F.coalesce(F.sum(F.length("rules") + F.length("host")), F.lit(0)).alias("n")).first()["n"]
+    both = found.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "rules")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict[str, Matcher] = {}
         for batch in batches:
             texts = []
-            for html, slots in zip(batch.column("html"), batch.column("slots").to_pylist(), strict=True):
-                page = blocks(html.as_py())
-                main = set(slots or ())
-                kept = [text for slot, text, _ in page if slot in main]
+            for html, rules in zip(batch.column("html"), batch.column("rules"), strict=True):
+                page, expression = blocks(html.as_py()), rules.as_py() or "[]"
+                if expression not in matchers:
+                    if len(matchers) >= MATCHERS:
+                        matchers.clear()
+                    matchers[expression] = Matcher(json.loads(expression))
+                kept = matchers[expression].main(page)
                 if not kept and page:
-                    own = set(Wrapper.of(page).main())
-                    kept = [text for slot, text, _ in page if slot in own]
+                    kept = Matcher(Wrapper.of(page).chosen()).main(page)
                 texts.append(" ".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
