@@ -58,6 +58,18 @@ def test_fields_that_vary_are_content_and_fixed_ones_template(spark):
     assert texts(spark, pages) == [f"Lead {words(i, 4)} {words(i, 30)} Coda {i}" for i in range(9)]
 
 
+def test_nothing_but_furniture_is_dropped(spark):
+    lede = [f"<body><h1>Head {i}</h1><div class=lede>{words(i, 30)}</div><div class=text>{words(-i, 70)}</div>" for i in range(7)]
+    assert texts(spark, lede) == [f"Head {i} {words(i, 30)} {words(-i, 70)}" for i in range(7)]
+    two = [f"<body><div class=content><p>{words(i, 10)}</p></div><div class=entry><p>{words(-i, 90)}</p></div>" for i in range(7)]
+    assert texts(spark, two) == [f"{words(i, 10)} {words(-i, 90)}" for i in range(7)]
+    for name in ("has-sidebar", "no-sidebar", "layout-sidebar-right", "with-comments", "content-sidebar-wrap"):
+        wrapped = [f"<body><div class='{name}'><h1>Head {i}</h1><div class=text>{words(i, 50)}</div></div><div class='site-footer'>Foot {i}</div><div class='x related-posts'><p>Also {i}</p></div>" for i in range(7)]
+        assert texts(spark, wrapped) == [f"Head {i} {words(i, 50)}" for i in range(7)], name
+    form = [f"<body><form id=all><nav>Menu {i}</nav><div class=post>{words(i, 9)}</div><div class=comments>{words(-i, 40)}</div></form>" for i in range(7)]
+    assert texts(spark, form) == [words(i, 9) for i in range(7)]
+
+
 def test_empty_table(spark):
     assert W.extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

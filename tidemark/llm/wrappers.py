@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -40,8 +41,8 @@ LONGEST_GROUP = 8
 #: A text that is the same on this many pages of a host, and on all that have the slot, is furniture.
 CONSTANT_PAGES = 5
 LINK_SHARE = 0.5
-#: Matchers and page shapes that a task remembers; it starts anew beyond.
-MATCHERS, SHAPES = 500, 500
+#: Matchers, page shapes and slots that a task remembers; it works them out again beyond.
+MATCHERS, SHAPES, SLOTS = 500, 500, 20_000
 
 #: Fixed values of HTML: what a browser lays out as blocks, reads as raw text, or never shows as prose.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul button select svg template head label object".split())
@@ -50,7 +51,11 @@ APART = frozenset("nav aside footer form noscript button select svg template hea
 RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-FURNITURE = re.compile(r"(?:^|[-_ .])(?:nav(?:bar|igation)?|menu|side-?bar|foot(?:er)?|page-?header|site-?header|masthead|banner|ads?|adverts?|advert[a-z]*|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notices?|alert|comments?|disqus|respond|replies|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|popup|modal|widget|login|search|pagination|pager|toolbar|complementary|contentinfo)(?=$|[-_ .0-9])", re.I)
+#: A class, id or role names furniture if all words between its hyphens are in one of these lists, one at least in the first.
+FURNITURE = frozenset("nav navbar navigation menu sidebar foot footer pageheader siteheader masthead banner ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments disqus respond replies share sharing social related breadcrumb breadcrumbs newsletter subscribe popup modal widget login search pagination pager toolbar complementary contentinfo".split())
+NEUTRAL = frozenset("0 area article bar block body bottom box button buttons card col column container content entry form global group icons inner item items left link links list main outer page pages panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+#: Elements that are furniture even if they hold most of a page.
+FIRM = frozenset("nav footer menu noscript button select svg template head search".split())
 CONTENT = re.compile(r"(?:^|[-_ .])(?:main|article|content|post|entry|story|body-?text)(?=$|[-_ .])", re.I)
 
 
@@ -241,31 +246,67 @@ class Matcher:
 
     def main(self, page: list[tuple[str, str, int]]) -> list[str]:
         """The texts of the page's main text."""
-        slots = [b[0] for b in page]
-        apart = {s for s in set(slots) if furniture(s)}
-        return [text for (slot, text, _), keep in zip(page, self.content(slots), strict=True) if keep and slot not in apart]
+        aside = apart(page)
+        return [text for (slot, text, _), keep in zip(page, self.content([b[0] for b in page]), strict=True) if keep and slot not in aside]
 
 
+@lru_cache(SLOTS)
 def core(slot: str) -> str | None:
     """The path of the element that is marked as the page's content, if the slot is in one."""
     parts = slot.split(">")
-    for kinds in (lambda p: p.partition(".")[0] == "article", lambda p: p.partition(".")[0] == "main" or CONTENT.search(p.partition(".")[2])):
+    for kinds in (lambda p: p.partition(".")[0] == "article", lambda p: (p.partition(".")[0] == "main" or CONTENT.search(p.partition(".")[2])) and not named(p)):
         for i, part in enumerate(parts):
             if kinds(part):
                 return ">".join(parts[: i + 1])
     return None
 
 
-def furniture(slot: str) -> bool:
-    inside = False
-    for part in slot.split(">"):
-        tag, _, names = part.partition(".")
-        if tag in APART or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and FURNITURE.search(names):
+def named(part: str) -> bool:
+    """Whether an element's class, id or role names furniture, as a whole."""
+    tag, _, names = part.partition(".")
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for token in re.split(r"[ .]+", names.lower()):
+        words = re.split("[-_]+", re.sub(r"(side)[-_](bar)|(page|site)[-_](header)", lambda m: m[0].replace("-", "").replace("_", ""), token))
+        words = [re.sub("(?<=[a-z])0$", "", w) for w in words if w]
+        if any(w in FURNITURE for w in words) and all(w in FURNITURE or w in NEUTRAL for w in words):
             return True
-        inside = inside or tag in ("article", "main")
     return False
 
 
+@lru_cache(SLOTS)
+def furniture(slot: str) -> tuple[str, ...]:
+    """The paths of the elements around a slot that are furniture by their tags or names."""
+    inside, out, parts = False, [], slot.split(">")
+    for i, part in enumerate(parts):
+        tag = part.partition(".")[0]
+        if tag in APART or tag == "header" and not inside or named(part):
+            out.append(">".join(parts[: i + 1]))
+        inside = inside or tag in ("article", "main")
+    return tuple(out)
+
+
+def under(slot: str, path: str) -> bool:
+    return slot == path or slot.startswith(path + ">")
+
+
+def apart(page: list[tuple[str, str, int]]) -> set[str]:
+    """The slots of a page that are furniture. An element that holds all of what is marked as content, or
+    most of the page's text and a mark where there are any, isn't furniture whatever its name."""
+    plain: dict[str, int] = {}
+    for slot, text, links in page:
+        plain[slot] = plain.get(slot, 0) + len(text) - links
+    paths = {p for s in plain for p in furniture(s)}
+    homes = {h for h in map(core, plain) if h}
+    for path in list(paths):
+        if path.rpartition(">")[2].partition(".")[0] not in FIRM:
+            held = {h for h in homes if under(h, path) and h != path}
+            most = 2 * sum(n for s, n in plain.items() if under(s, path)) > sum(plain.values())
+            if homes and held == homes or most and (held or not homes):
+                paths.discard(path)
+    return {s for s in plain if not paths.isdisjoint(furniture(s))}
+
+
 def partial_wrappers(pages: DataFrame) -> DataFrame:
     """Per task and host one wrapper of the task's pages: ``host, salt, wrapper``."""
 
