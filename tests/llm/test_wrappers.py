@@ -70,6 +70,15 @@ def test_nothing_but_furniture_is_dropped(spark):
     assert texts(spark, form) == [words(i, 9) for i in range(7)]
 
 
+def test_fixed_text_is_compared_whole_and_copies_count_once(spark):
+    lead, body = f"Licence line {words(99, 40)}", f"Same {words(1, 80)}"
+    page = "<body><h1>{}</h1><div class={}>{}</div><p>Fixed</p>".format
+    assert texts(spark, [page(f"Head {i}", "text", f"{lead} then {words(i, 120)}") for i in range(7)]) == [f"Head {i} {lead} then {words(i, 120)}" for i in range(7)]
+    others, want = [page(f"Head {i}", "text", words(i, 50)) for i in range(7)], [f"Head {i} {words(i, 50)}" for i in range(7)]
+    assert texts(spark, [page("Same", "copy", body)] * 6 + others) == [f"Same {body}"] * 6 + want
+    assert texts(spark, [page(f"On {i}", "copy", body) for i in range(7)] + others) == [f"On {i} {body}" for i in range(7)] + want
+
+
 def test_empty_table(spark):
     assert W.extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

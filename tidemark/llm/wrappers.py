@@ -38,7 +38,7 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 64
 #: The longest run of slots that folds into a repeated group.
 LONGEST_GROUP = 8
-#: A text that is the same on this many pages of a host, and on all that have the slot, is furniture.
+#: A text that is the same on this many pages of a host that differ in their longest field, and on all that have the field, is template.
 CONSTANT_PAGES = 5
 LINK_SHARE = 0.5
 #: Matchers, page shapes and slots that a task remembers; it works them out again beyond.
@@ -138,7 +138,8 @@ def groups(slots: list[str]) -> list[tuple[tuple[str, ...], bool]]:
 
 class Wrapper:
     """``rows``: ``[slots, repeated, optional, facts]``, with a fact for each slot of the group, which is a
-    field of the expression: pages, characters, link characters and the texts of a page (null: they vary)."""
+    field of the expression: up to ``CONSTANT_PAGES`` hashes of unlike pages that have it, characters, link
+    characters and a hash of all its text on a page (null: it varies)."""
 
     def __init__(self, rows: list[list] | None = None):
         self.rows = None if rows is None else [[tuple(g), r, o, facts] for g, r, o, facts in rows]
@@ -151,13 +152,18 @@ class Wrapper:
     @classmethod
     def of(cls, page: list[tuple[str, str, int]]) -> Wrapper:
         found = groups([b[0] for b in page])
-        rows = [[g, r, False, [[1, 0, 0, []] for _ in g]] for g, r in found]
+        rows = [[g, r, False, [[[], 0, 0, []] for _ in g]] for g, r in found]
         for (k, o), (_, text, links) in zip(places(found, [b[0] for b in page]), page, strict=True):
             fact = rows[k][3][o]
             fact[1:3] = fact[1] + len(text), fact[2] + links
-            fact[3].append(text[:200])
+            fact[3].append(text)
         for fact in (f for row in rows for f in row[3]):
-            fact[3] = "\n".join(fact[3])
+            fact[3] = blake2b("\n".join(fact[3]).encode("utf-8", "replace"), digest_size=16).hexdigest()
+        # Copies of a text count as one page, whatever is around them: a page is known by its longest field.
+        aside = apart(page)
+        longest = max(((fact[1] - fact[2], fact[3]) for g, _, _, facts in rows for slot, fact in zip(g, facts, strict=True) if slot not in aside), default=(0, ""))[1]
+        for fact in (f for row in rows for f in row[3]):
+            fact[0] = [longest[:16]]
         return cls(rows)
 
     def align(self, other: Wrapper) -> None:
@@ -193,7 +199,7 @@ class Wrapper:
 
 def add(mine: list[list], theirs: list[list]) -> None:
     for old, new in zip(mine, theirs, strict=True):
-        old[:] = old[0] + new[0], old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None
+        old[:] = sorted({*old[0], *new[0]})[:CONSTANT_PAGES], old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None
 
 
 def places(found: list[tuple[tuple[str, ...], bool]], slots: list[str]) -> list[tuple[int, int]]:
@@ -210,9 +216,9 @@ def places(found: list[tuple[tuple[str, ...], bool]], slots: list[str]) -> list[
 def content(slot: str, fact: list, repeated: bool, optional: bool) -> bool:
     """Fields that vary across pages are content and fixed ones template. Where the pages don't tell (too few,
     or a fixed field that only some of them have, in an element marked as content), the slot's names do."""
-    pages, chars, links, text = fact
+    marks, chars, links, text = fact
     inside = core(slot)
-    if text is not None and pages >= CONSTANT_PAGES and not (inside and optional):
+    if text is not None and len(marks) >= CONSTANT_PAGES and not (inside and optional):
         return False
     return bool(inside) or links <= (LINK_SHARE if repeated else 0.8) * chars
 
