@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 
 from tidemark.llm import decontaminate, secrets
 
@@ -74,6 +76,17 @@ def test_entropy_of_windows(spark):
         assert abs(spark.createDataFrame([(c,)], "c string").select(secrets.peak_entropy(F.col("c"))).first()[0] - want) < 1e-9
 
 
+def test_random_tokens_of_each_alphabet_are_found(spark):
+    rng, n = random.Random(5), 300
+    alphabets = {"hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "case": string.ascii_lowercase + string.digits, "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "-_"}
+    kinds = [(a, size) for a in alphabets for size in (20, 24, 32, 40)]
+    docs = [(k * n + i, f"say {''.join(rng.choices(alphabets[a], k=size))} twice", "x") for k, (a, size) in enumerate(kinds) for i in range(n)]
+    found = [0] * len(kinds)
+    for r in secrets.scanned(spark.createDataFrame(docs, DOCS)).collect():
+        found[r.doc_id // n] += r.spans != ""
+    assert all(f >= (0.93 if size == 20 else 0.95 if size == 24 else 0.98) * n for f, (_, size) in zip(found, kinds, strict=True)), list(zip(kinds, found, strict=True))
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefgh12 end", 9), (2, None, None), (3, "clean", 5)], "doc_id bigint, text string, n_chars bigint")
     assert sorted(map(tuple, secrets.redacted(docs).collect()), key=str) == [(1, "é [secret] end", 14), (2, None, None), (3, "clean", 5)]
