@@ -16,13 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The session's own setting wins; only where it is unset (tests,
-    local mode) is a temporary folder made, once for each session."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``. Only a local session (tests) may
+    leave it unset, and gets a temporary folder, one for each application; on a cluster that would lose data."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+        found = _local[context.applicationId]
     return found.rstrip("/")
 
 

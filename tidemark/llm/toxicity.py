@@ -2,13 +2,14 @@
 
 Every n-gram of a text (lower case, runs of white space as one space, a space at either end) sets one
 of ``2**BITS`` hashed features. Over all labelled training rows Spark counts, for each feature, the
-rows of either label that hold it; the smoothed log ratio of those counts scales the feature, and a
-logistic regression on the scaled features is fitted on a bounded sample of the training rows.
+rows of either label that hold it. The smoothed log ratio of those counts, of either sign, is drawn towards
+zero by ``ERRORS`` of its standard errors, so that chance in rare features says little, and scales the
+feature. A logistic regression on the scaled features is fitted on a bounded sample of the training rows.
 
 Defined cases: null and empty texts have the features of a single space and get a score like any
-other; labels other than 0 and 1 are ignored; a document labelled twice counts twice; with labels of
-one kind, or none, every score is the smoothed share of label 1. Repeated rows get repeated scores.
-Other columns are never read.
+other; labels other than 0 and 1 are ignored; a document labelled twice counts twice; rows without an id have
+no label; with labels of one kind, or none, every score is the smoothed share of label 1. Repeated rows get
+repeated scores; an empty table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,20 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.stage import staged
+from tidemark.llm.stage import staged, text_hash
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
-#: The most training rows of either label that the regression is fitted on; the counts use all rows.
-SAMPLE_EACH = 2000
-#: Features found in fewer training rows get no weight.
-LEAST_ROWS = 3
-#: Features with a lower log ratio get no weight: what speaks for label 0 is only the absence of the others,
-#: so that a long text of ordinary words neither hides nor feigns what it also holds.
-LEAST_RATIO = 0.7
+#: The most training rows, and characters in them, of either label that the regression is fitted on; counts use all rows.
+SAMPLE_EACH, SAMPLE_CHARS = 2000, 4_000_000
+#: Standard errors by which each log ratio is drawn towards zero.
+ERRORS = 2.0
 #: Rows that smoothing adds to each feature's count.
 SMOOTHING = 2.0
 THRESHOLD = 0.7
+#: The place in the counts that holds the number of rows of either label.
+TOTAL = -1
 
 _TIMES = np.random.Generator(np.random.PCG64(99)).integers(0, 2**63, max(SIZES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,18 +65,29 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """For each feature the number of rows of either label that hold it: one partial row for each task
-    and feature, then one shuffle that is bounded by the number of features."""
+    """For each feature the number of rows of either label that hold it (``TOTAL``: that there are): one partial
+    row for each task and feature, then one shuffle that is bounded by the number of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, count = np.zeros(1 << BITS, np.int32), np.zeros((2, 1 << BITS), np.int64)
+        seen, count, total = np.zeros(1 << BITS, np.int32), np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                count[toxic, features(text, seen)] += 1
-        held = np.flatnonzero(count.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[0, held]), pa.array(count[1, held])], names=["feature", "clean", "toxic"])
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                count[toxic, features(text.as_py(), seen)] += 1
+                total[toxic] += 1
+        if total.any():
+            held = np.flatnonzero(count.any(axis=0))
+            columns = [np.append(held, TOTAL), *(np.append(count[y, held], total[y]) for y in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "clean", "toxic"])
 
-    return rows.mapInArrow(run, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return rows.select("text", "toxic").mapInArrow(run, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def log_ratios(clean: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log ratios of the shares of rows, drawn towards zero by their standard errors."""
+    clean, toxic = (c + SMOOTHING * m / n.sum() for c, m in zip((clean, toxic), n, strict=True))  # in proportion, so that nothing is said of a feature not seen
+    ratio = np.log(toxic / n[1]) - np.log(clean / n[0])
+    error = np.sqrt(np.maximum(0, 1 / clean + 1 / toxic - 1 / n[0] - 1 / n[1]))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - ERRORS * error)
 
 
 @dataclass
@@ -84,27 +95,27 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``toxicity`` (0 to 1) in place of any such column: one narrow pass."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.weight, self.bias))  # at most 4 * 2**BITS bytes
-        docs = docs.drop("toxicity")
-        names, schema = docs.columns, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    def score(self, docs: DataFrame, name: str = "toxicity") -> DataFrame:
+        """``docs`` with the score (0 to 1) as ``name``, in place of any such column: one narrow pass."""
+        shared = docs.sparkSession.sparkContext.broadcast((self.weight, self.bias))  # 4 * 2**BITS bytes
+        docs = docs.drop(name)
+        names, schema = docs.columns, StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight, bias = shared.value
             seen = np.zeros(1 << BITS, np.int32)
             for batch in batches:
-                z = np.array([bias + float(weight[features(t, seen)].sum(dtype=np.float64)) for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, "toxicity"])
+                z = np.array([bias + float(weight[features(t.as_py(), seen)].sum(dtype=np.float64)) for t in batch.column("text")])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, name])
 
         return docs.mapInArrow(run, schema)
 
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, each: np.ndarray, ratio: np.ndarray, rounds: int = 150, step: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on features scaled by ``ratio``, by Adam over the whole bounded sample."""
-    sizes = np.array([len(r) for r in rows])
-    used, column = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-    row, scale = np.repeat(np.arange(len(rows)), sizes), ratio[used]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    used, column = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]), return_inverse=True)
+    column, scale = column.astype(np.int32), ratio[used]
     w, b = np.full(len(used), 0.1), float(np.log((each @ labels + 1) / (each @ (1 - labels) + 1)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     share = each / each.sum()
@@ -122,32 +133,50 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, each: np.ndarray, ra
     return weight, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> Model:
+def sampled(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """The sample that the regression is fitted on: ``doc_id, text_hash, toxic, n`` (rows equal in the three) and the
+    text. Rows are chosen by a hash of their key, before any text travels; the chosen keys are at most ``2 * most``."""
+    keys = docs.select("doc_id", text_hash().alias("text_hash"), F.length(F.coalesce("text", F.lit(""))).alias("size")).join(marks.hint("merge"), "doc_id")
+    keys = keys.groupBy("toxic", "doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    spent, chosen = [0, 0], []
+    for y in (0, 1):
+        for r in keys.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("sample"), "doc_id", "text_hash"), "doc_id", "text_hash").limit(most).collect():
+            spent[y] += r["size"]
+            if spent[y] <= chars or not any(c["toxic"] == y for c in chosen):
+                chosen.append(r)
+    picked = staged(docs.sparkSession.createDataFrame([(r["doc_id"], r["text_hash"], r["toxic"], r["n"]) for r in chosen], keys.select("doc_id", "text_hash", "toxic", "n").schema), "toxicity-sample")
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").join(F.broadcast(picked), ["doc_id", "text_hash"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the labelled documents given; the caller leaves out what must stay unseen."""
+    docs = docs.select("doc_id", "text")
     marks = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = staged(docs.select("doc_id", "text").join(marks, "doc_id"), "toxicity-rows")
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n = np.array([totals.get(0, 0), totals.get(1, 0)])
+    # By merge at every size: labels grow with the documents.
+    counts = feature_counts(docs.join(marks.hint("merge"), "doc_id")).toArrow()  # at most 2**BITS + 1 rows
+    at, clean, toxic = (counts.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
+    n = np.array([clean[at == TOTAL].sum(), toxic[at == TOTAL].sum()])
     if not n.all():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n[1] + 1) / (n[0] + 1))))
-    counts = feature_counts(rows).filter(F.col("clean") + F.col("toxic") >= LEAST_ROWS).toPandas()  # at most 2**BITS rows
-    ratio = np.zeros(1 << BITS)
-    extra = SMOOTHING * n / n.sum()  # in proportion to the labels, so that a rare feature has a ratio near zero
-    ratio[counts["feature"]] = np.log((counts["toxic"] + extra[1]) / n[1]) - np.log((counts["clean"] + extra[0]) / n[0])
-    ratio[ratio < LEAST_RATIO] = 0
-    kept = rows.sparkSession.sparkContext.broadcast(ratio != 0)
+    ratio, real = np.zeros(1 << BITS), at != TOTAL
+    ratio[at[real]] = log_ratios(clean[real], toxic[real], n)
+    used = docs.sparkSession.sparkContext.broadcast(ratio != 0)  # 2**BITS bytes
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            found = (features(t, seen) for t in batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([f[kept.value[f]].astype(np.int32) for f in found], pa.list_(pa.int32())), batch.column("toxic")], names=["found", "toxic"])
-
-    first = F.xxhash64(F.lit("sample"), "doc_id")
-    sample = [rows.filter(F.col("toxic") == y).orderBy(first, "doc_id").limit(sample_each).mapInArrow(picked, "found array<int>, toxic int").toPandas() for y in (0, 1)]
-    labels_ = np.concatenate([s["toxic"].to_numpy() for s in sample]).astype(float)
-    each = np.concatenate([np.full(len(s), n[y] / len(s)) for y, s in enumerate(sample)])
-    found = [np.asarray(f, np.int64) for s in sample for f in s["found"]]
+            found = (features(t.as_py(), seen) for t in batch.column("text"))
+            lists = pa.array([f[used.value[f]].astype(np.int32) for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c) for c in ("doc_id", "text_hash", "toxic", "n"))], names=["found", "doc_id", "text_hash", "toxic", "n"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    sample = sampled(docs, marks, sample_each, sample_chars).mapInArrow(picked, f"found array<int>, doc_id {kind}, text_hash bigint, toxic int, n bigint")
+    sample = sample.dropDuplicates(["doc_id", "text_hash", "toxic"]).orderBy("toxic", F.xxhash64("doc_id", "text_hash")).toArrow()
+    labels_ = sample.column("toxic").to_numpy().astype(float)
+    rows = sample.column("n").to_numpy().astype(float)
+    each = rows * np.where(labels_ == 1, n[1] / rows[labels_ == 1].sum(), n[0] / rows[labels_ == 0].sum())
+    lists = sample.column("found").combine_chunks()
+    found = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
     return Model(*fit_weights(found, labels_, each, ratio))
 
 
