@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.stage import keyed
+from tidemark.llm.stage import keyed, text_hash
 
 WINDOW = 10
 #: Windows (of about 200 bytes each) up to which the benchmark's set is broadcast.
@@ -95,8 +95,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no benchmark window, with their own columns."""
-    from tidemark.llm.stage import text_hash
-
-    bad = hits(docs, benchmark, window).filter(F.size("hit") > 0).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (text_hash(docs["text"]) == F.col("bad_hash")), "left_anti")
+    """The documents that hold no benchmark window, with their own columns, whatever their names."""
+    bad = hits(docs, benchmark, window).filter(F.size("hit") > 0).select("doc_id", "text_hash")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_hash("text").alias("hash"))
+    return whole.join(bad, whole["id"].eqNullSafe(bad["doc_id"]) & (whole["hash"] == bad["text_hash"]), "left_anti").select("row.*")
