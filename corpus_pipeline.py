@@ -1,6 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, then token ids.
 
-Each stage reads what its predecessor kept. The first four return the columns of ``documents``."""
+Each stage reads what its predecessor kept. The first four return the columns of ``documents``, whatever others
+there are beside them. Empty tables pass through; without labels no document is toxic, without a benchmark none
+is contaminated. Texts are read whole."""
 
 from __future__ import annotations
 
@@ -13,28 +15,29 @@ from tidemark.llm.stage import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at the threshold or above go."""
+    """Documents scored at the threshold or above go; null and empty texts are scored like others."""
     model = toxicity.train(docs.filter(~toxicity.held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
-    return model.score(docs).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score = "toxicity" + "_" * sum(len(c) for c in docs.columns)  # no column of documents has this name
+    return model.score(docs, score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: that of the least id, null first. Repeated rows are one document."""
     return bagminhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark, and ``n_chars`` counted anew; every document stays, null texts as they are."""
     return secrets.redacted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of every document."""
+    """Token ids and digests of every document; null texts have no ids."""
     return bpe.encoded(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
