@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions import text as T
 
 LABELS = ("positive", "negative", "neutral")
 PERIODS_PER_YEAR = 8.0
+COUNTS = ["n_sentences", "n_pos", "n_neg", "n_neu", "n_boilerplate"]
+#: Tokens of a sentence that a model reads.
+MAX_TOKENS = 512
 
 
 def stand_in_logits(sentence: Column) -> tuple[Column, Column, Column]:
@@ -17,35 +25,124 @@ def stand_in_logits(sentence: Column) -> tuple[Column, Column, Column]:
 
 
 def scored_sentences(docs: DataFrame, logits=stand_in_logits) -> DataFrame:
-    """``doc_id, idx, sentence, p_pos, p_neg, p_neu, label, is_boilerplate`` from ``doc_id, text``."""
+    """``doc_id, idx, sentence, p_pos, p_neg, p_neu, label, n_tokens, is_boilerplate`` from ``doc_id, text``. ``logits``
+    maps the sentence column to three columns; a model goes in as a pandas UDF over batches (``batched``)."""
     rows = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
     e = [F.exp(x) for x in logits(F.col("sentence"))]
     rows = rows.withColumns({n: x / (e[0] + e[1] + e[2]) for n, x in zip(("p_pos", "p_neg", "p_neu"), e, strict=True)})
     label = F.when((F.col("p_pos") >= F.col("p_neg")) & (F.col("p_pos") >= F.col("p_neu")), LABELS[0]).when(F.col("p_neg") >= F.col("p_neu"), LABELS[1]).otherwise(LABELS[2])
-    return rows.withColumns({"label": label, "is_boilerplate": T.is_boilerplate(F.col("sentence"))})
+    return rows.withColumns({"label": label, "n_tokens": F.least(F.size(F.split("sentence", r"(?U)\s+")), F.lit(MAX_TOKENS)), "is_boilerplate": T.is_boilerplate(F.col("sentence"))})
+
+
+def batched(model, batch: int = 64):
+    """``logits`` for ``scored_sentences`` from ``model``: a function without arguments that loads, once in each
+    Python worker, a function from a list of at most ``batch`` sentences to rows of three logits."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = model()
+        for part in parts:
+            texts = part.fillna("").tolist()
+            yield pd.Series([[float(x) for x in row] for at in range(0, len(texts), batch) for row in score(texts[at : at + batch])], dtype=object)
+
+    def logits(sentence: Column) -> tuple[Column, Column, Column]:
+        found = run(sentence)
+        return found[0], found[1], found[2]
+
+    return logits
 
 
 def document_scores(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     """One row for each document; without sentences its counts are 0 and its scores null."""
     n = lambda c: F.count_if(c)
     found = sentences.groupBy("doc_id").agg(
-        F.count("*").alias("n_sentences"), n(F.col("label") == LABELS[0]).alias("n_pos"), n(F.col("label") == LABELS[1]).alias("n_neg"), n(F.col("is_boilerplate")).alias("n_boilerplate"),
+        F.count("*").alias("n_sentences"), *[n(F.col("label") == y).alias(c) for y, c in zip(LABELS, COUNTS[1:4], strict=True)], n(F.col("is_boilerplate")).alias("n_boilerplate"), F.max("n_tokens").alias("max_tokens"),
         F.avg(F.col("p_pos") - F.col("p_neg")).alias("s_prob"), F.avg(F.greatest("p_pos", "p_neg", "p_neu")).alias("mean_confidence"),
     )
     found = found.withColumn("s_count", (F.col("n_pos") - F.col("n_neg")) / F.col("n_sentences"))
-    counts = ["n_sentences", "n_pos", "n_neg", "n_boilerplate"]
-    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, counts)
+    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, [*COUNTS, "max_tokens"])
+
+
+def average_ranks(df: DataFrame, key: str, value: str, name: str, parts: int = 256) -> DataFrame:
+    """Adds the average rank of ``value`` within its key, as ``name``. Values are counted first, so ties cost nothing,
+    and numbered within parts of about equal size, so no task sorts a key."""
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts"))
+    counts = counts.join(F.broadcast(cuts), key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = counts.groupBy(key, "_part").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    sums = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    below = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.join(sums, [key, "_part"]).select(key, value, (F.col("_before") + F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, [key, value])
+
+
+def pearson(x: str, y: str) -> Column:
+    """Null where either side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlations(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Per key ``n``, the rank correlation ``ic`` with average ranks, and its ``t``; null pairs go first."""
-    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = {f"r{c}": F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2 for c in (x, y)}
-    ranked = pairs.withColumns(ranks)
-    got = ranked.groupBy(key).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(f"r{x}", f"r{y}"), F.stddev_pop(f"r{x}") * F.stddev_pop(f"r{y}")).alias("ic"))
+    """Per key ``n``, the rank correlation ``ic`` with average ranks, its ``t``, and ``pearson``; null pairs go first."""
+    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()).select(key, x, y)
+    ranked = average_ranks(average_ranks(pairs, key, x, "_rx"), key, y, "_ry")
+    got = ranked.groupBy(key).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("ic"), pearson(x, y).alias("pearson"))
     return got.withColumn("t", F.col("ic") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("ic") * F.col("ic"))))
 
 
+def tail_probability(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:
+    """Two-sided p of Student's t by Simpson's rule over the angle atan(t / sqrt(freedom)), in which the density is a
+    power of the cosine and needs no special functions."""
+    out = np.full(len(t), np.nan)
+    for i, (x, v) in enumerate(zip(t, freedom, strict=True)):
+        if v > 0 and not np.isnan(x):
+            area = lambda end, v=v: (lambda g, w: float((np.cos(g) ** (v - 1) * w).sum() * end / 30000))(np.linspace(0, end, 10001), np.r_[1, np.tile([4, 2], 4999), 4, 1])
+            out[i] = 1 - area(float(np.arctan(abs(x) / np.sqrt(v)))) / area(np.pi / 2)
+    return np.clip(out, 0, 1)
+
+
+@F.pandas_udf(DoubleType())
+def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(tail_probability(t.to_numpy(float), n.to_numpy(float) - 2)).replace({np.nan: None})
+
+
+def power(ic: DataFrame, per_year: float = PERIODS_PER_YEAR) -> DataFrame:
+    """Adds the least IC that ``n`` rows can detect, the rows that ``ic`` needs for a power of 80 %, and the
+    information ratio that it promises."""
+    return ic.withColumns({"mde": 1.96 / F.sqrt("n"), "n_needed": F.try_divide(F.lit((1.96 + 0.84) ** 2), F.col("ic") * F.col("ic")), "ir": F.col("ic") * per_year**0.5})
+
+
+def bootstrap(pairs: DataFrame, x: str, y: str, order: str, rounds: int, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """``n, rounds, low, high``: the percentile interval of the rank correlation over samples of the pairs, drawn with
+    replacement by a hash of seed, round and place. The pairs are one row per session; samples are spread by round."""
+    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    placed = pairs.select(x, y, (F.row_number().over(Window.orderBy(order)) - 1).alias("_at"))
+    n = placed.count()
+    if n < 3:
+        raise ValueError("three pairs are needed at least")
+    drawn = pairs.sparkSession.range(rounds).select(F.col("id").alias("_round"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+    drawn = drawn.withColumn("_at", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_round", "_i")), 1, 8), 16, 10).cast("bigint") % n)
+    sample = drawn.join(placed, "_at")
+    for c in (x, y):
+        low, same = Window.partitionBy("_round").orderBy(c), Window.partitionBy("_round", c)
+        sample = sample.withColumn(f"_r{c}", F.rank().over(low) + (F.count("*").over(same) - 1) / 2)
+    ics = sample.groupBy("_round").agg(pearson(f"_r{x}", f"_r{y}").alias("ic"))
+    tail = (1 - level) / 2
+    return ics.agg(F.lit(n).alias("n"), F.count("*").alias("rounds"), F.percentile("ic", tail).alias("low"), F.percentile("ic", 1 - tail).alias("high"))
+
+
+def hac_errors(rows: DataFrame, key: str, value: str, order: str, lags: Column) -> DataFrame:
+    """Per key ``n, mean`` and the Newey-West standard error of the mean with ``lags`` Bartlett-weighted lags (a column
+    of the key's rows). Each row meets those up to ``lags`` places after it by an equi-join on the place."""
+    rows = rows.filter(F.col(value).isNotNull()).withColumns({"_lags": lags, "_at": F.row_number().over(Window.partitionBy(key).orderBy(order))})
+    facts = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    off = rows.join(facts, key).select(key, "_at", "_lags", "n", "mean", (F.col(value) - F.col("mean")).alias("_e"))
+    sent = off.select(key, F.col("_e").alias("_f"), F.posexplode(F.sequence(F.lit(0), "_lags")).alias("_l", "_x"), "_at").withColumn("_at", F.col("_at") + F.col("_l"))
+    pairs = off.join(sent.select(key, "_at", "_f", "_l"), [key, "_at"])
+    weight = F.when(F.col("_l") == 0, 1.0).otherwise(2 * (1 - F.col("_l") / (F.col("_lags") + 1)))
+    return pairs.groupBy(key).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sqrt(F.sum(weight * F.col("_e") * F.col("_f")) / F.max("n") / F.max("n")).alias("se"))
+
+
 def strategy_returns(df: DataFrame, fwd: str, bps: list[float]) -> DataFrame:
     """One row per row and cost: ``bps`` and ``ret``; rows without a forward return go."""
     rows = df.filter(F.col(fwd).isNotNull()).withColumn("bps", F.explode(F.array(*map(F.lit, bps))))
@@ -53,12 +150,18 @@ def strategy_returns(df: DataFrame, fwd: str, bps: list[float]) -> DataFrame:
 
 
 def performance(returns: DataFrame, key: str, order: str, per_year: float = PERIODS_PER_YEAR) -> DataFrame:
-    """Per key: ``n, growth, vol, sharpe, max_drawdown, win_rate``; the equity curve starts at 1."""
+    """Per key: ``n, growth, vol, sharpe, max_drawdown, win_rate, avg_win, avg_loss, n_trades``. The equity curve starts
+    at 1; a return of -1 or less is a total loss, after which equity stays at 0 (growth and drawdown are -1). Null
+    returns don't count. A key has one row per session, which bounds its window by the calendar."""
+    returns = returns.filter(F.col("ret").isNotNull())
+    lost, safe = F.col("ret") <= -1, F.log1p(F.greatest("ret", F.lit(-1 + 1e-15)))
     past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(past)))
+    curve = returns.withColumn("equity", F.when(F.max(lost).over(past), 0.0).otherwise(F.exp(F.sum(safe).over(past))))
     curve = curve.withColumn("fall", F.col("equity") / F.greatest(F.max("equity").over(past), F.lit(1.0)) - 1)
-    sd = F.stddev_samp("ret")
+    sd, ret = F.stddev_samp("ret"), F.col("ret")
+    growth = F.when(F.max(lost), -1.0).otherwise(F.exp(F.sum(safe) * per_year / F.count("*")) - 1)
     return curve.groupBy(key).agg(
-        F.count("*").alias("n"), (F.exp(F.sum(F.log1p("ret")) * per_year / F.count("*")) - 1).alias("growth"), (sd * per_year**0.5).alias("vol"),
-        (F.try_divide(F.avg("ret"), sd) * per_year**0.5).alias("sharpe"), F.min("fall").alias("max_drawdown"), (F.count_if(F.col("ret") > 0) / F.count("*")).alias("win_rate"),
+        F.count("*").alias("n"), growth.alias("growth"), (sd * per_year**0.5).alias("vol"),
+        (F.try_divide(F.avg("ret"), sd) * per_year**0.5).alias("sharpe"), F.min("fall").alias("max_drawdown"), (F.count_if(ret > 0) / F.count("*")).alias("win_rate"),
+        F.avg(F.when(ret > 0, ret)).alias("avg_win"), F.avg(F.when(ret < 0, ret)).alias("avg_loss"), F.count_if(ret != 0).alias("n_trades"),
     )
