@@ -5,15 +5,22 @@ dyadic levels (0,1], (1,2], (2,4], ...; each element has one Poisson process on
 carry a time, a signature place and a weight within the level. A point counts iff its weight is at most
 the element's, so elements of different counts share the points below both, and two signatures agree at
 a place with the weighted Jaccard similarity as probability. Signatures of ``BANDS * ROWS`` places are
-cut into bands; all texts of a bucket are paired with its smallest and its largest member, and the pairs'
-multisets are compared whole. Links at ``SIMILARITY`` or above make classes. Texts of one bucket that are
-then still in different classes are compared with each other, so pairs are spared only within a class.
+cut into bands. Links at ``SIMILARITY`` or above, verified on whole multisets, make classes, in two steps:
+
+1. All texts of a bucket are compared with its leader, the one whose buckets are largest in all: of a group
+   of copies that is the least changed one, so most of a group becomes one class by one link for each text.
+2. Only texts of one bucket in different classes are left. Two texts whose similarity can reach the threshold
+   share most elements. Where one of them has too few elements that more than ``RARE`` of the texts left
+   hold, they must share rare elements, and are met by these, each of which makes ``RARE**2 / 2`` pairs at
+   most. Where both have enough, they are met by bucket and size. Both ways count before they compare, so
+   texts of a large group that are all different cost no pairs, and no link between classes is lost.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**30 < 1e-5.
 
 Defined cases: null texts are empty; equal texts are one class whatever their words; a text of one to
 four words has one shingle; texts without words have no links to different texts; repeated rows share a
-class; null ids get a class like others; the class id is the least id in it. Other columns are not read.
+class; null ids get a class like others; the class id is the least id in it; an empty table gives no rows.
+Other columns are not read, and ``representatives`` passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from tidemark.llm.stage import staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Texts of different classes that an element is found in, up to which it is rare.
+RARE = 16
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,31 +165,76 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def between_classes(keys: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs of a bucket that are still in different classes, without those tested before."""
-    labelled = staged(keys.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "near-labelled")
+def buckets(texts: DataFrame) -> DataFrame:
+    """``node, band, rank`` of the buckets that hold several texts; ``rank`` orders texts by the sizes of their buckets."""
+    keys = staged(texts.select("node", F.explode("bands").alias("band")), "near-keys")
+    sizes = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = staged(keys.join(sizes, "band"), "near-shared")
+    popular = shared.groupBy("node").agg(F.sum("n").alias("popular"))
+    return staged(shared.join(popular, "node").select("node", "band", F.struct("popular", "node").alias("rank")), "near-buckets")
+
+
+def elements(left: DataFrame, bags: DataFrame) -> DataFrame:
+    """``node, label, n, element`` of the texts ``left``: one row for each element of their multisets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = tag(batch.column("bag")[i].as_py())
+                take = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("label").take(take), pa.array(np.full(len(found), len(found))), pa.array(found.view(np.int64))], names=["node", "label", "n", "element"])
+
+    return left.join(bags, "node").select("node", "label", "bag").mapInArrow(run, "node binary, label bigint, n bigint, element bigint")
+
+
+def between_classes(shared: DataFrame, labels: DataFrame, texts: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """``left, right`` of one bucket and of different classes that can be similar, by counts of their elements."""
+    labelled = shared.select("node", "band").join(labels, "node", "left").select("node", "band", F.xxhash64(F.coalesce("label", "node")).alias("label"))
+    labelled = staged(labelled, "near-labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("band")
-    left = staged(labelled.join(mixed, "band"), "near-mixed")
-    right = left.select("band", F.col("node").alias("other"), F.col("label").alias("its"))
-    pairs = left.join(right, "band").filter("label < its").select(F.least("node", "other").alias("left"), F.greatest("node", "other").alias("right")).distinct()
-    return pairs.join(tested, ["left", "right"], "left_anti")
+    mixed = staged(labelled.join(mixed, "band"), "near-mixed")
+    each = staged(elements(mixed.select("node", "label").distinct(), bags), "near-elements")
+    held = each.groupBy("element").agg(F.count("*").alias("texts")).filter("texts > 1")
+    found = staged(each.join(held, "element").withColumn("rare", F.col("texts") <= RARE), "near-held")
+    # Of two texts of n and m elements at least (n + m) * part are shared.
+    part = similarity / (1 + similarity)
+    facts = staged(found.groupBy("node", "label", "n").agg(F.count_if(~F.col("rare")).alias("common")), "near-facts")
+    alike = (F.col("x.label") != F.col("y.label")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+
+    rare = found.filter("rare")
+    met = rare.alias("x").join(rare.alias("y"), (F.col("x.element") == F.col("y.element")) & (F.col("x.node") < F.col("y.node")) & alike)
+    met = met.groupBy(F.col("x.node").alias("left"), F.col("y.node").alias("right")).agg(F.count("*").alias("shared"))
+    met = met.join(facts.select(F.col("node").alias("left"), F.col("n").alias("n1"), F.col("common").alias("c1")), "left")
+    met = met.join(facts.select(F.col("node").alias("right"), F.col("n").alias("n2"), F.col("common").alias("c2")), "right")
+    met = met.filter(F.col("shared") + F.least("c1", "c2") >= (F.col("n1") + F.col("n2")) * part - 1e-9).select("left", "right")
+
+    # With common elements alone: the largest partner that a text can have.
+    able = facts.withColumn("most", F.col("common") / part - F.col("n") + 1e-9).filter(F.col("most") >= similarity * F.col("n") - 1e-9)
+    able = able.join(texts, "node").withColumn("step", F.floor(F.log("n") / F.log(F.lit(1 / similarity)) + 1e-9))
+    able = staged(mixed.select("node", "band").join(able, "node"), "near-able")
+    small, large = able.filter(F.col("most") >= F.col("n")).alias("x"), able.withColumn("step", F.explode(F.array("step", F.col("step") - 1))).alias("y")
+    order = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    fits = (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most"))
+    pairs = small.join(large, (F.col("x.band") == F.col("y.band")) & (F.col("x.step") == F.col("y.step")) & alike & order & fits & once)
+    pairs = pairs.select(F.least("x.node", "y.node").alias("left"), F.greatest("x.node", "y.node").alias("right"))
+    return met.union(pairs).distinct()
 
 
 def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row ``doc_id, node, label``: rows of one near-duplicate class have one label."""
     rows = staged(banded(docs), "near-rows")
-    texts = rows.groupBy("node").agg(F.first("bands").alias("bands"))
-    keys = staged(texts.select("node", F.explode("bands").alias("band")), "near-bands")
-    buckets = staged(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high"), "near-buckets")
-    found = keys.join(buckets, "band").select("node", F.explode(F.array("low", "high")).alias("leader")).filter("node != leader")
+    texts = staged(rows.groupBy("node").agg(F.first("bands").alias("bands")), "near-texts")
+    shared = buckets(texts)
+    leaders = shared.groupBy("band").agg(F.max("rank").alias("leader")).select("band", F.col("leader.node").alias("leader"))
+    found = shared.join(leaders, "band").filter("node != leader")
     pairs = staged(found.select(F.least("node", "leader").alias("left"), F.greatest("node", "leader").alias("right")).distinct(), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("left", "right")).alias("node")).distinct()
+    wanted = shared.select("node").distinct()
     # One row of each wanted text, chosen by its key before any text travels.
-    texts = docs.select(node(), "text").join(wanted, "node", "left_semi")
-    bags = staged(packed(texts).groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
+    bags = staged(packed(docs.select(node(), "text").join(wanted, "node", "left_semi")).groupBy("node").agg(F.first("bag").alias("bag")), "near-bags")
     edges = staged(verified(pairs, bags, similarity), "near-edges")
     labels = components(edges)
-    rest = staged(between_classes(keys.join(buckets.select("band"), "band"), labels, pairs), "near-rest")
+    rest = staged(between_classes(shared, labels, texts, bags, similarity).join(pairs, ["left", "right"], "left_anti"), "near-rest")
     if not rest.isEmpty():
         labels = components(edges.union(staged(verified(rest, bags, similarity), "near-more-edges")))
     return staged(rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label")), "near-members")
@@ -198,6 +252,8 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = members(docs, similarity).groupBy("label", "doc_id", "node").agg(F.count("*").alias("copies"))
     kept = rows.groupBy("label").agg(F.min(F.struct("doc_id", "node", "copies")).alias("k"))
     kept = staged(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"), F.col("k.copies").alias("copies")), "near-kept")
-    match = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == F.col("kept_node"))
-    once = docs.join(kept.filter("copies = 1"), match, "left_semi")
-    return once.unionByName(docs.join(kept.filter("copies > 1"), match, "left_semi").dropDuplicates(["doc_id", "text"]))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), node())
+    match = whole["id"].eqNullSafe(kept["kept_id"]) & (whole["node"] == kept["kept_node"])
+    once = whole.join(kept.filter("copies = 1"), match, "left_semi")
+    again = whole.join(kept.filter("copies > 1"), match, "left_semi").dropDuplicates(["id", "node"])
+    return once.unionByName(again).select("row.*")
