@@ -21,6 +21,33 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN o ON p.d = o.d AND n >= 1000"""
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP3_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d), k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM p),
+r AS (SELECT k FROM k GROUP BY 1 HAVING count(*) > 1), c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN r USING (k)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM x ANTI JOIN c USING (doc_id, j) GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)"""
+OP4_SQL = """WITH q AS (SELECT vec_id, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id, e.vec_id AS neighbour_id,
+  CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS INTEGER) AS place, neighbour_id, distance FROM p QUALIFY place <= 10"""
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+g AS (SELECT item_id, least(len(w), 10) AS n, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) ELSE [array_to_string(w, ' ')] END) AS gram FROM b WHERE len(w) > 0),
+l AS (SELECT DISTINCT n FROM g), p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, l), k AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM p),
+h AS (SELECT DISTINCT doc_id, i, n, item_id FROM k JOIN g USING (n, gram)), c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, c.n IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+OP8_SQL = f"""WITH RECURSIVE d AS (SELECT coalesce(text, '') AS t, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1), w AS (SELECT id, {_WORDS.replace("text", "t")} AS w FROM d),
+g AS (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT id, s, count(*) AS n FROM g GROUP BY 1, 2), z AS (SELECT id, sum(n) AS z FROM c GROUP BY 1),
+o AS (SELECT a.id AS x, b.id AS y, sum(least(a.n, b.n)) AS o FROM c a JOIN c b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN z a ON a.id = x JOIN z b ON b.id = y WHERE o >= 0.8 * (a.z + b.z - o)),
+r AS (SELECT id AS x, id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x AS id, min(y) AS class_id FROM r GROUP BY 1), f AS (SELECT doc_id, class_id FROM documents JOIN d ON coalesce(text, '') = t JOIN m USING (id))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_members FROM f"""
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -44,7 +71,8 @@ def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries are the rows whose id is divisible by 20; each is searched for among all rows."""
     codes = hamming.codes(table(spark, sf_dir, "embeddings"))
     found = hamming.nearest(codes, codes.filter(F.col("id") % 20 == 0))
-    return found.select(F.col("id").alias("vec_id"), F.col("neighbours.id").alias("neighbour_ids"), F.col("neighbours.distance").alias("distances"))
+    each = found.select(F.col("id").alias("vec_id"), F.posexplode("neighbours").alias("place", "n"))
+    return each.select("vec_id", (F.col("place") + 1).alias("place"), F.col("n.id").alias("neighbour_id"), F.col("n.distance").alias("distance"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op3_repeats": OP3_SQL, "op4_hamming": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_bagminhash": OP8_SQL}
