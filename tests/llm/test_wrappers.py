@@ -3,6 +3,7 @@
 import html
 import os
 import re
+import time
 
 import pytest
 
@@ -90,3 +91,37 @@ def test_test_pages(spark):
     for r in pages.collect():
         inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<(?:/?p|br|/?h1)>", " ", re.sub("</?[bai](?: [^>]*)?>", "", inner))).split())
+
+
+def test_runs_of_any_length_fold():
+    slots = [f"s{i}" for i in range(40)]
+    assert W.groups(["x", *slots * 3, "y"]) == [(("x",), False), (tuple(slots), True), (("y",), False)]
+    assert W.groups(list("aabab")) == [(("a",), True), (("b",), False), (("a",), False), (("b",), False)]
+
+
+def test_broken_markup_takes_linear_time():
+    began = time.perf_counter()
+    for piece in ("<a ", "<!", "<", "<p", '<a x="', "<!-- ", "<script>", "&amp", "</"):
+        W.blocks(piece * 50_000)
+        W.blocks("<p>" + piece * 50_000 + ">")
+    assert time.perf_counter() - began < 20
+    assert [b[1] for b in W.blocks("<p>one <!-- two > three")] == ["one"] == [b[1] for b in W.blocks("<p>one <script> two > three")]
+    assert [b[1] for b in W.blocks("<p>1 < 2")] == ["1 < 2"]
+
+
+def test_wrappers_do_not_depend_on_splits_and_decide(spark, monkeypatch):
+    pages = [f"<body><p>Fixed line</p><div>{'<p>x</p>' * (i % 4)}<h2>H{i}</h2></div><p>{words(i, 20)}</p>{'<ul><li>a</li></ul>' * (i % 3)}" for i in range(40)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id bigint, host string, html string")
+    assert W.wrappers(df.repartition(1)).collect() == W.wrappers(df.repartition(7, "page_id")).collect()
+    before = texts(spark, pages)
+    assert before[0] == f"H0 {words(0, 20)}"
+    # Without the host's expression the fixed line can't be told from content.
+    monkeypatch.setattr(W, "chosen", lambda found: found.selectExpr("host", "'[]' rules"))
+    assert texts(spark, pages)[0] == f"Fixed line H0 {words(0, 20)}"
+
+
+def test_large_rules_are_joined_by_shuffle(spark, monkeypatch):
+    pages = [f"<body><p>Fixed line</p><p>{words(i, 20)}</p>" for i in range(7)]
+    before = texts(spark, pages)
+    monkeypatch.setattr(W, "BROADCAST_BYTES", -1)
+    assert texts(spark, pages) == before

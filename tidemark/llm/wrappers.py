@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -36,8 +37,6 @@ from tidemark.llm.stage import staged
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
-#: The longest run of slots that folds into a repeated group.
-LONGEST_GROUP = 8
 #: A text that is the same on this many pages of a host that differ in their longest field, and on all that have the field, is template.
 CONSTANT_PAGES = 5
 LINK_SHARE = 0.5
@@ -50,6 +49,7 @@ VOID = frozenset("br hr img input meta link wbr area base col embed source track
 APART = frozenset("nav aside footer form noscript button select svg template head dialog search menu fieldset label object".split())
 RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S | re.I)
+CLOSED = re.compile(rf"</(?:{RAW})\s*>\Z", re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: A class, id or role names furniture if all words between its hyphens are in one of these lists, one at least in the first.
 FURNITURE = frozenset("nav navbar navigation menu sidebar foot footer pageheader siteheader masthead banner ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments disqus respond replies share sharing social related breadcrumb breadcrumbs newsletter subscribe popup modal widget login search pagination pager toolbar complementary contentinfo".split())
@@ -80,11 +80,14 @@ def blocks(text: str | None) -> list[tuple[str, str, int]]:
         if in_link:
             linked.append(piece)
 
-    at = 0
-    for m in TOKEN.finditer(text):
+    # Behind the last ">" there are no tags, so each "<" before it is looked through to a near end: linear time.
+    at, last = 0, text.rfind(">") + 1
+    for m in TOKEN.finditer(text, 0, last):
         if m.start() > at:
             add(text[at : m.start()])
         at = m.end()
+        if at == last and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] and not CLOSED.search(m[0])):
+            at = last = len(text)  # a comment or raw text that never ends
         tag = (m[3] or "").lower()
         if tag == "a":
             in_link = not m[2]
@@ -113,23 +116,35 @@ def blocks(text: str | None) -> list[tuple[str, str, int]]:
                 marks = [re.sub(r"\d+", "0", v) for _, *vs in NAMES.findall(m[4]) for v in vs if v]
                 stack.append((tag, ".".join([tag, *(re.sub(r"[\s>]+", " ", v.strip()) for v in marks)])))
     if at < len(text):
-        add(text[at:])
+        add(text[at:].partition("<!--")[0])
     close()
     return out
 
 
 def groups(slots: list[str]) -> list[tuple[tuple[str, ...], bool]]:
-    """Fold neighbouring equal runs, the shortest first, into repeated groups."""
+    """Fold neighbouring equal runs of any length, the shortest first, into repeated groups. A run that repeats starts
+    with the same two slots again, so only such places are compared."""
+    pairs: dict[tuple, list[int]] = {}
+    for k, pair in enumerate(zip(slots, slots[1:], strict=False)):
+        pairs.setdefault(pair, []).append(k)
     out, i = [], 0
     while i < len(slots):
-        for size in range(1, min(LONGEST_GROUP, (len(slots) - i) // 2) + 1):
-            run, n = slots[i : i + size], 1
-            while slots[i + n * size : i + (n + 1) * size] == run:
+        sizes = [1] if slots[i + 1 : i + 2] == slots[i : i + 1] else []
+        if not sizes and i + 1 < len(slots):
+            same = pairs[slots[i], slots[i + 1]]
+            last = i + (len(slots) - i) // 2
+            for k in same[bisect_right(same, i) :]:
+                if k > last:
+                    break
+                if slots[i:k] == slots[k : 2 * k - i]:
+                    sizes = [k - i]
+                    break
+        if sizes:
+            run, n = slots[i : i + sizes[0]], 1
+            while slots[i + n * sizes[0] : i + (n + 1) * sizes[0]] == run:
                 n += 1
-            if n > 1:
-                out.append((tuple(run), True))
-                i += n * size
-                break
+            out.append((tuple(run), True))
+            i += n * sizes[0]
         else:
             out.append(((slots[i],), False))
             i += 1
@@ -314,27 +329,29 @@ def apart(page: list[tuple[str, str, int]]) -> set[str]:
 
 
 def partial_wrappers(pages: DataFrame) -> DataFrame:
-    """Per task and host one wrapper of the task's pages: ``host, salt, wrapper``."""
+    """Per task, host and shape (a page's groups) one wrapper, with the facts of all its pages: ``host, shape, salt, wrapper``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Wrapper] = {}
+        held: dict[tuple[str, str], Wrapper] = {}
         for batch in batches:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                held.setdefault(host, Wrapper()).align(Wrapper.of(blocks(html.as_py())))
+                page = Wrapper.of(blocks(html.as_py()))
+                shape = blake2b(json.dumps(page.groups).encode("utf-8", "replace"), digest_size=16).hexdigest()
+                held.setdefault((host, shape), Wrapper()).align(page)
             if len(held) >= 10_000:
                 yield rows(held)
                 held = {}
         yield rows(held)
 
-    def rows(held: dict[str, Wrapper]) -> pa.RecordBatch:
+    def rows(held: dict[tuple[str, str], Wrapper]) -> pa.RecordBatch:
         salt = TaskContext.get().partitionId() % SALTS
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(w.rows or []) for w in held.values()], pa.string())], names=["host", "salt", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.string()), pa.array([s for _, s in held], pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(w.rows or []) for w in held.values()], pa.string())], names=["host", "shape", "salt", "wrapper"])
 
-    return pages.mapInArrow(run, "host string, salt int, wrapper string")
+    return pages.mapInArrow(run, "host string, shape string, salt int, wrapper string")
 
 
 def merged(wrappers: DataFrame, keys: list[str]) -> DataFrame:
-    """Align the wrappers of one key in the order of their texts, so that the outcome is the same each time."""
+    """Align the wrappers of one key in the order of their texts, so that the outcome is the same each time: ``keys, wrapper``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,16 +361,19 @@ def merged(wrappers: DataFrame, keys: list[str]) -> DataFrame:
                 for w in each:
                     whole.align(Wrapper(json.loads(w.as_py())))
                 out.append(json.dumps(whole.rows or []))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.string())], names=[*keys, "wrapper"])
 
-    lists = wrappers.groupBy(*keys).agg(F.sort_array(F.collect_list("wrapper")).alias("wrappers"))  # at most one wrapper a task and salt
-    return lists.select("host", "wrappers").mapInArrow(run, "host string, wrapper string")
+    lists = wrappers.groupBy(*keys).agg(F.sort_array(F.collect_list("wrapper")).alias("wrappers"))
+    kinds = dict(lists.dtypes)
+    return lists.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", wrapper string")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (JSON of its rows), inferred from all pages of each host."""
-    first = merged(staged(partial_wrappers(pages), "wrappers-partial"), ["host", "salt"])
-    return merged(first, ["host"])
+    """``host, wrapper`` (JSON of its rows), inferred from all pages of each host. Pages of one shape are summed up
+    first, in any order; shapes are aligned in a fixed order, so neither splits nor tasks change the outcome."""
+    shapes = merged(merged(staged(partial_wrappers(pages), "wrappers-partial"), ["host", "shape", "salt"]), ["host", "shape"])
+    folded = shapes.withColumn("fold", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
+    return merged(merged(folded, ["host", "fold"]), ["host"])
 
 
 def chosen(wrapped: DataFrame) -> DataFrame:
