@@ -1,5 +1,6 @@
 """WARC archives: exact round trip, revisits, rolling and damage."""
 
+import gzip
 import hashlib
 
 import duckdb
@@ -24,18 +25,37 @@ def test_round_trip_with_revisits_and_rolling(spark):
 
 
 def test_same_rows_give_the_same_bytes(spark):
-    rows = spark.createDataFrame([(i, "u", "text " * (i % 7) * 90, None) for i in range(60)], SCHEMA)
-    assert sorted(warc.write(rows)[1].collect()) == sorted(warc.write(rows)[1].collect())
+    """Whatever the input's splits, and with more rows than Spark samples for its ranges."""
+    rows = spark.range(30_000).selectExpr("id * 7 page_id", "'u' url", "repeat(concat('text ', id % 7), cast(id % 90 as int)) html", "cast(null as string) digest")
+    first, again = warc.write(rows.repartition(3))[1].collect(), warc.write(rows.repartition(11, "html"))[1].collect()
+    assert sorted(first) == sorted(again) and len(first) == 8
 
 
-def test_damage_is_found_and_empty_tables_work(spark):
-    folder, manifest = warc.write(spark.createDataFrame([(1, "u", "body", None)], SCHEMA))
-    with pytest.raises(Exception, match="records, not"):
+def test_damage_is_found_and_empty_tables_work(spark, tmp_path):
+    rows = [(1, "u", "body " * 300, None), (2, "u", "body " * 300, None)]
+    folder, manifest = warc.write(spark.createDataFrame(rows, SCHEMA), uri=str(tmp_path / "w"))
+    assert warc.read(spark, folder, manifest).count() == 2
+    with pytest.raises(Exception, match="manifest"):
         warc.read(spark, folder, manifest.withColumn("records", manifest["records"] + 1)).collect()
+    file = next((tmp_path / "w").iterdir())
+    text = gzip.decompress(file.read_bytes())
+    file.write_bytes(gzip.compress(text.replace(b"X-Page-Id: 1", b"X-Page-Id: 7"), mtime=0))
+    with pytest.raises(Exception, match="manifest"):
+        warc.read(spark, folder, manifest).collect()
+    file.write_bytes(gzip.compress(text.replace(b"X-Refers-To-Page: 2", b"X-Refers-To-Page: 5"), mtime=0))
+    listed = [(file.name, 2, file.stat().st_size, hashlib.sha256(file.read_bytes()).hexdigest())]
+    with pytest.raises(Exception, match="revisit"):
+        warc.read(spark, folder, spark.createDataFrame(listed, manifest.schema)).collect()
     folder, manifest = warc.write(spark.createDataFrame([], SCHEMA))
     assert warc.read(spark, folder, manifest).count() == 0
 
 
+def test_temporary_files_are_removed(spark, tmp_path):
+    (tmp_path / "_temporary-of-a-lost-task").write_text("x")
+    warc.write(spark.createDataFrame([(1, "u", "body", None)], SCHEMA), uri=str(tmp_path))
+    assert [f.name for f in tmp_path.iterdir() if f.name.startswith("_temporary")] == []
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -1,11 +1,12 @@
 """WARC archives: range-sorted records, files rolled by compressed size, committed by rename and manifest.
 
-Pages are range-partitioned and sorted by id; each task writes its range to files named after its
-partition, first under a temporary name, then renamed. The same input gives the same bytes (fixed date,
-ids and gzip headers made from the page), so a task that runs again after a lost executor replaces a
-file by its equal. A file counts only if the manifest, which Spark commits last, lists it with its
-digest. Each record is its own gzip member; headers and digests are made anew on writing and verified
-on reading. Of equal payloads of at least ``LEAST_BYTES``, that of the largest page id is a response and
+Pages are sorted by id and cut into ranges at every ``range_rows``-th id, by exact rank, so ranges depend on the
+ids alone and not on samples or input splits. A task writes each of its ranges to files named after the range,
+first under a temporary name, then renamed. The same input gives the same bytes (fixed date, ids and gzip headers
+made from the page), so a task that runs again after a lost executor replaces a file by its equal. A file counts
+only if the manifest, which Spark commits last, lists it with its size and digest; temporary files are then removed.
+Each record is its own gzip member; headers and digests are made anew on writing. Reading verifies files against the
+manifest, records against their digests, and revisits against the response that they refer to. Of equal payloads of at least ``LEAST_BYTES``, that of the largest page id is a response and
 the others are revisits that refer to it; they leave the payload out.
 
 Defined cases: null html is an empty payload; null urls get a URN; rows with equal id and payload are
@@ -18,14 +19,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import math
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.stage import fresh_dir, staged
@@ -33,6 +36,8 @@ from tidemark.llm.stage import fresh_dir, staged
 LEAST_BYTES = 1000
 #: Compressed bytes after which a file is closed and the next one begins.
 ROLL_BYTES = 64 << 20
+#: Ids of a range: a 64th of all, within these bounds.
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 17
 DATE = "2000-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
@@ -100,7 +105,21 @@ def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return rows.join(last, "digest").filter("refers_to is not null and (page_id is null or page_id < refers_to)").distinct().select("page_id", "digest", "refers_to")
 
 
-def write(pages: DataFrame, uri: str | None = None, roll: int = ROLL_BYTES) -> tuple[str, DataFrame]:
+def range_starts(pages: DataFrame, rows: int | None = None) -> list[float]:
+    """The first id of each range but the first, by exact rank. The sorted ids are written once, so that their places
+    within a partition, and with the partitions' counts their ranks, stay the same; one id in ``rows`` is collected."""
+    ids = pages.filter("page_id is not null").select("page_id").distinct()
+    placed = staged(ids.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("at", F.monotonically_increasing_id()), "warc-ids")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
+    total = placed.count()
+    rows = rows or min(MOST_ROWS, max(LEAST_ROWS, 1 << math.ceil(math.log2(max(1, total / 64)))))
+    first = placed.join(F.broadcast(before), part == F.col("of")).filter((place + F.col("before")) % rows == 0)
+    return sorted({float(r["page_id"]) for r in first.select("page_id").collect()})[1:]
+
+
+def write(pages: DataFrame, uri: str | None = None, roll: int = ROLL_BYTES, range_rows: int | None = None) -> tuple[str, DataFrame]:
     """Write the archives under ``uri`` (by default a new shared folder); the folder and the manifest."""
     uri = uri or fresh_dir(pages.sparkSession, "warc")
     store, root = fs.FileSystem.from_uri(uri)
@@ -108,24 +127,56 @@ def write(pages: DataFrame, uri: str | None = None, roll: int = ROLL_BYTES) -> t
     # A row that marks a revisit sorts just before the page it is about, so html is shuffled once only.
     html = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("refers_to"))
     marks = revisits(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", F.col("refers_to").cast("bigint").alias("refers_to"))
-    rows = html.unionByName(marks).repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("digest").desc_nulls_last(), F.sha1("html"), "url")
+    starts = range_starts(pages, range_rows)
+    ranges = Bucketizer(splits=[-math.inf, *(starts or [0.0]), math.inf], inputCol="place", outputCol="range", handleInvalid="keep")
+    rows = ranges.transform(html.unionByName(marks).withColumn("place", F.coalesce(F.col("page_id").cast("double"), F.lit(-math.inf)))).drop("place")
+    rows = rows.withColumn("range", F.col("range").cast("int")).repartitionByRange(len(starts) + 1, "range").sortWithinPartitions("range", "page_id", F.col("digest").desc_nulls_last(), F.sha1("html"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, page, marked = Roller(uri, f"part-{TaskContext.get().partitionId():05d}", roll), (), {}
+        out, now, page, marked = None, None, (), {}
+        done: list[dict] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, payload, digest, refers_to = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "digest", "refers_to"))
+                of, page_id, url, payload, digest, refers_to = (batch.column(c)[i].as_py() for c in ("range", "page_id", "url", "html", "digest", "refers_to"))
+                if of != now:
+                    if out is not None:
+                        out.close()
+                        done += out.done
+                    out, now = Roller(uri, f"part-{of:06d}", roll), of
                 if page != (page_id,):
                     page, marked = (page_id,), {}
                 if payload is None:
                     marked[digest] = refers_to
                 else:
                     out.add(record(page_id, url, payload, marked.get(hashlib.sha1(payload).hexdigest()) if marked else None))
-        out.close()
-        if out.done:
-            yield pa.RecordBatch.from_pylist(out.done)
+        if out is not None:
+            out.close()
+            done += out.done
+        if done:
+            yield pa.RecordBatch.from_pylist(done)
+
+    manifest = staged(rows.mapInArrow(run, "file string, records bigint, bytes bigint, sha256 string"), "warc-manifest")
+    for left in store.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith("_temporary-"):
+            store.delete_file(left.path)
+    return uri, manifest
+
+
+class Hashed(io.RawIOBase):
+    """A stream that keeps the size and digest of what was read."""
+
+    def __init__(self, raw):
+        self.raw, self.size, self.hash = raw, 0, hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
 
-    return uri, staged(rows.mapInArrow(run, "file string, records bigint, bytes bigint, sha256 string"), "warc-manifest")
+    def readinto(self, into) -> int:
+        data = self.raw.read(len(into))
+        into[: len(data)] = data
+        self.size += len(data)
+        self.hash.update(data)
+        return len(data)
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,7 +196,8 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read(spark, uri: str, manifest: DataFrame) -> DataFrame:
     """One row per record of the files that the manifest lists: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url``. A missing file, a changed record or a wrong count fails the job."""
+    record_type, refers_to, url``. A missing or changed file or record, a wrong count, or a revisit without its
+    response is an error."""
     tasks = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +205,9 @@ def read(spark, uri: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for item in batch.to_pylist():
                 rows, count = [], 0
-                with store.open_input_stream(f"{root}/{item['file']}", compression=None) as raw, gzip.open(raw) as stream:
-                    for head, block in records(stream):
+                with store.open_input_stream(f"{root}/{item['file']}", compression=None) as raw:
+                    hashed = Hashed(raw)
+                    for head, block in records(gzip.GzipFile(fileobj=io.BufferedReader(hashed, 1 << 20))):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size, revisit = int(http.rpartition(b": ")[2]), head["WARC-Type"] == "revisit"
                         if not revisit and (len(payload) != size or sha1_32(payload) != head["WARC-Payload-Digest"]):
@@ -165,8 +218,8 @@ def read(spark, uri: str, manifest: DataFrame) -> DataFrame:
                         if len(rows) == 10_000:
                             yield table(rows)
                             rows = []
-                if count != item["records"]:
-                    raise ValueError(f"{item['file']} holds {count} records, not {item['records']}")
+                if (count, hashed.size, hashed.hash.hexdigest()) != (item["records"], item["bytes"], item["sha256"]):
+                    raise ValueError(f"{item['file']} is not the file that the manifest lists")
                 if rows:
                     yield table(rows)
 
@@ -176,4 +229,9 @@ def read(spark, uri: str, manifest: DataFrame) -> DataFrame:
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return manifest.repartition(tasks, "file").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
+    found = staged(manifest.repartition(tasks, "file").mapInArrow(run, schema), "warc-records")
+    responses = found.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    if lost := found.filter("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").limit(1).collect():
+        raise ValueError(f"the response of a revisit is missing: {lost}")
+    return found
