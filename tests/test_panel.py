@@ -201,3 +201,19 @@ def test_clean_text(spark):
     raw = "Skip to main content\r\n  The   Committee\tdecided. \n\n| Home |\nShares rose\n2002 Monetary policy\nhome sales fell For immediate release\n | "
     rows = spark.createDataFrame([(raw,), (None,)], "t string").select(T.clean_text(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["The Committee decided.\nhome sales fell", ""]
+
+
+def test_documents_table_keeps_missing_files(spark):
+    discovery = spark.createDataFrame([("a", "statement", date(2020, 3, 4)), ("b", "statement", date(2020, 3, 5)), ("c", "minutes", date(2020, 3, 6)), ("d", "note", date(2020, 3, 6))], "raw_path string, doc_type string, doc_date date")
+    bodies = spark.createDataFrame([("a", "For release at 8:00 a.m. " + "x" * 600, "s"), ("c", "Page not found " + "x" * 600, "s"), ("d", "y", "s")], "raw_path string, text string, selector_used string")
+    got = {r.raw_path: (r.selector_used, r.n_chars, r.is_error_page, r.is_flagged, r.release_minutes) for r in P.documents_table(discovery, bodies).collect()}
+    assert got == {"a": ("s", 625, False, False, 480), "b": ("MISSING_FILE", 0, False, True, 840), "c": ("s", 615, True, True, 840)}
+
+
+def test_calendar_guards(spark, sessions):
+    assert P.checked_calendar(sessions).count() == len(DAYS)
+    for bad in (sessions.union(sessions.limit(1)), sessions.union(spark.createDataFrame([(None, 1.0, 1.0)], sessions.schema))):
+        with pytest.raises(ValueError):
+            P.checked_calendar(bad)
+    assert P.complete_prices(spark.createDataFrame([(1.0, None), (1.0, 2.0)], "open double, close double")).count() == 1
+    assert [r.session for r in P.edges(sessions, "session", 1).orderBy("session").collect()] == [DAYS[0], DAYS[-1]]

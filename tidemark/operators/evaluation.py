@@ -84,7 +84,8 @@ def pearson(x: str, y: str) -> Column:
 
 def correlations(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Per key ``n``, the rank correlation ``ic`` with average ranks, its ``t``, and ``pearson``; null pairs go first."""
-    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()).select(key, x, y)
+    # The ranks read the pairs several times; they spill to disk, and are worked out again where they are lost.
+    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()).select(key, x, y).persist()
     ranked = average_ranks(average_ranks(pairs, key, x, "_rx"), key, y, "_ry")
     got = ranked.groupBy(key).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("ic"), pearson(x, y).alias("pearson"))
     return got.withColumn("t", F.col("ic") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("ic") * F.col("ic"))))

@@ -147,3 +147,29 @@ def signal(panel_: DataFrame, scores: DataFrame, order: list[str], window: int,
     merged = merged_scores(panel_, scores, key, primary).withColumns({"S": F.col(primary), "series": F.lit("all")})
     z = E.zscores(merged, "series", order, "S", window).withColumn("position", E.positions(F.col("z"), theta, sign))
     return E.turnover(z, "series", order).drop("series")
+
+
+def documents_table(discovery: DataFrame, bodies: DataFrame, overrides: dict[str, int] | None = None, least: int = 500, key: str = "raw_path") -> DataFrame:
+    """Every discovered row of the wanted types with its parsed text, flags and release. A row whose file is missing
+    stays, flagged, with an empty text; flagged rows are kept, so that parsed and flagged rows sum to all."""
+    rows = discovery.filter(F.col("doc_type").isin("statement", "minutes")).join(bodies.select(key, "text", "selector_used"), key, "left")
+    missing, error = F.col("selector_used").isNull(), T.is_error_page(F.col("text"))
+    rows = resolved_releases(rows, overrides).withColumns({"is_error_page": error & ~missing, "is_flagged": missing | error | (F.length("text") < least)})
+    return rows.withColumns({"text": F.coalesce("text", F.lit("")), "n_chars": F.coalesce(F.length("text"), F.lit(0)), "selector_used": F.coalesce("selector_used", F.lit("MISSING_FILE"))})
+
+
+def complete_prices(prices: DataFrame) -> DataFrame:
+    """The rows that have both an open and a close."""
+    return prices.na.drop(subset=["open", "close"])
+
+
+def checked_calendar(prices: DataFrame, day: str = "session") -> DataFrame:
+    """``prices`` itself; days that are null or repeat are an error."""
+    if bad := prices.groupBy(day).count().filter(F.col(day).isNull() | (F.col("count") > 1)).limit(3).collect():
+        raise ValueError(f"the calendar repeats or lacks days: {bad}")
+    return prices
+
+
+def edges(rows: DataFrame, order: str, n: int = 3) -> DataFrame:
+    """The first and the last ``n`` rows by ``order``."""
+    return rows.orderBy(order).limit(n).unionByName(rows.orderBy(F.col(order).desc()).limit(n)).distinct()

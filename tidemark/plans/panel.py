@@ -215,7 +215,27 @@ def zscore_by_join(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.zscores_by_join(rows, "event_type", "value", LOOKBACK).select("event_id", "mu", "sigma", "z"), "mu", "sigma", "z")
 
 
-QUERIES = {f.__name__: f for f in (release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
+def documents_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as if read from files, of which some are missing and some were never wanted."""
+    docs = documents(spark, sf).withColumn("raw_path", F.concat(F.lit("d"), "doc_id"))
+    kind = F.when(F.col("doc_id") % 17 == 0, "transcript").otherwise(F.col("doc_type"))
+    bodies = docs.filter("doc_id % 13 != 0").select("raw_path", T.clean_text(F.col("text")).alias("text"), F.lit("file").alias("selector_used"))
+    found = P.documents_table(docs.select("doc_id", "raw_path", "doc_date", kind.alias("doc_type")), bodies, OVERRIDES, MIN_TEXT_CHARS)
+    return found.select("doc_id", "doc_type", "selector_used", "n_chars", "is_error_page", "is_flagged", "release_minutes", "release_time_source")
+
+
+def price_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions whose open or close is missing (here: below a floor) and what is left of them."""
+    rows = bars(spark, sf).withColumn("open", F.when(F.col("open") >= 20_000, F.col("open")))
+    left = P.checked_calendar(P.complete_prices(rows)).agg(F.count("*").alias("n_kept"), F.max("session").cast("string").alias("last"))
+    return rows.agg(F.count("*").alias("n_sessions"), F.count_if(F.col("open").isNull()).alias("n_dropped")).join(left)
+
+
+def session_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return P.edges(bars(spark, sf), "session").select(F.col("session").cast("string").alias("session"), "open", "close", "volume")
+
+
+QUERIES = {f.__name__: f for f in (documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
 
 BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
@@ -261,6 +281,8 @@ c1 AS (SELECT pair, count(*) AS n, corr(ra, rb) AS ic, corr(value, fwd) AS pears
 si AS (SELECT pair, sum(w * pow(1 + x * x / (n - 2), -(n - 1) / 2)) * t / 6000 AS area FROM (SELECT pair, n, abs(t) AS t, abs(t) * i / 2000 AS x, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM c2, range(2001) r(i)) GROUP BY pair, n, t)"""
 
 ORACLES = {
+    "price_quality": f"WITH {BARS} SELECT count(*) AS n_sessions, count(*) FILTER (open < 20000) AS n_dropped, count(*) FILTER (open >= 20000) AS n_kept, CAST(max(session) FILTER (open >= 20000) AS VARCHAR) AS last FROM bars",
+    "session_edges": f"WITH {BARS}, n AS (SELECT *, row_number() OVER (ORDER BY session) AS i, row_number() OVER (ORDER BY session DESC) AS j FROM bars) SELECT CAST(session AS VARCHAR) AS session, open, \"close\", volume FROM n WHERE i <= 3 OR j <= 3",
     "release_resolution": f"WITH {DOCS} SELECT doc_id, parsed_minutes, release_minutes, release_time_source, CAST(epoch(release) AS BIGINT) AS release_epoch FROM d",
     "panel_funnel": f"""WITH {RELEASED}, c AS (SELECT count(*) AS discovered, count(*) FILTER (doc_type = 'statement') AS statements, count(*) FILTER (doc_type = 'statement' AND NOT is_flagged) AS after_dropping_flagged,
   count(*) FILTER ({KEPT}) AS after_sample_start, count(*) FILTER ({KEPT}) AS after_unscheduled_filter, count(*) FILTER ({KEPT} AND entry IS NOT NULL) AS with_entry_date FROM rel) UNPIVOT c ON COLUMNS(*) INTO NAME step VALUE n""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import evaluation as V
-from tidemark.plans.panel import SCORED, rounded, scores
+from tidemark.plans.panel import DOCS, SCORED, rounded, scores
 from tidemark.sources import html, stages
 
 K = 5
@@ -131,6 +131,9 @@ _LINES = ", ".join(f"'{x}'" for x in T.CHROME_LINES)
 _RANKS = "k AS (SELECT *, rank() OVER (ORDER BY s_prob) + (count(*) OVER (PARTITION BY s_prob) - 1) / 2 AS ra, rank() OVER (ORDER BY s_count) + (count(*) OVER (PARTITION BY s_count) - 1) / 2 AS rb FROM (SELECT round(s_prob, 8) AS s_prob, round(s_count, 8) AS s_count FROM ds))"
 _ALL = "a AS (SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, s_prob, s_count FROM documents LEFT JOIN ds USING (doc_id))"
 
+CLEAN = f"""l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS l FROM documents),
+c AS (SELECT doc_id, array_to_string(list_filter(l, lambda x: trim(x, ' |') <> '' AND NOT regexp_matches(x, '^(?:{_STARTS})') AND lower(trim(x, ' |')) NOT IN ({_LINES}) AND NOT regexp_matches(trim(x, ' |'), '(?i)^\\d{{4}}\\s+monetary policy$')), E'\\n') AS t FROM l)"""
+
 ORACLES = {
     "label_mix": f"WITH {SCORED} SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM sc), 4) AS pct FROM sc GROUP BY 1",
     "score_correlation": f"WITH {SCORED}, {_RANKS} SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman, round(corr(s_prob, s_count), 6) AS pearson FROM k",
@@ -143,9 +146,9 @@ ORACLES = {
     "confusion_matrix": f"""WITH {SCORED}, n AS (SELECT doc_id, count(*) FILTER (label = 'positive') AS p, count(*) FILTER (label = 'negative') AS n, count(*) FILTER (label = 'neutral') AS u FROM sc GROUP BY 1),
 l AS (SELECT quality AS actual, CASE WHEN p IS NULL THEN 'none' WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END AS said FROM labels JOIN documents USING (doc_id) LEFT JOIN n USING (doc_id))
 SELECT actual, {", ".join(f"count(*) FILTER (said = '{c}') AS {c}" for c in ("positive", "negative", "neutral", "none"))} FROM l GROUP BY 1""",
-    "clean_documents": f"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS l FROM documents),
-c AS (SELECT doc_id, array_to_string(list_filter(l, lambda x: trim(x, ' |') <> '' AND NOT regexp_matches(x, '^(?:{_STARTS})') AND lower(trim(x, ' |')) NOT IN ({_LINES}) AND NOT regexp_matches(trim(x, ' |'), '(?i)^\\d{{4}}\\s+monetary policy$')), E'\\n') AS t FROM l)
-SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha256 FROM c""",
+    "clean_documents": f"WITH {CLEAN} SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha256 FROM c",
+    "documents_table": f"""WITH {CLEAN}, {DOCS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN t END AS text FROM c))")}
+SELECT doc_id, doc_type, CASE WHEN text IS NULL THEN 'MISSING_FILE' ELSE 'file' END AS selector_used, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, is_error_page, is_flagged, release_minutes, release_time_source FROM d WHERE doc_id % 17 <> 0""",
     "page_addresses": r"""SELECT page_id, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host, CASE WHEN contains(url, '/fomc/') THEN 'fomc' WHEN contains(url, '/boarddocs/') THEN 'boarddocs' WHEN contains(url, '/press/monetary/') THEN 'press' ELSE 'pressreleases' END AS era,
   CAST(CAST(try_strptime(nullif(regexp_extract(url, '/fomc/(\d{8})default\.htm|/boarddocs/press/[a-z]+/\d{4}/(\d{8})/?(?:default\.htm)?$|/newsevents/press/monetary/(\d{8})[a-z]\d*\.htm', 1), ''), '%Y%m%d') AS DATE) AS VARCHAR) AS url_date,
   strftime(DATE '2000-01-03' + CAST(page_id % 3000 AS INTEGER), '%Y%m%d') || '_' || substr(sha256(url), 1, 6) || '.htm' AS raw_path FROM pages""",
