@@ -90,3 +90,19 @@ def test_random_tokens_of_each_alphabet_are_found(spark):
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefgh12 end", 9), (2, None, None), (3, "clean", 5)], "doc_id bigint, text string, n_chars bigint")
     assert sorted(map(tuple, secrets.redacted(docs).collect()), key=str) == [(1, "é [secret] end", 14), (2, None, None), (3, "clean", 5)]
+
+
+def test_entropy_finds_planted_secrets_and_leaves_names_alone(spark):
+    """Recall and precision on random strings of 32 characters in prose with identifiers, dates and examples."""
+    rng, alphabet = random.Random(3), string.ascii_letters + string.digits
+    planted = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(200)]
+    prose = "see well-known-thing_2024-01-02-report-final, item-12345678-abcdef-2, my_example_api_key_1234567890 and dummy-token-000111222333 then {} ok"
+    got = secrets.scanned(spark.createDataFrame([(i, prose.format(p)) for i, p in enumerate(planted)], "doc_id int, text string")).collect()
+    start = prose.index("{}")
+    right = sum(r.spans == f"entropy:{start}:{start + 32}" for r in got)
+    assert right >= 196 and all(r.spans in ("", f"entropy:{start}:{start + 32}") for r in got)
+
+
+def test_an_example_word_within_a_secret_does_not_hide_it(spark):
+    text = "key q8ZexampleT4mVx2Lb7Rk9Wd3Js6Ny"
+    assert [r.spans for r in secrets.scanned(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()] == ["entropy:4:34"]

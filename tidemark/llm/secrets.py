@@ -2,8 +2,9 @@
 
 Only DataFrame functions are used, in one narrow pass. A candidate is a run of at least ``WINDOW``
 characters of ``[A-Za-z0-9+/_=-]`` that holds a digit and a letter. Its class (the smallest alphabet that
-holds it: hexadecimal, base32, letters of one case, or mixed) sets the threshold. A window slides over it: the counts of its characters, and the sum of
-``c * log2(c)`` over them, change only by the character that enters and the one that leaves. A candidate
+holds it: hexadecimal, base32, letters of one case, or mixed) sets the threshold. A window slides over it: the
+counts of its characters, packed as five bits each into six integers, and the sum of ``c * log2(c)`` over them
+change only by the character that enters and the one that leaves. A candidate
 with a window at or above its class's threshold is a span of kind ``entropy``, unless it matches the
 allow list or overlaps a span of a fixed pattern.
 
@@ -26,11 +27,13 @@ WINDOW = 20
 #: Least bits per character within a window (at most log2(20) = 4.32): what 99 % of random strings of 20
 #: characters reach of 16, 32, 36 and 62 symbols (by 40,000 simulated ones each); longer ones reach it more often.
 HEX_BITS, BASE32_BITS, CASE_BITS, MIXED_BITS = 2.88, 3.34, 3.40, 3.64
-#: Candidates that match are never secrets: UUIDs, words and numbers joined by single separators, examples.
+#: What candidates are made of; with counts of five bits each, twelve to an integer.
+ALPHABET, PACK, WIDTH = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 12, 5
+#: Candidates that match as a whole are never secrets: UUIDs, words and numbers joined by single separators, examples.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)([-_/=+]([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*$",
-    r"(?i)example|placeholder|dummy",
+    r"(?i)^((example|placeholder|dummy|sample|your|my|api|access|secret|password|token|key)[-_]?)+[0-9x]*$",
 )
 
 
@@ -54,29 +57,33 @@ def located(text: Column, pattern: str, kind: int, needs: Column, keep: Column |
 
 
 def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits per character, of any window of the candidate."""
-    chars = F.split(candidate, "")
-    alphabet = F.array_distinct(chars)
-    base = F.struct(F.transform(chars, lambda c: (F.array_position(alphabet, c) - 1).cast("int")).alias("ix"), F.array_repeat(F.lit(0), F.size(alphabet)).alias("zero"))
+    """The highest Shannon entropy, in bits per character, of any window (of at most 31 characters) of the candidate."""
+    one = F.lit(1).cast("bigint")
+    places = F.transform(F.split(candidate, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    shifted = lambda name, x, n: F.call_function(name, x, n)
 
     def weight(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def peak(b: Column) -> Column:
-        start = F.struct(b["zero"].alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    def count(counts: Column, at: Column) -> Column:
+        return shifted("shiftright", F.get(counts, (at / PACK).cast("int")), at % PACK * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+
+    def peak(ix: Column) -> Column:
+        zero = F.array_repeat(F.lit(0).cast("bigint"), -(-len(ALPHABET) // PACK))
+        start = F.struct(zero.alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
         bits = lambda s: F.log2(F.lit(float(window))) - s / window
 
         def step(a: Column, i: Column) -> Column:
-            enters = F.get(b["ix"], i)
-            leaves = F.when(i >= window, F.get(b["ix"], i - window)).otherwise(-1)
-            counts = F.transform(a["counts"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
-            c_out, c_in = F.coalesce(F.get(a["counts"], leaves), F.lit(0)), F.get(a["counts"], enters)
-            change = F.when(enters == leaves, 0.0).otherwise(weight(c_in + 1) - weight(c_in) + F.when(leaves >= 0, weight(c_out - 1) - weight(c_out)).otherwise(0.0))
+            enters, leaves = F.get(ix, i), F.when(i >= window, F.get(ix, i - window))
+            add, drop = shifted("shiftleft", one, enters % PACK * WIDTH), shifted("shiftleft", one, leaves % PACK * WIDTH)
+            counts = F.transform(a["counts"], lambda c, j: c + F.when(j == (enters / PACK).cast("int"), add).otherwise(0) - F.when(j == (leaves / PACK).cast("int"), drop).otherwise(0))
+            c_in, c_out = count(a["counts"], enters), count(a["counts"], leaves)
+            change = F.when(enters == leaves, 0.0).otherwise(weight(c_in + 1) - weight(c_in) + F.when(leaves.isNotNull(), weight(c_out - 1) - weight(c_out)).otherwise(0.0))
             return F.struct(counts.alias("counts"), (a["s"] + change).alias("s"), F.when(i >= window, F.greatest(a["best"], bits(a["s"]))).otherwise(a["best"]).alias("best"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b["ix"]) - 1), start, step, lambda a: F.greatest(a["best"], bits(a["s"])))
+        return F.aggregate(F.sequence(F.lit(0), F.size(ix) - 1), start, step, lambda a: F.greatest(a["best"], bits(a["s"])))
 
-    return F.element_at(F.transform(F.array(base), peak), 1)
+    return F.element_at(F.transform(F.array(places), peak), 1)
 
 
 def suspicious(c: Column) -> Column:
