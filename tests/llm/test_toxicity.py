@@ -56,8 +56,8 @@ def test_counts_and_ratios(spark):
     for text in ("abcabc", "abc", "xyz"):
         for f in T.features(text, seen).tolist():
             assert found[f] == tuple(sum(y == k and f in T.features(t, seen) for t, y in (("abcabc", 0), ("abc", 1), ("xyz", 1))) for k in (0, 1))
-    n = np.array([1000, 500])
-    ratio = T.log_ratios(np.array([0, 900, 5, 400, 0]), np.array([400, 10, 2, 200, 0]), n)
+    pairs = spark.createDataFrame([(0, 400), (900, 10), (5, 2), (400, 200), (0, 0)], "clean long, toxic long")
+    ratio = [r[0] for r in pairs.select(T.log_ratio(F.col("clean"), F.col("toxic"), [1000, 500])).collect()]
     assert ratio[0] > 3 and ratio[1] < -2 and ratio[2] == ratio[3] == ratio[4] == 0  # both signs; chance says nothing
 
 

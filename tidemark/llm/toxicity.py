@@ -82,12 +82,12 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def log_ratios(clean: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Smoothed log ratios of the shares of rows, drawn towards zero by their standard errors."""
-    clean, toxic = (c + SMOOTHING * m / n.sum() for c, m in zip((clean, toxic), n, strict=True))  # in proportion, so that nothing is said of a feature not seen
-    ratio = np.log(toxic / n[1]) - np.log(clean / n[0])
-    error = np.sqrt(np.maximum(0, 1 / clean + 1 / toxic - 1 / n[0] - 1 / n[1]))
-    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - ERRORS * error)
+def log_ratio(clean: Column, toxic: Column, n: list[int]) -> Column:
+    """The smoothed log ratio of the shares of rows, drawn towards zero by its standard errors."""
+    clean, toxic = (c + SMOOTHING * m / sum(n) for c, m in zip((clean, toxic), n, strict=True))  # in proportion, so that nothing is said of a feature not seen
+    ratio = F.log(toxic / n[1]) - F.log(clean / n[0])
+    error = F.sqrt(F.greatest(F.lit(0.0), 1 / clean + 1 / toxic - 1 / n[0] - 1 / n[1]))
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - ERRORS * error)
 
 
 @dataclass
@@ -111,26 +111,28 @@ class Model:
         return docs.mapInArrow(run, schema)
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, each: np.ndarray, ratio: np.ndarray, rounds: int = 150, step: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on features scaled by ``ratio``, by Adam over the whole bounded sample."""
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    used, column = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]), return_inverse=True)
-    column, scale = column.astype(np.int32), ratio[used]
-    w, b = np.full(len(used), 0.1), float(np.log((each @ labels + 1) / (each @ (1 - labels) + 1)))
+def fit_weights(columns: np.ndarray, offsets: np.ndarray, labels: np.ndarray, each: np.ndarray, scale: np.ndarray, rounds: int = 150, step: float = 0.05, decay: float = 1e-3, chunk: int = 1 << 19) -> tuple[np.ndarray, float]:
+    """Logistic regression on features scaled by ``scale``, by Adam over the whole bounded sample: row ``i`` holds
+    ``columns[offsets[i]:offsets[i + 1]]``. Temporary arrays hold about ``chunk`` features at a time."""
+    w, b = np.full(len(scale), 0.1), float(np.log((each @ labels + 1) / (each @ (1 - labels) + 1)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    share = each / each.sum()
+    share, sizes = each / each.sum(), np.diff(offsets)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(offsets, np.arange(chunk, offsets[-1] + 1, chunk)), [len(labels)]]))
     for t in range(1, rounds + 1):
-        z = b + np.bincount(row, (w * scale)[column], len(rows))
-        error = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels)
-        g, gb = np.bincount(column, error[row], len(used)) * scale + decay * w, error.sum()
+        scaled, g, gb = w * scale, np.zeros_like(w), 0.0
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            column, row = columns[offsets[low] : offsets[high]], np.repeat(np.arange(high - low), sizes[low:high])
+            z = b + np.bincount(row, scaled[column], high - low)
+            error = share[low:high] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[low:high])
+            g += np.bincount(column, error[row], len(w))
+            gb += error.sum()
+        g = g * scale + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= step * fix * m / (np.sqrt(v) + 1e-9)
         b -= step * fix * mb / (np.sqrt(vb) + 1e-9)
-    weight = np.zeros(1 << BITS, np.float32)
-    weight[used] = w * scale
-    return weight, float(b)
+    return w * scale, float(b)
 
 
 def sampled(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -153,31 +155,37 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH, sa
     docs = docs.select("doc_id", "text")
     marks = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # By merge at every size: labels grow with the documents.
-    counts = feature_counts(docs.join(marks.hint("merge"), "doc_id")).toArrow()  # at most 2**BITS + 1 rows
-    at, clean, toxic = (counts.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
-    n = np.array([clean[at == TOTAL].sum(), toxic[at == TOTAL].sum()])
-    if not n.all():
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log((n[1] + 1) / (n[0] + 1))))
-    ratio, real = np.zeros(1 << BITS), at != TOTAL
-    ratio[at[real]] = log_ratios(clean[real], toxic[real], n)
-    used = docs.sparkSession.sparkContext.broadcast(ratio != 0)  # 2**BITS bytes
+    counts = staged(feature_counts(docs.join(marks.hint("merge"), "doc_id")), "toxicity-counts")
+    total = counts.filter(F.col("feature") == TOTAL).first()
+    n = [0, 0] if total is None else [total["clean"], total["toxic"]]
+    weight = np.zeros(1 << BITS, np.float32)
+    if not all(n):
+        return Model(weight, float(np.log((n[1] + 1) / (n[0] + 1))))
+    ratios = counts.filter(F.col("feature") != TOTAL).select(F.col("feature").cast("int"), log_ratio(F.col("clean"), F.col("toxic"), n).alias("ratio"))
+    ratios = ratios.filter("ratio != 0").sort("feature").toArrow()  # at most 2**BITS rows of 12 bytes
+    at, scale = (ratios.column(c).to_numpy() for c in ("feature", "ratio"))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[at] = np.arange(len(at))
+    places = docs.sparkSession.sparkContext.broadcast(place)  # 4 * 2**BITS bytes
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            found = (features(t.as_py(), seen) for t in batch.column("text"))
-            lists = pa.array([f[used.value[f]].astype(np.int32) for f in found], pa.list_(pa.int32()))
+            found = (places.value[features(t.as_py(), seen)] for t in batch.column("text"))
+            lists = pa.array([f[f >= 0] for f in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([lists, *(batch.column(c) for c in ("doc_id", "text_hash", "toxic", "n"))], names=["found", "doc_id", "text_hash", "toxic", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
     sample = sampled(docs, marks, sample_each, sample_chars).mapInArrow(picked, f"found array<int>, doc_id {kind}, text_hash bigint, toxic int, n bigint")
-    sample = sample.dropDuplicates(["doc_id", "text_hash", "toxic"]).orderBy("toxic", F.xxhash64("doc_id", "text_hash")).toArrow()
+    sample = sample.dropDuplicates(["doc_id", "text_hash", "toxic"]).orderBy("toxic", F.xxhash64("doc_id", "text_hash")).select("found", "toxic", "n").toArrow()
     labels_ = sample.column("toxic").to_numpy().astype(float)
     rows = sample.column("n").to_numpy().astype(float)
     each = rows * np.where(labels_ == 1, n[1] / rows[labels_ == 1].sum(), n[0] / rows[labels_ == 0].sum())
     lists = sample.column("found").combine_chunks()
-    found = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
-    return Model(*fit_weights(found, labels_, each, ratio))
+    del sample
+    weights, bias = fit_weights(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]), labels_, each, scale)
+    weight[at] = weights
+    return Model(weight, bias)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
