@@ -1,4 +1,4 @@
-"""Language-model scores against a trie walked byte by byte, by either join."""
+"""Language-model scores against a trie walked byte by byte, with all, some or none of the costs broadcast."""
 
 import math
 import random
@@ -41,7 +41,7 @@ def brute(rows, order):
         yield i, h, len(each) + 1, sum(words[w] > 0 for w in [*each, None]), n, base, score
 
 
-@pytest.mark.parametrize("most", [ppm.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("most", [ppm.BROADCAST_ROWS, 40, 0])
 def test_equals_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(ppm, "BROADCAST_ROWS", most)
     rng = random.Random(4)

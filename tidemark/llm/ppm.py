@@ -8,8 +8,10 @@ from the next shorter context, with what the longer one had seen left out of ``n
 the empty context the remaining bytes are alike. As a string's cost never changes, joins work out the cost
 of each distinct string of the corpus once, and a text's score is the sum over its places.
 
-Cost tables of up to ``BROADCAST_ROWS`` rows (counted first) are broadcast; larger ones are joined to each
-text's distinct strings and words by a shuffle. The vocabulary is keyed by 64-bit word hashes.
+The costs of the most frequent strings and words, ``BROADCAST_ROWS`` of each at most, are broadcast. A text's other
+strings and words, few as they are rare, are joined to the rest of the tables by a shuffle and added to its sums, at
+any size of the corpus; where a whole table is broadcast, no such join is left to do. The vocabulary is keyed by
+64-bit word hashes.
 
 Defined cases: null and empty texts are the end alone; without training texts all bytes are alike and no
 token is known; null ids count as the empty string's fold; rows equal in id and text get equal rows, each
@@ -30,8 +32,8 @@ from tidemark.llm import tokens
 from tidemark.llm.stage import keyed, staged
 
 ORDER = 4
-#: Rows (of 16 bytes) of either cost table up to which it is broadcast.
-BROADCAST_ROWS = 4_000_000
+#: Rows (of 16 bytes) of either cost table that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Distinct strings or words that a task sums up before it passes them on.
 FLUSH = 1_000_000
 END = b"\n"
@@ -102,7 +104,7 @@ def low(column: str, length: int) -> Column:
 
 
 def string_costs(grams: DataFrame, order: int) -> DataFrame:
-    """``key, cost`` (log10 of the probability) for every ``gram`` with its training count ``n`` (0: not seen)."""
+    """``key, cost, n`` (log10 of the probability) for every ``gram`` with its training count ``n`` (0: not seen)."""
     seen = staged(grams.filter("n > 0"), "lm-seen")
     contexts = lambda t: t.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("all"), F.count("*").alias("distinct"))
     above = contexts(seen)
@@ -110,7 +112,7 @@ def string_costs(grams: DataFrame, order: int) -> DataFrame:
     whole, sorts = F.coalesce("all", F.lit(0)), F.coalesce("distinct", F.lit(0))
     rest = staged(rest.select("gram", F.when(sorts > 0, F.log10(sorts / (whole + sorts))).otherwise(0.0).alias("cost"), sorts.alias("gone")), "lm-rest")
     known = seen.withColumn("context", F.shiftright("gram", 8)).join(above.hint("merge"), "context")
-    costs = known.select(F.col("gram").alias("key"), F.log10(F.col("n") / (F.col("all") + F.col("distinct"))).alias("cost"))
+    costs = known.select(F.col("gram").alias("key"), F.log10(F.col("n") / (F.col("all") + F.col("distinct"))).alias("cost"), "n")
     for length in range(order, 0, -1):  # bytes of the string that are left, its last one included
         shorter = staged(seen.groupBy(low("gram", length).alias("gram")).agg(F.sum("n").alias("n")), "lm-shorter")
         # What the longer context had seen, by its counts here.
@@ -123,20 +125,20 @@ def string_costs(grams: DataFrame, order: int) -> DataFrame:
         total = F.coalesce("all", F.lit(0)) - F.coalesce("left_out", F.lit(0)) + d
         step = F.when(d <= 0, 0.0).otherwise(F.log10(F.try_divide(F.coalesce("n", d), total)))
         here = staged(here.select("gram", (F.col("cost") + step).alias("cost"), F.coalesce("distinct", F.lit(0)).alias("gone"), F.col("n").isNotNull().alias("hit")), "lm-here")
-        costs = costs.union(here.filter("hit").select("gram", "cost"))
+        costs = costs.union(here.filter("hit").select("gram", "cost", F.lit(0).cast("bigint")))
         rest, seen = here.filter("not hit"), shorter
-    return costs.union(rest.select("gram", F.col("cost") - F.log10((256 - F.col("gone")).cast("double"))))
+    return costs.union(rest.select("gram", F.col("cost") - F.log10((256 - F.col("gone")).cast("double")), F.lit(0).cast("bigint")))
 
 
 def word_costs(words: DataFrame, total: int, sorts: int) -> DataFrame:
-    """``key, cost`` of every word of the training texts."""
+    """``key, cost, n`` of every word of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column("word").to_pylist())), pa.array(np.log10((n + 0.5) / (total + 0.5 * (sorts + 1))))], names=["key", "cost"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column("word").to_pylist())), pa.array(np.log10((n + 0.5) / (total + 0.5 * (sorts + 1)))), batch.column("n")], names=["key", "cost", "n"])
 
-    return words.mapInArrow(run, "key bigint, cost double")
+    return words.mapInArrow(run, "key bigint, cost double, n bigint")
 
 
 def look_up(keys: np.ndarray, costs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,53 +167,73 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tables = [staged(string_costs(grams, order), "lm-costs"), staged(word_costs(words, total, sorts), "lm-vocabulary")]
     other = float(np.log10(0.5 / (total + 0.5 * (sorts + 1))))
     end = float(np.log10((ends + 0.5) / (total + 0.5 * (sorts + 1))))
-    small = all(t.count() <= BROADCAST_ROWS for t in tables)
-    out = (_by_broadcast if small else _by_shuffle)(rows, tables, order, other)
+    out = _summed(rows, tables, order, other)
     n = F.col("n_words") + 1
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), n.cast("bigint").alias("n_tokens"), (F.col("n_known") + int(ends > 0)).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") + end).alias("base_score"), "score")
 
 
-def _by_broadcast(rows: DataFrame, tables: list[DataFrame], order: int, other: float) -> DataFrame:
-    def sorted_arrays(t: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = t.sort("key").toArrow()  # at most BROADCAST_ROWS rows
-        return found.column("key").to_numpy(), found.column("cost").to_numpy()
-
-    shared = rows.sparkSession.sparkContext.broadcast([sorted_arrays(t) for t in tables])
+def _frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Sorted keys and costs of the most frequent rows, at most ``BROADCAST_ROWS``, and the least count that all such
+    rows have (null: the whole table). Counts are taken by powers of two: at most 64 rows."""
+    level = F.floor(F.log2(F.col("n") + 1)).cast("int")
+    sizes = {r["level"]: r["rows"] for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()}
+    held, least = 0, 1 << 62
+    for found in sorted(sizes, reverse=True):
+        held += sizes[found]
+        if held > BROADCAST_ROWS:
+            break
+        least = (1 << found) - 1
+    whole = held <= BROADCAST_ROWS
+    found = (table if whole else table.filter(F.col("n") >= least)).select("key", "cost").sort("key").toArrow()
+    return found.column("key").to_numpy(), found.column("cost").to_numpy(), None if whole else least
+
+
+def _summed(rows: DataFrame, tables: list[DataFrame], order: int, other: float) -> DataFrame:
+    """Per row ``doc_id, n_words, n_known, base, score`` from the tables of strings and of words."""
+    frequent = [_frequent(t) for t in tables]
+    shared = rows.sparkSession.sparkContext.broadcast([f[:2] for f in frequent])
+    partial = [f[2] is not None for f in frequent]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch, "text"):
-                sums = []
+                sums, rare = [], []
                 for wanted, row, kind in per_text(part, order):
                     each, place = np.unique(wanted, return_inverse=True)
                     cost, known = look_up(*shared.value[kind], each)
-                    cost = np.where(known, cost, other) if kind else cost
+                    left = ~known & partial[kind]
+                    cost = np.where(left, 0.0, np.where(known, cost, other) if kind else cost)
                     sums += [np.bincount(row, cost[place], part.num_rows), np.bincount(row, known[place], part.num_rows).astype(np.int64), np.bincount(row, minlength=part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[5]), pa.array(sums[4]), pa.array(sums[3]), pa.array(sums[0])], names=["doc_id", "n_words", "n_known", "base", "score"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, n_known bigint, base double, score double")
-
-
-def _by_shuffle(rows: DataFrame, tables: list[DataFrame], order: int, other: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                for wanted, row, kind in per_text(part, order):
-                    keys, place = np.unique(wanted, return_inverse=True)
-                    cell, n = np.unique(row * len(keys) + place, return_counts=True)
-                    of = pa.array(cell // max(len(keys), 1))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_hash").take(of), pa.array(np.full(len(n), kind, np.int32)), pa.array(keys[cell % max(len(keys), 1)]), pa.array(n)], names=["doc_id", "text_hash", "kind", "key", "n"])
-
-    parts = rows.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash bigint, kind int, key bigint, n bigint")
-    costs = tables[0].withColumn("kind", F.lit(0)).union(tables[1].withColumn("kind", F.lit(1)))
+                    if left.any():
+                        cell, n = np.unique((row * len(each) + place)[left[place]], return_counts=True)
+                        rare.append((cell // len(each), np.full(len(n), kind, np.int32), each[cell % len(each)], n))
+                of, kinds, keys, n = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                # A list in each row: what of the text is left to the join.
+                cuts = np.argsort(of, kind="stable")
+                fields = [pa.array(x[cuts]) for x in (kinds, keys, n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[cuts], np.arange(part.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays(fields, names=["kind", "key", "n"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(sums[5]), pa.array(sums[4]), pa.array(sums[3]), pa.array(sums[0]), lists], names=["doc_id", "row", "n_words", "n_known", "base", "score", "rare"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    numbered = rows.select("doc_id", F.xxhash64("doc_id", "text_hash").alias("row"), "text")
+    found = numbered.mapInArrow(run, f"doc_id {kind}, row bigint, n_words bigint, n_known bigint, base double, score double, rare array<struct<kind:int,key:bigint,n:bigint>>")
+    names = ["doc_id", "n_words", "n_known", "base", "score"]
+    if not any(partial):
+        return found.select(names)
+    found = staged(found, "lm-sums")
+    rest = None
+    for k, (table, (_, _, least)) in enumerate(zip(tables, frequent, strict=True)):
+        some = table.filter(F.col("n") < least) if least is not None else table.limit(0)
+        some = some.select(F.lit(k).alias("kind"), "key", "cost")
+        rest = some if rest is None else rest.union(some)
+    # Rows equal in id and text have equal lists: one of them is joined.
+    lists = found.filter(F.size("rare") > 0).groupBy("row").agg(F.first("rare").alias("rare")).select("row", F.inline("rare"))
     word, n = F.col("kind") == 1, F.col("n")
-    sums = parts.join(costs, ["kind", "key"], "left").groupBy("doc_id", "text_hash").agg(
-        F.coalesce(F.sum(F.when(word, n)), F.lit(0)).alias("n_words"),
-        F.coalesce(F.sum(F.when(word & F.col("cost").isNotNull(), n)), F.lit(0)).alias("n_known"),
-        F.coalesce(F.sum(F.when(word, n * F.coalesce("cost", F.lit(other)))), F.lit(0.0)).alias("base"),
-        F.sum(F.when(~word, n * F.col("cost"))).alias("score"),
+    more = lists.join(rest.hint("merge"), ["kind", "key"], "left").groupBy("row").agg(
+        F.coalesce(F.sum(F.when(word & F.col("cost").isNotNull(), n)), F.lit(0)).alias("more_known"),
+        F.coalesce(F.sum(F.when(word, n * F.coalesce("cost", F.lit(other)))), F.lit(0.0)).alias("more_base"),
+        F.coalesce(F.sum(F.when(~word, n * F.col("cost"))), F.lit(0.0)).alias("more_score"),
     )
-    copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies")
-    both = sums.join(copies, sums["doc_id"].eqNullSafe(copies["id"]) & (sums["text_hash"] == copies["hash"]))
-    whole = lambda c: F.expr(f"{c} div copies").alias(c)
-    return both.select("doc_id", whole("n_words"), whole("n_known"), (F.col("base") / F.col("copies")).alias("base"), (F.col("score") / F.col("copies")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    both = found.join(more, "row", "left")
+    added = [(F.col(c) + F.coalesce(m, F.lit(0))).alias(c) for c, m in (("n_known", "more_known"), ("base", "more_base"), ("score", "more_score"))]
+    return both.select("doc_id", "n_words", *added)
