@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bpe, decontaminate, hamming, ppm, repeats, secrets, toxicity, warc, wrappers
+from tidemark.llm import bagminhash, bpe, decontaminate, hamming, periods, ppm, repeats, secrets, toxicity, warc, wrappers
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
@@ -99,8 +99,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.found(periods.looped(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op9_wrappers": op9_wrappers, "op10_toxicity": op10_toxicity}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op9_wrappers": op9_wrappers, "op10_toxicity": op10_toxicity, "op12_periods": op12_periods}
 
 
 def oracle_sql() -> dict[str, str]:
