@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bpe, decontaminate, hamming, periods, ppm, repeats, secrets, toxicity, warc, wrappers
+from tidemark.llm import bagminhash, bpe, decontaminate, hamming, negatives, periods, ppm, repeats, secrets, toxicity, warc, wrappers
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
@@ -47,6 +47,13 @@ r AS (SELECT id AS x, id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y
 m AS (SELECT x AS id, min(y) AS class_id FROM r GROUP BY 1), f AS (SELECT doc_id, class_id FROM documents JOIN d ON coalesce(text, '') = t JOIN m USING (id))
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_members FROM f"""
 
+OP13_SQL = """WITH r AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+s AS (SELECT a.id AS anchor_id, b.id, a.y = b.y AS same, CAST(list_sum(list_transform(range(1, 65), lambda i: a.x[i] * b.x[i])) AS BIGINT) AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -99,13 +106,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors are the rows whose id is divisible by 100; of every seventh id the label is made wrong by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"), label)
+    return negatives.mined(rows, rows.filter(F.col("id") % 100 == 0))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.found(periods.looped(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op9_wrappers": op9_wrappers, "op10_toxicity": op10_toxicity, "op12_periods": op12_periods}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op9_wrappers": op9_wrappers, "op10_toxicity": op10_toxicity, "op12_periods": op12_periods, "op13_negatives": op13_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_repeats": OP3_SQL, "op4_hamming": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_bagminhash": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op3_repeats": OP3_SQL, "op4_hamming": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_bagminhash": OP8_SQL, "op13_negatives": OP13_SQL}
