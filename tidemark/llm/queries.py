@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bpe, decontaminate, hamming, negatives, periods, ppm, repeats, secrets, toxicity, warc, wrappers
+from tidemark.llm import bagminhash, bpe, decontaminate, hamming, negatives, periods, ppm, repeats, secrets, toxicity, urltrees, warc, wrappers
 from tidemark.llm.stage import table
 
 #: Where the public tokenizer files lie; pass another path to the operator for another vocabulary.
 TOKENIZER = "byte_bpe_50k.json"
+#: The rules of op11, by host and start of the path.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
 OP1_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -47,6 +49,27 @@ r AS (SELECT id AS x, id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y
 m AS (SELECT x AS id, min(y) AS class_id FROM r GROUP BY 1), f AS (SELECT doc_id, class_id FROM documents JOIN d ON coalesce(text, '') = t JOIN m USING (id))
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_members FROM f"""
 
+_FITS = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+_LONGEST = sorted(RULES, key=len, reverse=True)
+_NODES = """SELECT host, {0}, n, a, b, d, list_slice(g, 1, d - 1) AS parent, list_slice(g, 1, d) AS key, g[d] AS segment FROM (SELECT *, unnest(range(1, len(g) + 1)) AS d FROM (SELECT *, string_split({0}, '/') AS g FROM {1}))"""
+OP11_SQL = f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {" ".join(f"WHEN {_FITS(r)} THEN '{r}'" for r in _LONGEST)} END AS rule, CASE {" ".join(f"WHEN {_FITS(r)} THEN '{RULES[r]}'" for r in _LONGEST)} END AS ruling,
+  array_to_string(list_transform(string_split(path, '/'), lambda s: CASE {" ".join(f"WHEN regexp_matches(s, '{p}') THEN '{c}' || regexp_extract(s, '{urltrees.EXTENSION}', 1)" for p, c in urltrees.FORMS)} ELSE s END), '/') AS shape FROM u),
+sh AS (SELECT host, shape, count(*) AS n, count(*) FILTER (ruling = 'allow') AS a, count(*) FILTER (ruling = 'block') AS b FROM r GROUP BY 1, 2),
+e AS ({_NODES.format("shape", "sh")}), ch AS (SELECT host, parent, segment, sum(n) AS n FROM e GROUP BY ALL), tot AS (SELECT host, parent, sum(n) AS t FROM ch GROUP BY ALL),
+lit AS (SELECT host, parent, segment FROM ch JOIN tot USING (host, parent) WHERE segment = '' OR n >= {urltrees.LEAST} AND n >= {urltrees.SHARE} * t),
+ge AS (SELECT e.host, e.shape, string_agg(CASE WHEN lit.host IS NULL THEN '*' ELSE e.segment END, '/' ORDER BY d) AS general FROM e LEFT JOIN lit USING (host, parent, segment) GROUP BY 1, 2),
+gs AS (SELECT host, general, sum(n) AS n, sum(a) AS a, sum(b) AS b FROM sh JOIN ge USING (host, shape) GROUP BY ALL), e2 AS ({_NODES.format("general", "gs")}),
+br AS (SELECT host, parent, key, segment, sum(a) AS a, sum(b) AS b FROM e2 GROUP BY ALL), un AS (SELECT host, parent AS key, string_agg(segment, '/' ORDER BY segment) AS under FROM br GROUP BY ALL),
+bu AS (SELECT br.*, coalesce(under, '-') AS under, a + b AS known, CASE WHEN a + b > 0 THEN b / (a + b) END AS rate FROM br LEFT JOIN un USING (host, key)),
+op AS (SELECT *, CASE WHEN rate IS NULL AND row_number() OVER w > 1 OR coalesce(rate - lag(rate) OVER w <= {urltrees.BOUND!r} * (1 / sqrt(known) + 1 / sqrt(nullif(lag(known) OVER w, 0))), FALSE) THEN 0 ELSE 1 END AS opens FROM bu WINDOW w AS (PARTITION BY host, parent, under ORDER BY rate NULLS FIRST, segment)),
+gr AS (SELECT *, sum(opens) OVER (PARTITION BY host, parent, under ORDER BY rate NULLS FIRST, segment) AS g FROM op),
+me AS (SELECT host, parent, segment, array_to_string(list_sort(list(segment) OVER (PARTITION BY host, parent, under, g)), '|') AS merged FROM gr),
+te AS (SELECT host, general, string_agg(merged, '/' ORDER BY d) AS template FROM e2 JOIN me USING (host, parent, segment) GROUP BY 1, 2),
+fo AS (SELECT sh.*, template FROM sh JOIN ge USING (host, shape) JOIN te USING (host, general)), wh AS (SELECT (sum(b) + 1) / (sum(a + b) + 2) AS g FROM sh),
+ho AS (SELECT host, (sum(b) + {urltrees.WEIGHT} * any_value(g)) / (sum(a + b) + {urltrees.WEIGHT}) AS h FROM sh, wh GROUP BY 1),
+pu AS (SELECT host, template, (sum(b) + {urltrees.WEIGHT} * any_value(h)) / (sum(a + b) + {urltrees.WEIGHT}) AS purity FROM fo JOIN ho USING (host) GROUP BY 1, 2)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN purity >= {urltrees.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity FROM r JOIN fo USING (host, shape) JOIN pu USING (host, template)"""
 OP13_SQL = """WITH r AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
 s AS (SELECT a.id AS anchor_id, b.id, a.y = b.y AS same, CAST(list_sum(list_transform(range(1, 65), lambda i: a.x[i] * b.x[i])) AS BIGINT) AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
@@ -106,6 +129,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urltrees.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return found.withColumn("purity", F.round("purity", 6))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anchors are the rows whose id is divisible by 100; of every seventh id the label is made wrong by one."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -118,8 +146,8 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op9_wrappers": op9_wrappers, "op10_toxicity": op10_toxicity, "op12_periods": op12_periods, "op13_negatives": op13_negatives}
+    return {"op1_warc": op1_warc, "op2_secrets": op2_secrets, "op3_repeats": op3_repeats, "op4_hamming": op4_hamming, "op5_decontamination": op5_decontamination, "op6_ppm": op6_ppm, "op7_bpe": op7_bpe, "op8_bagminhash": op8_bagminhash, "op9_wrappers": op9_wrappers, "op10_toxicity": op10_toxicity, "op11_urls": op11_urls, "op12_periods": op12_periods, "op13_negatives": op13_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_repeats": OP3_SQL, "op4_hamming": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_bagminhash": OP8_SQL, "op13_negatives": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op3_repeats": OP3_SQL, "op4_hamming": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_bagminhash": OP8_SQL, "op11_urls": OP11_SQL, "op13_negatives": OP13_SQL}
