@@ -24,7 +24,12 @@ def stripped(text: Column) -> Column:
 
 def sentences(text: Column, least: int = LEAST_SENTENCE) -> Column:
     """The sentences of a text as an array; null and empty texts have none."""
-    lines = F.flatten(F.transform(F.split(stripped(F.coalesce(text, F.lit(""))), SENTENCE_END), lambda s: F.split(s, "\n")))
+    return lines_of(F.split(stripped(F.coalesce(text, F.lit(""))), SENTENCE_END), least)
+
+
+def lines_of(parts: Column, least: int = LEAST_SENTENCE) -> Column:
+    """The lines of the parts of a text, stripped, without those too short to be sentences."""
+    lines = F.flatten(F.transform(parts, lambda s: F.split(s, "\n")))
     return F.filter(F.transform(lines, stripped), lambda s: F.length(s) >= least)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,3 +79,22 @@ def appended(manifest: DataFrame, more: DataFrame) -> DataFrame:
 def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row of each key, the first by ``order``; a null key is a key."""
     return df.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_first = 1").drop("_first")
+
+
+_local: dict[str, str] = {}
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share (the session's ``spark.checkpoint.dir``) and read back:
+    work done once, lineage cut. Only a local session may leave the folder unset, and gets a temporary one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _local.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-stage-")
+        _local[context.applicationId] = folder
+    path = f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
