@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tidemark import catalog
 from tidemark.functions import text as T
 from tidemark.operators import events as E
-from tidemark.plans import panel, reports, trained
+from tidemark.plans import panel, reports, streamed, trained
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalog.QUERIES | panel.QUERIES | reports.QUERIES | trained.QUERIES, catalog.ORACLES | panel.ORACLES | reports.ORACLES | trained.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | panel.QUERIES | reports.QUERIES | trained.QUERIES | streamed.QUERIES, catalog.ORACLES | panel.ORACLES | reports.ORACLES | trained.ORACLES | streamed.ORACLES
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables")

@@ -84,17 +84,22 @@ def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
 _local: dict[str, str] = {}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that all executors share (the session's ``spark.checkpoint.dir``) and read back:
-    work done once, lineage cut. Only a local session may leave the folder unset, and gets a temporary one."""
-    spark = df.sparkSession
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses, in the folder that the driver and all executors share: the session's
+    ``spark.checkpoint.dir``. Only a local session may leave that unset, and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _local.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-stage-")
-        _local[context.applicationId] = folder
-    path = f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-stage-")
+        folder = _local[context.applicationId]
+    return f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: work done once, lineage cut, safe to recompute from."""
+    path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
