@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import asof
 from tidemark.operators import evaluation as V
 from tidemark.operators import events as E
 from tidemark.operators import panel as P
@@ -134,6 +135,21 @@ def spot_checks(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("doc_date").cast("string").alias("doc_date"), F.col("entry").cast("string").alias("entry"), (F.to_date(P.local(F.col("release"))) == F.col("entry")).alias("same_session"))
 
 
+def asof_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries where every session has hours of its own: some open at 13:00."""
+    hours = bars(spark, sf).select("session", F.when(F.dayofmonth("session") % 9 == 1, 780).otherwise(E.OPEN_MINUTES).alias("open_minutes"))
+    docs = documents(spark, sf).select("doc_id", "doc_date", "text")
+    found = asof.next_open(P.resolved_releases(docs, OVERRIDES).select("doc_id", "release"), hours)
+    return found.select("doc_id", F.col("entry").cast("string").alias("entry"))
+
+
+def previous_purchase(spark: SparkSession, sf: str) -> DataFrame:
+    """For each event the last purchase of its user before it."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), F.col("event_id").alias("purchase_id"))
+    return asof.joined(events.drop("event_type"), bought, "ts", "bought_at", ["purchase_id"], ["user_id"], forward=False).select("event_id", "purchase_id")
+
+
 def document_signal(spark: SparkSession, sf: str) -> DataFrame:
     found = signalled(scored_panel(spark, sf), "s_prob", LOOKBACK, THETA)
     return rounded(found.select("doc_id", "S", "mu", "sigma", "z", "position", "turnover"), "S", "mu", "sigma", "z")
@@ -235,7 +251,7 @@ def session_edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.edges(bars(spark, sf), "session").select(F.col("session").cast("string").alias("session"), "open", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
+QUERIES = {f.__name__: f for f in (asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
 
 BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
@@ -281,6 +297,8 @@ c1 AS (SELECT pair, count(*) AS n, corr(ra, rb) AS ic, corr(value, fwd) AS pears
 si AS (SELECT pair, sum(w * pow(1 + x * x / (n - 2), -(n - 1) / 2)) * t / 6000 AS area FROM (SELECT pair, n, abs(t) AS t, abs(t) * i / 2000 AS x, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM c2, range(2001) r(i)) GROUP BY pair, n, t)"""
 
 ORACLES = {
+    "asof_instants": f"WITH {BARS}, {DOCS}, o AS (SELECT session, timezone('America/New_York', CAST(session AS TIMESTAMP) + to_minutes(CASE WHEN day(session) % 9 = 1 THEN 780 ELSE 570 END)) AS opens FROM bars) SELECT doc_id, CAST(session AS VARCHAR) AS entry FROM d ASOF LEFT JOIN o ON d.release < o.opens",
+    "previous_purchase": "WITH b AS (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT event_id, purchase_id FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts > b.ts",
     "price_quality": f"WITH {BARS} SELECT count(*) AS n_sessions, count(*) FILTER (open < 20000) AS n_dropped, count(*) FILTER (open >= 20000) AS n_kept, CAST(max(session) FILTER (open >= 20000) AS VARCHAR) AS last FROM bars",
     "session_edges": f"WITH {BARS}, n AS (SELECT *, row_number() OVER (ORDER BY session) AS i, row_number() OVER (ORDER BY session DESC) AS j FROM bars) SELECT CAST(session AS VARCHAR) AS session, open, \"close\", volume FROM n WHERE i <= 3 OR j <= 3",
     "release_resolution": f"WITH {DOCS} SELECT doc_id, parsed_minutes, release_minutes, release_time_source, CAST(epoch(release) AS BIGINT) AS release_epoch FROM d",
