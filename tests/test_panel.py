@@ -12,6 +12,7 @@ from tidemark.functions import text as T
 from tidemark.operators import evaluation as V
 from tidemark.operators import events as E
 from tidemark.operators import panel as P
+from tidemark.operators import scans as SC
 
 DAYS = [date(2020, 3, d) for d in range(2, 32) if date(2020, 3, d).weekday() < 5 and d != 12]
 
@@ -145,7 +146,7 @@ def test_total_loss(spark):
 def test_average_ranks_and_p(spark):
     values = [3.0, 1.0, 3.0, 2.0, 9.0, 3.0, -1.0]
     rows = spark.createDataFrame([("k", v) for v in values], "key string, v double")
-    got = {r.v: r.rank for r in V.average_ranks(rows, "key", "v", "rank", parts=3).collect()}
+    got = {r.v: r.rank_v for r in SC.average_ranks(rows, ["key"], ["v"], parts=3).collect()}
     assert got == {-1.0: 1, 1.0: 2, 2.0: 3, 3.0: 5, 9.0: 7}
     p = V.tail_probability(np.array([2.228139, 0.0, 12.7062, np.nan]), np.array([10, 5, 1, 3]))
     assert p[:3] == pytest.approx([0.05, 1.0, 0.05], abs=1e-5) and np.isnan(p[3])
@@ -217,3 +218,15 @@ def test_calendar_guards(spark, sessions):
             P.checked_calendar(bad)
     assert P.complete_prices(spark.createDataFrame([(1.0, None), (1.0, 2.0)], "open double, close double")).count() == 1
     assert [r.session for r in P.edges(sessions, "session", 1).orderBy("session").collect()] == [DAYS[0], DAYS[-1]]
+
+
+def test_wall_clock_in_sessions_with_summer_time(spark):
+    at = ["2023-10-29 00:30:00.000001", "2023-10-29 01:30:00", "2023-03-12 07:00:00", "1969-12-31 23:59:59.5", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(at)], "i int, s string").select("i", F.to_utc_timestamp(F.col("s").cast("timestamp"), "UTC").alias("t"), F.to_timestamp(F.concat("s", F.lit(" UTC"))).alias("u"))
+    for zone in ("Europe/Berlin", "America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = [r.w for r in rows.select("i", P.local(F.col("u")).cast("string").alias("w")).orderBy("i").collect()]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == ["2023-10-28 20:30:00.000001", "2023-10-28 21:30:00", "2023-03-12 03:00:00", "1969-12-31 18:59:59.5", None]

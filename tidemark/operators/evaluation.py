@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions import text as T
+from tidemark.operators import scans as S
+from tidemark.sources.stages import staged
 
 LABELS = ("positive", "negative", "neutral")
 PERIODS_PER_YEAR = 8.0
@@ -63,31 +66,17 @@ def document_scores(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, [*COUNTS, "max_tokens"])
 
 
-def average_ranks(df: DataFrame, key: str, value: str, name: str, parts: int = 256) -> DataFrame:
-    """Adds the average rank of ``value`` within its key, as ``name``. Values are counted first, so ties cost nothing,
-    and numbered within parts of about equal size, so no task sorts a key."""
-    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
-    cuts = counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts"))
-    counts = counts.join(F.broadcast(cuts), key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sums = counts.groupBy(key, "_part").agg(F.sum("_n").alias("_sum"))
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    sums = sums.select(key, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    below = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.join(sums, [key, "_part"]).select(key, value, (F.col("_before") + F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [key, value])
-
-
 def pearson(x: str, y: str) -> Column:
     """Null where either side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlations(pairs: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Per key ``n``, the rank correlation ``ic`` with average ranks, its ``t``, and ``pearson``; null pairs go first."""
-    # The ranks read the pairs several times; they spill to disk, and are worked out again where they are lost.
-    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()).select(key, x, y).persist()
-    ranked = average_ranks(average_ranks(pairs, key, x, "_rx"), key, y, "_ry")
-    got = ranked.groupBy(key).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("ic"), pearson(x, y).alias("pearson"))
+    """Per key ``n``, the rank correlation ``ic`` with average ranks, its ``t``, and ``pearson``; null pairs go first.
+    Writes the pairs and their ranks while the plan is built."""
+    pairs = staged(pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()).select(key, x, y), "pairs")
+    ranked = S.average_ranks(pairs, [key], [x, y])
+    got = ranked.groupBy(key).agg(F.count("*").alias("n"), pearson(f"rank_{x}", f"rank_{y}").alias("ic"), pearson(x, y).alias("pearson"))
     return got.withColumn("t", F.col("ic") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("ic") * F.col("ic"))))
 
 
@@ -113,23 +102,49 @@ def power(ic: DataFrame, per_year: float = PERIODS_PER_YEAR) -> DataFrame:
     return ic.withColumns({"mde": 1.96 / F.sqrt("n"), "n_needed": F.try_divide(F.lit((1.96 + 0.84) ** 2), F.col("ic") * F.col("ic")), "ir": F.col("ic") * per_year**0.5})
 
 
-def bootstrap(pairs: DataFrame, x: str, y: str, order: str, rounds: int, level: float = 0.95, seed: int = 42) -> DataFrame:
+def resampled(x: np.ndarray, y: np.ndarray, rounds: list[int], seed: int) -> np.ndarray:
+    """The rank correlation of each round's sample. How often a pair is drawn gives the ranks of the sample: of the
+    values in order, the draws before one's and half of its own. The order is the same for every round."""
+    n = len(x)
+    counts = np.empty((len(rounds), n), np.int64)
+    for row, b in zip(counts, rounds, strict=True):
+        head = f"{seed}:{b}:".encode()
+        drawn = b"".join([hashlib.md5(head + b"%d" % i).digest()[:4] for i in range(n)])
+        row[:] = np.bincount(np.frombuffer(drawn, ">u4").astype(np.int64) % n, minlength=n)
+
+    def ranks(values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0])
+        own = np.add.reduceat(counts[:, order], starts, axis=1)
+        middle = np.cumsum(own, axis=1) - own + (own + 1) / 2
+        out = np.empty(counts.shape)
+        out[:, order] = np.repeat(middle, np.diff(np.r_[starts, n]), axis=1)
+        return out - (n + 1) / 2
+
+    a, b = ranks(x), ranks(y)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (counts * a * b).sum(axis=1) / np.sqrt((counts * a * a).sum(axis=1) * (counts * b * b).sum(axis=1))
+
+
+def bootstrap(pairs: DataFrame, x: str, y: str, order: str, rounds: int, level: float = 0.95, seed: int = 42, groups: int = 64) -> DataFrame:
     """``n, rounds, low, high``: the percentile interval of the rank correlation over samples of the pairs, drawn with
-    replacement by a hash of seed, round and place. The pairs are one row per session; samples are spread by round."""
-    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    placed = pairs.select(x, y, (F.row_number().over(Window.orderBy(order)) - 1).alias("_at"))
-    n = placed.count()
-    if n < 3:
+    replacement by a hash of seed, round and place. The pairs are one row per session, so the calendar bounds them; they
+    are sent to ``groups`` tasks, which share the rounds. A sample of one value has no correlation and doesn't count."""
+    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(order).alias("_order"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    if len(pairs.take(3)) < 3:
         raise ValueError("three pairs are needed at least")
-    drawn = pairs.sparkSession.range(rounds).select(F.col("id").alias("_round"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
-    drawn = drawn.withColumn("_at", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_round", "_i")), 1, 8), 16, 10).cast("bigint") % n)
-    sample = drawn.join(placed, "_at")
-    for c in (x, y):
-        low, same = Window.partitionBy("_round").orderBy(c), Window.partitionBy("_round", c)
-        sample = sample.withColumn(f"_r{c}", F.rank().over(low) + (F.count("*").over(same) - 1) / 2)
-    ics = sample.groupBy("_round").agg(pearson(f"_r{x}", f"_r{y}").alias("ic"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_order", kind="stable")
+        own = list(range(key[0], rounds, groups))
+        parts = [resampled(rows["x"].to_numpy(), rows["y"].to_numpy(), own[at : at + 32], seed) for at in range(0, len(own), 32)]
+        ic = np.concatenate([np.zeros(0), *parts])
+        return pd.DataFrame({"n": len(rows), "ic": pd.Series(ic, dtype=object).where(~np.isnan(ic), None)})
+
+    sent = pairs.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(min(groups, rounds) - 1))))
+    ics = sent.groupBy("_group").applyInPandas(run, "n bigint, ic double")
     tail = (1 - level) / 2
-    return ics.agg(F.lit(n).alias("n"), F.count("*").alias("rounds"), F.percentile("ic", tail).alias("low"), F.percentile("ic", 1 - tail).alias("high"))
+    return ics.agg(F.max("n").cast("int").alias("n"), F.count("ic").alias("rounds"), F.percentile("ic", tail).alias("low"), F.percentile("ic", 1 - tail).alias("high"))
 
 
 def hac_errors(rows: DataFrame, key: str, value: str, order: str, lags: Column) -> DataFrame:
@@ -153,12 +168,9 @@ def strategy_returns(df: DataFrame, fwd: str, bps: list[float]) -> DataFrame:
 def performance(returns: DataFrame, key: str, order: str, per_year: float = PERIODS_PER_YEAR) -> DataFrame:
     """Per key: ``n, growth, vol, sharpe, max_drawdown, win_rate, avg_win, avg_loss, n_trades``. The equity curve starts
     at 1; a return of -1 or less is a total loss, after which equity stays at 0 (growth and drawdown are -1). Null
-    returns don't count. A key has one row per session, which bounds its window by the calendar."""
-    returns = returns.filter(F.col("ret").isNotNull())
+    returns don't count. Keys of any length are spread over tasks; ``order`` tells their rows apart."""
+    curve = S.equity(returns, [key], [order], "ret")
     lost, safe = F.col("ret") <= -1, F.log1p(F.greatest("ret", F.lit(-1 + 1e-15)))
-    past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.withColumn("equity", F.when(F.max(lost).over(past), 0.0).otherwise(F.exp(F.sum(safe).over(past))))
-    curve = curve.withColumn("fall", F.col("equity") / F.greatest(F.max("equity").over(past), F.lit(1.0)) - 1)
     sd, ret = F.stddev_samp("ret"), F.col("ret")
     growth = F.when(F.max(lost), -1.0).otherwise(F.exp(F.sum(safe) * per_year / F.count("*")) - 1)
     return curve.groupBy(key).agg(

@@ -8,6 +8,8 @@ from pyspark.sql.types import TimestampNTZType
 
 from tidemark.functions import text as T
 from tidemark.operators import events as E
+from tidemark.operators import scans as S
+from tidemark.sources.stages import staged
 
 ZONE = "America/New_York"
 DEFAULT_MINUTES = 14 * 60
@@ -43,8 +45,12 @@ def zoned(df: DataFrame, name: str) -> DataFrame:
 
 
 def local(release: Column, zone: str = ZONE) -> Column:
-    """The wall clock of ``zone`` at an instant, whatever the session's own zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit(zone), release.cast("timestamp_ntz"))
+    """The wall clock of ``zone`` at an instant, whatever the session's own zone: its microseconds are counted on from
+    1970 in UTC, not read off the session's clock, which shows two instants alike when summer time ends."""
+    seconds = (F.unix_micros(release.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    none = F.lit(0)
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def next_open(df: DataFrame, sessions: DataFrame, release: str = "release", zone: str = ZONE) -> DataFrame:
@@ -113,16 +119,19 @@ def overlaps(entries: DataFrame, sessions: DataFrame, horizons: list[int]) -> Da
 
 def gap_summary(entries: DataFrame, sessions: DataFrame) -> DataFrame:
     """``n_events, min_gap, median_gap, max_gap``; one event alone has no gap."""
-    return entries.agg(F.count_distinct("entry").alias("n_events")).join(event_gaps(entries, sessions).agg(F.min("gap").alias("min_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap")))
+    gaps = staged(event_gaps(entries, sessions).select("gap"), "gaps")
+    middle = S.quantiles(gaps, [], "gap", [0.5]).select(F.get("q", F.lit(0)).alias("median_gap"))
+    return entries.agg(F.count_distinct("entry").alias("n_events")).join(gaps.agg(F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))).join(middle)
 
 
 def release_lags(df: DataFrame, release: str = "release", zone: str = ZONE) -> DataFrame:
     """Hours from release to the entry's open: least, median and most, and how many entered the session of the day itself."""
     have = df.filter(F.col("entry").isNotNull())
     hours = (F.unix_micros(instant(F.col("entry"), F.lit(E.OPEN_MINUTES), zone)) - F.unix_micros(release)) / 3.6e9
-    return have.select(hours.alias("hours"), (F.to_date(local(F.col(release), zone)) == F.col("entry")).alias("same")).agg(
-        F.count("*").alias("n"), F.min("hours").alias("min_hours"), F.median("hours").alias("median_hours"), F.max("hours").alias("max_hours"), F.count_if("same").alias("same_session")
-    )
+    lags = staged(have.select(hours.alias("hours"), (F.to_date(local(F.col(release), zone)) == F.col("entry")).alias("same")), "lags")
+    middle = S.quantiles(lags, [], "hours", [0.5]).select(F.get("q", F.lit(0)).alias("median_hours"))
+    found = lags.agg(F.count("*").alias("n"), F.min("hours").alias("min_hours"), F.max("hours").alias("max_hours"), F.count_if("same").alias("same_session"))
+    return found.join(middle)
 
 
 def return_coverage(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:

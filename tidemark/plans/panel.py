@@ -10,6 +10,7 @@ from tidemark.operators import asof
 from tidemark.operators import evaluation as V
 from tidemark.operators import events as E
 from tidemark.operators import panel as P
+from tidemark.operators import scans as S
 
 HORIZONS = (1, 3, 5, 10, 20)
 RETURNS = [f"fwd_ret_{h}" for h in HORIZONS]
@@ -20,7 +21,7 @@ LOOKBACK, THETA = 6, 1.0
 #: The grid of the robustness report.
 LOOKBACKS, THETAS, SCORES = (6, 12), (0.5, 1.0, 1.5), ("s_prob", "s_count")
 ERAS = ((1994, 1996), (1996, 1998), (1998, 2000), (2000, 2002))
-BINS, ROUNDS = 12, 200
+BINS, ROUNDS = 12, 10_000
 SPOTS = ("1995-01-02", "1995-02-08", "1995-07-06", "1996-01-07")
 
 
@@ -218,10 +219,9 @@ def hac_standard_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Per session the mean of the session returns before it: what was known then. Bounded by the calendar."""
-    past = Window.orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    rows = session_moves(spark, sf)
-    return rounded(rows.select(F.col("session").cast("string").alias("session"), F.count("move").over(past).alias("n"), F.avg("move").over(past).alias("mean")), "mean")
+    """Per session the mean of the session returns before it: what was known then."""
+    rows = S.expanding(session_moves(spark, sf).select("session", "move"), [], ["session"], "move")
+    return rounded(rows.select(F.col("session").cast("string").alias("session"), F.col("n_before").alias("n"), F.col("mean_before").alias("mean")), "mean")
 
 
 def zscore_by_join(spark: SparkSession, sf: str) -> DataFrame:

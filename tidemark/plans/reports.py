@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import evaluation as V
+from tidemark.operators import scans as S
 from tidemark.plans.panel import DOCS, SCORED, rounded, scores
 from tidemark.sources import html, stages
+from tidemark.sources.stages import staged
 
 K = 5
 
@@ -66,7 +68,9 @@ def score_describe(spark: SparkSession, sf: str) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of the document scores."""
     names = ["s_prob", "s_count"]
     long = scores(spark, sf).select(*[F.round(c, 8).alias(c) for c in names]).unpivot([], names, "score", "value")
-    found = long.groupBy("score").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max("value").alias("most"))
+    long = staged(long, "score-values")
+    quarters = S.quantiles(long, ["score"], "value", [0.25, 0.5, 0.75]).select("score", "q")
+    found = long.groupBy("score").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("most")).join(quarters, "score", "left")
     found = found.select("score", "n", "mean", "sd", "least", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "q2", "q3"))], "most")
     return rounded(found, "mean", "sd", "least", "q1", "q2", "q3", "most")
 
