@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import evaluation as V
 from tidemark.operators import events as E
+from tidemark.plans import planted
 
 LOOKBACK, THETA = 6, 1.0
 MIN_TEXT_CHARS, COSTS = 500, [0.0, 1.0, 2.0, 5.0, 10.0]
@@ -65,7 +66,7 @@ def calendar_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return planted.texts(spark, sf)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -116,16 +117,16 @@ z AS (SELECT *, CASE WHEN n = {LOOKBACK} THEN a END AS mu, CASE WHEN n = {LOOKBA
 p AS (SELECT *, CASE WHEN z > {THETA} THEN 1 WHEN z < -{THETA} THEN -1 ELSE 0 END AS position FROM z),
 t AS (SELECT *, abs(position - lag(position, 1, 0) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS turnover FROM p)"""
 
-_SENTENCES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), E' \t\n\r\f\x0b'),
-  '([.!?])\s+([A-Z0-9])', E'\\1\n\\2', 'g'), E'\n'), lambda x: trim(x, E' \t\n\r\f\x0b')), lambda x: length(x) >= 15) AS l FROM documents),
+_SENTENCES = planted.TEXTS + r""", s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), E' \t\n\r\f\x0b'),
+  '([.!?])\s+([A-Z0-9])', E'\\1\n\\2', 'g'), E'\n'), lambda x: trim(x, E' \t\n\r\f\x0b')), lambda x: length(x) >= 15) AS l FROM pd),
 e AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS sentence FROM s)"""
 _MOVES = f"""{_BARS}, v AS (SELECT session, round("close" / open - 1, 8) AS move, {", ".join(f'lead("close", {h}) OVER (ORDER BY session) / open - 1 AS fwd_ret_{h}' for h in (1, 3, 5, 10, 20))} FROM bars),
 q AS (SELECT *, CASE WHEN move > 0.1 THEN 1 WHEN move < -0.1 THEN -1 ELSE 0 END AS position FROM v)"""
 
 ORACLES: dict = {
     "split_sentences": f"WITH {_SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, sentence FROM e",
-    "document_flags": r"""WITH a AS (SELECT doc_id, coalesce(text, '') AS text, regexp_matches(lower(substr(coalesce(text, ''), 1, 600)), 'page not found|the page you were looking for has been moved|no longer exists') AS bad,
-  regexp_extract(substr(text, 1, 1500), '(?i)for\s+release\s+at\s+(\d{1,2})[:.](\d{2})\s*([ap])\.?\s*m\.?', ['h', 'm', 'p']) AS r FROM documents)
+    "document_flags": f"WITH {planted.TEXTS}, " + r"""a AS (SELECT doc_id, coalesce(text, '') AS text, regexp_matches(lower(substr(coalesce(text, ''), 1, 600)), 'page not found|the page you were looking for has been moved|no longer exists') AS bad,
+  regexp_extract(substr(text, 1, 1500), '(?i)for\s+release\s+at\s+(\d{1,2})[:.](\d{2})\s*([ap])\.?\s*m\.?', ['h', 'm', 'p']) AS r FROM pd)
 SELECT doc_id, bad AS is_error_page, bad OR length(text) < 500 AS is_flagged,
   CASE WHEN TRY_CAST(r.h AS INTEGER) BETWEEN 1 AND 12 AND TRY_CAST(r.m AS INTEGER) < 60 THEN CAST(TRY_CAST(r.h AS INTEGER) % 12 * 60 + TRY_CAST(r.m AS INTEGER) + CASE WHEN lower(r.p) = 'p' THEN 720 ELSE 0 END AS INTEGER) END AS release_minutes,
   CASE WHEN regexp_matches(lower(text), 'conference call|unscheduled|notation vote|videoconference') THEN FALSE WHEN contains(lower(text), 'meeting') THEN TRUE END AS is_scheduled FROM a""",

@@ -142,7 +142,8 @@ def bootstrap(pairs: DataFrame, x: str, y: str, order: str, rounds: int, level:
         return pd.DataFrame({"n": len(rows), "ic": pd.Series(ic, dtype=object).where(~np.isnan(ic), None)})
 
     sent = pairs.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(min(groups, rounds) - 1))))
-    ics = sent.groupBy("_group").applyInPandas(run, "n bigint, ic double")
+    # One range for each group: small groups would be put together in few tasks else.
+    ics = sent.repartitionByRange(min(groups, rounds), "_group").groupBy("_group").applyInPandas(run, "n bigint, ic double")
     tail = (1 - level) / 2
     return ics.agg(F.max("n").cast("int").alias("n"), F.count("ic").alias("rounds"), F.percentile("ic", tail).alias("low"), F.percentile("ic", 1 - tail).alias("high"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_MINUTES = 570  # 09:30, wall clock of the exchange
+CLOSE_MINUTES = 960
 #: Calendar days (of about 30 bytes) up to which the bridge from days to sessions is broadcast.
 BRIDGE_DAYS = 200_000
 #: Rows of a series that one window works on, beside those before it that it needs.
@@ -18,9 +19,9 @@ def bars(trades: DataFrame) -> DataFrame:
     return days.groupBy(F.col("day").alias("session")).agg(F.min_by("price", "key").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "key").alias("close"), F.count("*").alias("volume"))
 
 
-def next_open(releases: DataFrame, sessions: DataFrame) -> DataFrame:
+def next_open(releases: DataFrame, sessions: DataFrame, at: int = OPEN_MINUTES) -> DataFrame:
     """``releases`` (``day``, ``minutes`` on the exchange's wall clock) with ``entry``: the first session whose open
-    is strictly after the release, null past the end. A table of the calendar's days turns it into an equi-join: it
+    (the minute ``at``) is strictly after the release, null past the end. A table of the calendar's days turns it into an equi-join: it
     goes from the first session to the last, whatever the releases' days, so its ordered window and its size are
     bounded by the calendar. It is broadcast only if its days, counted first, are at most ``BRIDGE_DAYS``."""
     ends = sessions.agg(F.min("session").alias("first"), F.max("session").alias("last")).first()
@@ -33,7 +34,7 @@ def next_open(releases: DataFrame, sessions: DataFrame) -> DataFrame:
     if (ends["last"] - ends["first"]).days < BRIDGE_DAYS:
         bridge = F.broadcast(bridge)
     found = releases.withColumn("_day", F.when(F.col("day") <= last, F.greatest("day", first)))
-    early = (F.col("minutes") < OPEN_MINUTES) | (F.col("_here") != F.col("day"))
+    early = (F.col("minutes") < at) | (F.col("_here") != F.col("day"))
     return found.join(bridge, "_day", "left").withColumn("entry", F.when(early, F.col("_here")).otherwise(F.col("_later"))).drop("_day", "_here", "_later")
 
 

@@ -53,11 +53,12 @@ def local(release: Column, zone: str = ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def next_open(df: DataFrame, sessions: DataFrame, release: str = "release", zone: str = ZONE) -> DataFrame:
-    """``df`` with ``entry``: the first session whose open is strictly after the instant ``release``."""
+def next_open(df: DataFrame, sessions: DataFrame, release: str = "release", zone: str = ZONE, minute: int = E.OPEN_MINUTES) -> DataFrame:
+    """``df`` with ``entry``: the first session whose open (or another ``minute`` of its day) is strictly after the
+    instant ``release``."""
     at = local(F.col(release), zone)
     wall = zoned(df, release).withColumns({"day": F.to_date(at), "minutes": (F.hour(at) * 60 + F.minute(at) + F.when(F.second(at) + F.date_part(F.lit("SECOND"), at) > 0, 0.5).otherwise(0.0))})
-    return E.next_open(wall, sessions).drop("day", "minutes")
+    return E.next_open(wall, sessions, minute).drop("day", "minutes")
 
 
 def funnel_steps(start: str, scheduled_only: bool) -> dict[str, Column]:
@@ -79,6 +80,13 @@ def funnel(docs: DataFrame, start: str, scheduled_only: bool = False) -> DataFra
     return docs.agg(*[c.alias(n) for n, c in counts.items()]).unpivot([], list(counts), "step", "n")
 
 
+def to_score(docs: DataFrame, start: str) -> DataFrame:
+    """The documents that are scored: statements that aren't flagged, from the sample's start on. Unscheduled ones are
+    scored too, so that whether the panel takes them can be chosen later."""
+    steps = funnel_steps(start, False)
+    return docs.filter(steps["statements"] & steps["after_dropping_flagged"] & steps["after_sample_start"])
+
+
 def panel(docs: DataFrame, prices: DataFrame, start: str, scheduled_only: bool = False, horizons: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
     """The rows of ``docs`` (with ``entry``) that pass the funnel, without their texts, with forward returns."""
     for keep in funnel_steps(start, scheduled_only).values():
@@ -140,6 +148,22 @@ def return_coverage(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20)
     return long.groupBy("horizon").agg(F.count("ret").alias("n_present"), F.count_if(F.col("ret").isNull()).alias("n_null"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
 
 
+def entry_returns(docs: DataFrame, prices: DataFrame, horizon: int) -> DataFrame:
+    """``docs`` (with ``release``) with the return over ``horizon`` sessions of both rules of entry: ``ret_next_trading_open``
+    from the first open strictly after the release, ``ret_same_day_close`` from the first close (16:00) strictly after
+    it, which for a release of the trading day is that day's own. Both leave at a later session's close."""
+    for rule, price, minute in (("next_trading_open", "open", E.OPEN_MINUTES), ("same_day_close", "close", E.CLOSE_MINUTES)):
+        returns = E.forward_returns(prices, (horizon,), price).select(F.col("session").alias("entry"), F.col(f"fwd_ret_{horizon}").alias(f"ret_{rule}"))
+        docs = next_open(docs, prices, minute=minute).join(returns, "entry", "left").drop("entry")
+    return docs
+
+
+def with_sentences(panel_: DataFrame, scores: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The panel without the documents in which no sentence was found. Those that weren't scored at all stay: they are
+    an error of the merge."""
+    return panel_.join(scores.filter("n_sentences = 0").select(key), key, "left_anti")
+
+
 def merged_scores(panel_: DataFrame, scores: DataFrame, key: str = "doc_id", score: str = "s_prob") -> DataFrame:
     """``panel_`` with the scores of its keys. Keys that repeat on either side, or rows without a score, are an error."""
     for side, df in (("panel", panel_), ("scores", scores)):
@@ -151,11 +175,18 @@ def merged_scores(panel_: DataFrame, scores: DataFrame, key: str = "doc_id", sco
     return out
 
 
+def signalled(df: DataFrame, score: str, order: list[str], window: int, theta: float, sign: int = 1) -> DataFrame:
+    """``df`` with ``S``, ``mu, sigma, z``, ``position`` and ``turnover`` of one chronological series of any length, in
+    blocks of its rows. ``order`` begins with a date."""
+    rows = E.placed(df.withColumns({"S": F.col(score), "series": F.lit("all")}), "series", order, F.col(order[0]))
+    cut, over = E.blocks(rows, "series", window + 1)
+    z = E.zscores(cut, "series", [], "S", window, over).withColumn("position", E.positions(F.col("z"), theta, sign))
+    return E.own(E.turnover(z, "series", [], over)).drop("series")
+
+
 def signal(panel_: DataFrame, scores: DataFrame, order: list[str], window: int, theta: float, sign: int = 1, primary: str = "s_prob", key: str = "doc_id") -> DataFrame:
-    """The panel with its primary score as ``S``, trailing ``mu, sigma, z``, position and turnover."""
-    merged = merged_scores(panel_, scores, key, primary).withColumns({"S": F.col(primary), "series": F.lit("all")})
-    z = E.zscores(merged, "series", order, "S", window).withColumn("position", E.positions(F.col("z"), theta, sign))
-    return E.turnover(z, "series", order).drop("series")
+    """The signal of the panel's rows by their primary score, behind the guards of ``merged_scores``."""
+    return signalled(merged_scores(panel_, scores, key, primary), primary, order, window, theta, sign)
 
 
 def documents_table(discovery: DataFrame, bodies: DataFrame, overrides: dict[str, int] | None = None, least: int = 500, key: str = "raw_path") -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import asof
 from tidemark.operators import evaluation as V
+from tidemark.operators import grid as G
 from tidemark.operators import events as E
 from tidemark.operators import panel as P
 from tidemark.operators import scans as S
+from tidemark.plans import planted
+from tidemark.sources.stages import staged
 
 HORIZONS = (1, 3, 5, 10, 20)
 RETURNS = [f"fwd_ret_{h}" for h in HORIZONS]
@@ -19,7 +22,8 @@ START, MIN_TEXT_CHARS = "1995-06-01", 500
 OVERRIDES = {"1995-01-02": 420, "1995-02-08": 1020, "1995-07-06": 570}
 LOOKBACK, THETA = 6, 1.0
 #: The grid of the robustness report.
-LOOKBACKS, THETAS, SCORES = (6, 12), (0.5, 1.0, 1.5), ("s_prob", "s_count")
+LOOKBACKS, THETAS, SCORES = [6, 12], [0.5, 1.0, 1.5], ["s_prob", "s_count"]
+ENTRIES, STARTS, UNSCHEDULED = ["next_trading_open", "same_day_close"], ["1997-01-01", "1995-06-01"], [True, False]
 ERAS = ((1994, 1996), (1996, 1998), (1998, 2000), (2000, 2002))
 BINS, ROUNDS = 12, 10_000
 SPOTS = ("1995-01-02", "1995-02-08", "1995-07-06", "1996-01-07")
@@ -32,7 +36,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as statements and minutes. The table has no dates and types: they follow from the id."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = planted.texts(spark, sf)
     error = T.is_error_page(F.col("text"))
     return docs.withColumns({
         "doc_date": F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") * 37 % 2420).cast("int")),
@@ -49,22 +53,20 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return P.panel(released(spark, sf), bars(spark, sf), START)
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+def scores(spark: SparkSession, sf: str, start: str = START) -> DataFrame:
+    """The scores of the documents that the panel can take: the filter of the funnel, but for the schedule."""
+    docs = P.to_score(documents(spark, sf), start).select("doc_id", "text")
     return V.document_scores(docs, V.scored_sentences(docs))
 
 
 def scored_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel's rows that have a score."""
-    return panel(spark, sf).join(scores(spark, sf).filter("s_prob is not null"), "doc_id")
+    """The panel with its scores: one of each document, and none without; both are worked out once."""
+    rows, found = staged(panel(spark, sf), "panel"), staged(scores(spark, sf), "scores")
+    return P.merged_scores(P.with_sentences(rows, found), found)
 
 
-def signalled(df: DataFrame, score: str, lookback: int, theta: float) -> DataFrame:
-    """Z, position and turnover of one chronological series of any length, in blocks of its rows."""
-    rows = E.placed(df.withColumns({"S": F.col(score), "series": F.lit("all")}), "series", ["doc_date", "doc_id"], F.col("doc_date"))
-    cut, over = E.blocks(rows, "series", lookback + 1)
-    z = E.zscores(cut, "series", [], "S", lookback, over).withColumn("position", E.positions(F.col("z"), theta))
-    return E.own(E.turnover(z, "series", [], over))
+def signalled(spark: SparkSession, sf: str) -> DataFrame:
+    return P.signalled(scored_panel(spark, sf), "s_prob", ["doc_date", "doc_id"], LOOKBACK, THETA)
 
 
 def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
@@ -80,6 +82,11 @@ def panel_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return P.funnel(released(spark, sf), START)
 
 
+def scheduled_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """The funnel that takes scheduled meetings only; unknown ones go."""
+    return P.funnel(released(spark, sf), START, scheduled_only=True)
+
+
 def event_panel(spark: SparkSession, sf: str) -> DataFrame:
     found = panel(spark, sf).select("doc_id", F.col("entry").cast("string").alias("entry"), *RETURNS)
     return rounded(found, *RETURNS, to=8)
@@ -152,47 +159,55 @@ def previous_purchase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_signal(spark: SparkSession, sf: str) -> DataFrame:
-    found = signalled(scored_panel(spark, sf), "s_prob", LOOKBACK, THETA)
+    found = signalled(spark, sf)
     return rounded(found.select("doc_id", "S", "mu", "sigma", "z", "position", "turnover"), "S", "mu", "sigma", "z")
 
 
 def z_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Equal bins between the least and the greatest Z, which falls into the last."""
-    z = signalled(scored_panel(spark, sf), "s_prob", LOOKBACK, THETA).filter("z is not null").select(F.round("z", 6).alias("z"))
+    z = signalled(spark, sf).filter("z is not null").select(F.round("z", 6).alias("z"))
     ends = z.agg(F.min("z").alias("a"), F.max("z").alias("b"))
     place = F.least(F.floor((F.col("z") - F.col("a")) * BINS / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))), F.lit(BINS - 1))
     return z.join(F.broadcast(ends)).groupBy(F.coalesce(place, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def top_surprises(spark: SparkSession, sf: str) -> DataFrame:
-    z = signalled(scored_panel(spark, sf), "s_prob", LOOKBACK, THETA).filter("z is not null").select("doc_id", F.round("z", 6).alias("z"), "position")
+    z = signalled(spark, sf).filter("z is not null").select("doc_id", F.round("z", 6).alias("z"), "position")
     return z.orderBy(F.abs("z").desc(), "doc_id").limit(10)
 
 
 def era_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Score and Z by era; an era leaves its first year out and takes its last in."""
-    rows, era = signalled(scored_panel(spark, sf), "s_prob", LOOKBACK, THETA).filter("z is not null").withColumn("year", F.year("doc_date")), F.when(F.lit(False), "")
+    rows, era = signalled(spark, sf).filter("z is not null").withColumn("year", F.year("doc_date")), F.when(F.lit(False), "")
     for a, b in ERAS:
         era = era.when((F.col("year") > a) & (F.col("year") <= b), f"{a + 1}-{b}")
     got = rows.withColumn("era", era).filter("era is not null").groupBy("era").agg(F.count("*").alias("n"), F.avg("S").alias("s_mean"), F.avg("z").alias("z_mean"), F.stddev_samp("z").alias("z_sd"))
     return rounded(got, "s_mean", "z_mean", "z_sd")
 
 
+def score_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows of the panel have a score, no sentence, or no row among the scores (none)."""
+    rows = panel(spark, sf).select("doc_id").join(scores(spark, sf).select("doc_id", "n_sentences", "s_prob"), "doc_id", "left")
+    return rows.agg(F.count("*").alias("n_panel"), F.count("s_prob").alias("n_scored"), F.count_if(F.col("n_sentences") == 0).alias("n_without_sentences"), F.count_if(F.col("n_sentences").isNull()).alias("n_not_scored"))
+
+
 def robustness_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions and mean return of each lookback, threshold and score. One window for each lookback and score."""
-    base, out = scored_panel(spark, sf), None
-    for score in SCORES:
-        for lookback in LOOKBACKS:
-            rows = E.placed(base.withColumns({"S": F.col(score), "series": F.lit("all")}), "series", ["doc_date", "doc_id"], F.col("doc_date"))
-            cut, over = E.blocks(rows, "series", lookback + 1)
-            z = E.zscores(cut, "series", [], "S", lookback, over).withColumn("theta", F.explode(F.array(*map(F.lit, THETAS))))
-            z = z.withColumn("position", E.positions(F.col("z"), F.col("theta")))
-            z = E.own(E.turnover(z, "series", [], Window.partitionBy("series", "_block", "theta").orderBy("_pos")))
-            p = F.col("position")
-            got = z.groupBy("theta").agg(F.count("z").alias("n_usable"), F.count_if(p == 1).alias("n_long"), F.count_if(p == -1).alias("n_short"), F.sum("turnover").cast("bigint").alias("turnover"), F.round(F.avg(p * F.col("fwd_ret_1")), 6).alias("mean_ret"))
-            got = got.withColumns({"score": F.lit(score), "lookback": F.lit(lookback)})
-            out = got if out is None else out.unionByName(got)
-    return out
+    """All six axes: score, sample start, unscheduled releases, lookback, threshold and entry. The texts are scored
+    once; a series is a score, a start and whether it takes unscheduled releases."""
+    docs = documents(spark, sf)
+    first = min(STARTS)
+    found = staged(scores(spark, sf, first).filter("n_sentences > 0").select("doc_id", *SCORES), "grid-scores")
+    rows = P.resolved_releases(P.to_score(docs, first), OVERRIDES).select("doc_id", "doc_date", "is_scheduled", "release")
+    base = P.entry_returns(rows, bars(spark, sf), 1).join(found, "doc_id")
+    series = G.crossed(base, sample_start=STARTS, include_unscheduled=UNSCHEDULED)
+    series = series.filter((F.col("doc_date") >= F.col("sample_start").cast("date")) & (F.col("include_unscheduled") | F.coalesce("is_scheduled", F.lit(False))))
+    returns = [f"ret_{e}" for e in ENTRIES]
+    series = series.unpivot(["doc_id", "doc_date", "sample_start", "include_unscheduled", *returns], SCORES, "score", "S")
+    series = series.withColumn("series", F.concat_ws("/", "score", "sample_start", "include_unscheduled"))
+    cells = G.trailing_signals(series, "series", ["doc_date", "doc_id"], F.col("doc_date"), "S", LOOKBACKS, THETAS)
+    axes = ["score", "sample_start", "include_unscheduled", "lookback", "theta"]
+    each = cells.unpivot([*axes, "z", "position", "turnover"], returns, "entry", "ret").withColumn("entry", F.substring("entry", 5, 100))
+    return rounded(G.per_cell(each, [*axes, "entry"], "ret"), "mean_ret")
 
 
 def ic_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,28 +266,29 @@ def session_edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.edges(bars(spark, sf), "session").select(F.col("session").cast("string").alias("session"), "open", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
+QUERIES = {f.__name__: f for f in (score_coverage, scheduled_funnel, asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
 
 BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
   FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1),
 f AS (SELECT session, """ + ", ".join(f'lead("close", {h}) OVER (ORDER BY session) / open - 1 AS fwd_ret_{h}' for h in HORIZONS) + " FROM bars)"
-DOCS = r"""d0 AS (SELECT doc_id, text, DATE '1995-01-02' + CAST(doc_id * 37 % 2420 AS INTEGER) AS doc_date, CASE WHEN doc_id % 4 = 3 THEN 'minutes' ELSE 'statement' END AS doc_type,
+DOC_STEPS = r"""d0 AS (SELECT doc_id, text, DATE '1995-01-02' + CAST(doc_id * 37 % 2420 AS INTEGER) AS doc_date, CASE WHEN doc_id % 4 = 3 THEN 'minutes' ELSE 'statement' END AS doc_type,
   regexp_matches(lower(substr(coalesce(text, ''), 1, 600)), 'page not found|the page you were looking for has been moved|no longer exists') AS is_error_page,
   regexp_extract(substr(text, 1, 1500), '(?i)for\s+release\s+at\s+(\d{1,2})[:.](\d{2})\s*([ap])\.?\s*m\.?', ['h', 'm', 'p']) AS r,
-  CASE WHEN regexp_matches(lower(text), 'conference call|unscheduled|notation vote|videoconference') THEN FALSE WHEN contains(lower(text), 'meeting') THEN TRUE END AS is_scheduled FROM documents),
+  CASE WHEN regexp_matches(lower(text), 'conference call|unscheduled|notation vote|videoconference') THEN FALSE WHEN contains(lower(text), 'meeting') THEN TRUE END AS is_scheduled FROM pd),
 d1 AS (SELECT *, is_error_page OR length(coalesce(text, '')) < 500 AS is_flagged,
   CASE WHEN TRY_CAST(r.h AS INTEGER) BETWEEN 1 AND 12 AND TRY_CAST(r.m AS INTEGER) < 60 THEN CAST(TRY_CAST(r.h AS INTEGER) % 12 * 60 + TRY_CAST(r.m AS INTEGER) + CASE WHEN lower(r.p) = 'p' THEN 720 ELSE 0 END AS INTEGER) END AS parsed_minutes,
   CASE CAST(doc_date AS VARCHAR) WHEN '1995-01-02' THEN 420 WHEN '1995-02-08' THEN 1020 WHEN '1995-07-06' THEN 570 END AS known FROM d0),
 d2 AS (SELECT *, CAST(coalesce(known, parsed_minutes, 840) AS INTEGER) AS release_minutes, CASE WHEN known IS NOT NULL THEN 'manual_override' WHEN parsed_minutes IS NOT NULL THEN 'parsed_from_document' ELSE 'scheduled_default' END AS release_time_source FROM d1),
 d AS (SELECT *, timezone('America/New_York', CAST(doc_date AS TIMESTAMP) + to_minutes(release_minutes)) AS release FROM d2)"""
+DOCS = f"{planted.TEXTS}, {DOC_STEPS}"
 RELEASED = f"""{BARS}, {DOCS}, o AS (SELECT session, timezone('America/New_York', CAST(session AS TIMESTAMP) + INTERVAL 570 MINUTE) AS opens FROM bars),
 rel AS (SELECT d.*, o.session AS entry, o.opens FROM d ASOF LEFT JOIN o ON d.release < o.opens)"""
 KEPT = f"doc_type = 'statement' AND NOT is_flagged AND doc_date >= DATE '{START}'"
 PANEL = f"{RELEASED}, pan AS (SELECT rel.*, f.* EXCLUDE (session) FROM rel LEFT JOIN f ON rel.entry = f.session WHERE {KEPT})"
 GAPS = "c AS (SELECT session, row_number() OVER (ORDER BY session) AS pos FROM bars), ev AS (SELECT DISTINCT c.session, pos FROM rel JOIN c ON rel.entry = c.session WHERE {0}), g AS (SELECT lag(session) OVER (ORDER BY pos) AS a, session AS b, pos - lag(pos) OVER (ORDER BY pos) AS gap FROM ev QUALIFY a IS NOT NULL)"
 SENTENCES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), E' \t\n\r\f\x0b'),
-  '([.!?])\s+([A-Z0-9])', E'\\1\n\\2', 'g'), E'\n'), lambda x: trim(x, E' \t\n\r\f\x0b')), lambda x: length(x) >= 15) AS l FROM documents),
+  '([.!?])\s+([A-Z0-9])', E'\\1\n\\2', 'g'), E'\n'), lambda x: trim(x, E' \t\n\r\f\x0b')), lambda x: length(x) >= 15) AS l FROM pd),
 e AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS sentence FROM s)"""
 SCORED = f"""{SENTENCES}, lo AS (SELECT doc_id, idx, sentence, exp(length(sentence) % 7 / 7.0) AS a, exp(length(sentence) % 5 / 5.0) AS b, exp(0.5) AS c FROM e),
 sc AS (SELECT doc_id, idx, sentence, a / (a + b + c) AS p_pos, b / (a + b + c) AS p_neg, c / (a + b + c) AS p_neu, CASE WHEN a >= b AND a >= c THEN 'positive' WHEN b >= c THEN 'negative' ELSE 'neutral' END AS label,
@@ -290,7 +306,6 @@ def signal_sql(score: str = "s_prob", lookback: int = LOOKBACK, theta: float = T
 
 
 SIGNAL = f"{PANEL}, {SCORED}, {signal_sql()}"
-_GRID = [(s, n, t) for s in SCORES for n in LOOKBACKS for t in THETAS]
 MOVES = f'{BARS}, mv AS (SELECT session, round("close" / open - 1, 8) AS move, {", ".join(f"round({c}, 8) AS {c}" for c in RETURNS)} FROM bars JOIN f USING (session))'
 _ICS = """k AS (SELECT *, rank() OVER (PARTITION BY pair ORDER BY value) + (count(*) OVER (PARTITION BY pair, value) - 1) / 2 AS ra, rank() OVER (PARTITION BY pair ORDER BY fwd) + (count(*) OVER (PARTITION BY pair, fwd) - 1) / 2 AS rb FROM u WHERE value IS NOT NULL AND fwd IS NOT NULL),
 c1 AS (SELECT pair, count(*) AS n, corr(ra, rb) AS ic, corr(value, fwd) AS pearson FROM k GROUP BY 1), c2 AS (SELECT *, ic * sqrt((n - 2) / (1 - ic * ic)) AS t FROM c1),
@@ -304,6 +319,8 @@ ORACLES = {
     "release_resolution": f"WITH {DOCS} SELECT doc_id, parsed_minutes, release_minutes, release_time_source, CAST(epoch(release) AS BIGINT) AS release_epoch FROM d",
     "panel_funnel": f"""WITH {RELEASED}, c AS (SELECT count(*) AS discovered, count(*) FILTER (doc_type = 'statement') AS statements, count(*) FILTER (doc_type = 'statement' AND NOT is_flagged) AS after_dropping_flagged,
   count(*) FILTER ({KEPT}) AS after_sample_start, count(*) FILTER ({KEPT}) AS after_unscheduled_filter, count(*) FILTER ({KEPT} AND entry IS NOT NULL) AS with_entry_date FROM rel) UNPIVOT c ON COLUMNS(*) INTO NAME step VALUE n""",
+    "scheduled_funnel": f"""WITH {RELEASED}, c AS (SELECT count(*) AS discovered, count(*) FILTER (doc_type = 'statement') AS statements, count(*) FILTER (doc_type = 'statement' AND NOT is_flagged) AS after_dropping_flagged,
+  count(*) FILTER ({KEPT}) AS after_sample_start, count(*) FILTER ({KEPT} AND is_scheduled) AS after_unscheduled_filter, count(*) FILTER ({KEPT} AND is_scheduled AND entry IS NOT NULL) AS with_entry_date FROM rel) UNPIVOT c ON COLUMNS(*) INTO NAME step VALUE n""",
     "event_panel": f"WITH {PANEL} SELECT doc_id, CAST(entry AS VARCHAR) AS entry, {', '.join(f'round({c}, 8) AS {c}' for c in RETURNS)} FROM pan",
     "leak_violations": f"WITH {RELEASED} SELECT count(entry) AS n_entries, count(*) FILTER (opens <= release) AS n_not_after, count(*) FILTER (entry IS NOT NULL AND entry NOT IN (SELECT session FROM bars)) AS n_no_session FROM rel",
     "event_overlap_pairs": f"WITH {RELEASED}, {GAPS.format('doc_id % 50 = 0')} SELECT CAST(h AS INTEGER) AS h, CAST(a AS VARCHAR) AS first, CAST(b AS VARCHAR) AS second, CAST(gap AS INTEGER) AS gap FROM g, (SELECT unnest([1, 3, 5, 10, 20]) AS h) WHERE gap < h",
@@ -312,16 +329,26 @@ ORACLES = {
     "return_coverage": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS horizon, count({c}) AS n_present, count(*) - count({c}) AS n_null, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd FROM pan" for c in RETURNS),
     "composition": f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(CAST({c} AS VARCHAR), 'unknown') AS value, count(*) AS n FROM d GROUP BY 2" for c in ("doc_type", "is_scheduled", "release_time_source")),
     "documents_per_year": f"WITH {DOCS} SELECT doc_type, CAST(year(doc_date) AS INTEGER) AS year, count(*) AS n FROM d GROUP BY 1, 2",
-    "parse_identity": f"WITH {DOCS} SELECT count(*) AS n_total, count(*) FILTER (NOT is_flagged) AS n_parsed, count(*) FILTER (is_flagged) AS n_flagged, count(*) FILTER (is_error_page) AS n_error_pages, TRUE AS holds FROM d",
+    "parse_identity": f"WITH {DOCS} SELECT count(*) AS n_total, count(*) FILTER (NOT is_flagged) AS n_parsed, count(*) FILTER (is_flagged) AS n_flagged, count(*) FILTER (is_error_page) AS n_error_pages, count(*) = count(*) FILTER (NOT is_flagged) + count(*) FILTER (is_flagged) AS holds FROM d",
     "price_summary": f"WITH {BARS} SELECT count(*) AS n_sessions, CAST(min(session) AS VARCHAR) AS first, CAST(max(session) AS VARCHAR) AS last, round((max(session) - min(session)) / 365.25, 6) AS years, round(count(*) / ((max(session) - min(session)) / 365.25), 6) AS per_year, bool_or(open IS NULL OR \"close\" IS NULL) AS any_null FROM bars",
     "spot_checks": f"WITH {RELEASED} SELECT doc_id, CAST(doc_date AS VARCHAR) AS doc_date, CAST(entry AS VARCHAR) AS entry, CAST(timezone('America/New_York', release) AS DATE) = entry AS same_session FROM rel WHERE CAST(doc_date AS VARCHAR) IN {SPOTS}",
     "document_signal": f"WITH {SIGNAL} SELECT doc_id, round(S, 6) AS S, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(z, 6) AS z, position, turnover FROM sig",
     "z_histogram": f"WITH {SIGNAL}, zz AS (SELECT round(z, 6) AS z FROM sig WHERE z IS NOT NULL), m AS (SELECT min(z) AS a, max(z) AS b FROM zz) SELECT CAST(coalesce(least(floor((z - a) * {BINS} / nullif(b - a, 0)), {BINS - 1}), 0) AS BIGINT) AS bin, count(*) AS n FROM zz, m GROUP BY 1",
     "top_surprises": f"WITH {SIGNAL} SELECT doc_id, round(z, 6) AS z, position FROM sig WHERE z IS NOT NULL ORDER BY abs(round(z, 6)) DESC, doc_id LIMIT 10",
     "era_buckets": f"WITH {SIGNAL}, er AS (SELECT *, CASE {' '.join(f"WHEN year(doc_date) > {a} AND year(doc_date) <= {b} THEN '{a + 1}-{b}'" for a, b in ERAS)} END AS era FROM sig WHERE z IS NOT NULL) SELECT era, count(*) AS n, round(avg(S), 6) AS s_mean, round(avg(z), 6) AS z_mean, round(stddev_samp(z), 6) AS z_sd FROM er WHERE era IS NOT NULL GROUP BY 1",
-    "robustness_grid": f"WITH {PANEL}, {SCORED}, "
-    + ", ".join(signal_sql(s, n, t, f"v{i}_") for i, (s, n, t) in enumerate(_GRID))
-    + " ".join(f" {'UNION ALL' if i else ''} SELECT CAST({t} AS DOUBLE) AS theta, count(z) AS n_usable, count(*) FILTER (position = 1) AS n_long, count(*) FILTER (position = -1) AS n_short, CAST(sum(turnover) AS BIGINT) AS turnover, round(avg(position * fwd_ret_1), 6) AS mean_ret, '{s}' AS score, {n} AS lookback FROM v{i}_" for i, (s, n, t) in enumerate(_GRID)),
+    "robustness_grid": f"""WITH {RELEASED}, {SCORED},
+gc AS (SELECT session, "close", lead("close") OVER (ORDER BY session) / "close" - 1 AS ret, timezone('America/New_York', CAST(session AS TIMESTAMP) + INTERVAL 960 MINUTE) AS closes FROM bars),
+gb AS (SELECT rel.doc_id, doc_date, is_scheduled, release, f.fwd_ret_1 AS r_open, s_prob, s_count FROM rel LEFT JOIN f ON rel.entry = f.session JOIN ds USING (doc_id) WHERE doc_type = 'statement' AND NOT is_flagged),
+ge AS (SELECT gb.*, gc.ret AS r_close FROM gb ASOF LEFT JOIN gc ON gb.release < gc.closes),
+gs AS (SELECT doc_id, doc_date, r_open, r_close, score, sample_start, include_unscheduled, CASE score WHEN 's_prob' THEN s_prob ELSE s_count END AS S
+  FROM ge, (SELECT unnest({SCORES}) AS score), (SELECT unnest({STARTS}) AS sample_start), (SELECT unnest([TRUE, FALSE]) AS include_unscheduled) WHERE doc_date >= CAST(sample_start AS DATE) AND (include_unscheduled OR is_scheduled)),
+gw AS (SELECT *, {", ".join(f"CASE WHEN count(S) OVER w{n} = {n} AND stddev_samp(S) OVER w{n} > 0 THEN (S - avg(S) OVER w{n}) / stddev_samp(S) OVER w{n} END AS z{n}" for n in LOOKBACKS)} FROM gs
+  WINDOW {", ".join(f"w{n} AS (PARTITION BY score, sample_start, include_unscheduled ORDER BY doc_date, doc_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in LOOKBACKS)}),
+gl AS ({" UNION ALL ".join(f"SELECT *, {n} AS lookback, z{n} AS z FROM gw" for n in LOOKBACKS)}), gt AS (SELECT *, CASE WHEN z > theta THEN 1 WHEN z < -theta THEN -1 ELSE 0 END AS position FROM gl, (SELECT CAST(unnest({THETAS}) AS DOUBLE) AS theta)),
+gp AS (SELECT *, abs(position - lag(position, 1, 0) OVER (PARTITION BY score, sample_start, include_unscheduled, lookback, theta ORDER BY doc_date, doc_id)) AS turnover FROM gt)
+SELECT score, sample_start, include_unscheduled, lookback, theta, entry, count(*) AS n, count(z) AS n_usable, count(*) FILTER (position = 1) AS n_long, count(*) FILTER (position = -1) AS n_short, CAST(sum(turnover) AS BIGINT) AS turnover,
+  round(avg(position * CASE entry WHEN 'same_day_close' THEN r_close ELSE r_open END), 6) AS mean_ret FROM gp, (SELECT unnest({ENTRIES}) AS entry) GROUP BY ALL""",
+    "score_coverage": f"""WITH {PANEL}, {SCORED}, ok AS (SELECT doc_id FROM d WHERE {KEPT}) SELECT count(*) AS n_panel, count(s_prob) AS n_scored, count(*) FILTER (s_prob IS NULL AND doc_id IN (SELECT doc_id FROM ok)) AS n_without_sentences, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM ok)) AS n_not_scored FROM pan LEFT JOIN ds USING (doc_id)""",
     "ic_grid": f"WITH {PANEL}, {SCORED}, u AS ({' UNION ALL '.join(f"SELECT '{s}/{r}' AS pair, round({s}, 8) AS value, round({r}, 8) AS fwd FROM pan JOIN ds USING (doc_id)" for s in SCORES for r in RETURNS)}), {_ICS} SELECT pair, n, round(ic, 5) AS ic, round(pearson, 5) AS pearson, round(t, 5) AS t, round(1.96 / sqrt(n), 5) AS mde, round(pow(1.96 + 0.84, 2) / (ic * ic), 5) AS n_needed, round(ic * sqrt(8), 5) AS ir, round(1 - 2 * area * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt((n - 2) * pi()), 5) AS p FROM c2 JOIN si USING (pair)",
     "ic_bootstrap_ci": f"""WITH {MOVES}, q AS (SELECT move, fwd_ret_1 AS y, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () AS n FROM mv WHERE move IS NOT NULL AND fwd_ret_1 IS NOT NULL),
 w AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || i), 1, 8) AS BIGINT) % n AS i FROM q, range({ROUNDS}) r(b)),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import evaluation as V
 from tidemark.operators import scans as S
-from tidemark.plans.panel import DOCS, SCORED, rounded, scores
+from tidemark.plans import panel, planted
+from tidemark.plans.panel import DOC_STEPS, rounded
 from tidemark.sources import html, stages
 from tidemark.sources.stages import staged
 
@@ -16,11 +17,21 @@ K = 5
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return V.scored_sentences(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return V.scored_sentences(planted.texts(spark, sf))
+
+
+def staged_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences, split and scored once for what is read twice."""
+    return staged(sentences(spark, sf), "sentences")
+
+
+def all_scores(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """The scores of all documents, whether the panel takes them or not."""
+    return V.document_scores(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), sentences(spark, sf) if rows is None else rows)
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    return planted.pages(spark, sf)
 
 
 def net() -> F.Column:
@@ -34,7 +45,7 @@ def label_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """How far the two ways to sum a document's sentences up agree."""
-    rows = scores(spark, sf).select(F.lit("all").alias("key"), *[F.round(c, 8).alias(c) for c in ("s_prob", "s_count")])
+    rows = all_scores(spark, sf).select(F.lit("all").alias("key"), *[F.round(c, 8).alias(c) for c in ("s_prob", "s_count")])
     return rounded(V.correlations(rows, "key", "s_prob", "s_count").select("n", F.col("ic").alias("spearman"), "pearson"), "spearman", "pearson")
 
 
@@ -45,15 +56,15 @@ def boilerplate_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def without_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """Document scores over the sentences that are no boilerplate."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
-    kept = V.document_scores(docs, sentences(spark, sf).filter(~F.col("is_boilerplate")))
+    kept = all_scores(spark, sf, sentences(spark, sf).filter(~F.col("is_boilerplate")))
     return rounded(kept.select("doc_id", "n_sentences", "s_prob"), "s_prob")
 
 
 def sentence_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of any scorer: probabilities sum to one, scores lie in [-1, 1], truncated sentences are counted."""
-    rows = sentences(spark, sf).agg(F.round(F.max(F.abs(F.col("p_pos") + F.col("p_neg") + F.col("p_neu") - 1)), 9).alias("off_one"), F.max("n_tokens").alias("longest"), F.count_if(F.col("n_tokens") >= V.MAX_TOKENS).alias("n_truncated"))
-    docs = scores(spark, sf).agg(F.count_if(F.abs("s_prob") > 1).alias("n_out_prob"), F.count_if(F.abs("s_count") > 1).alias("n_out_count"), F.count_if(F.col("n_sentences") == 0).alias("n_without_sentences"))
+    found = staged_sentences(spark, sf)
+    rows = found.agg(F.round(F.max(F.abs(F.col("p_pos") + F.col("p_neg") + F.col("p_neu") - 1)), 9).alias("off_one"), F.max("n_tokens").alias("longest"), F.count_if(F.col("n_tokens") >= V.MAX_TOKENS).alias("n_truncated"))
+    docs = all_scores(spark, sf, found).agg(F.count_if(F.abs("s_prob") > 1).alias("n_out_prob"), F.count_if(F.abs("s_count") > 1).alias("n_out_count"), F.count_if(F.col("n_sentences") == 0).alias("n_without_sentences"))
     return rows.join(docs)
 
 
@@ -67,7 +78,7 @@ def extreme_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def score_describe(spark: SparkSession, sf: str) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of the document scores."""
     names = ["s_prob", "s_count"]
-    long = scores(spark, sf).select(*[F.round(c, 8).alias(c) for c in names]).unpivot([], names, "score", "value")
+    long = all_scores(spark, sf).select(*[F.round(c, 8).alias(c) for c in names]).unpivot([], names, "score", "value")
     long = staged(long, "score-values")
     quarters = S.quantiles(long, ["score"], "value", [0.25, 0.5, 0.75]).select("score", "q")
     found = long.groupBy("score").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("most")).join(quarters, "score", "left")
@@ -77,8 +88,9 @@ def score_describe(spark: SparkSession, sf: str) -> DataFrame:
 
 def sentence_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose number of sentences differs between the sentence and the score table (none)."""
-    counted = sentences(spark, sf).groupBy("doc_id").agg(F.count("*").alias("found"))
-    both = scores(spark, sf).select("doc_id", "n_sentences").join(counted, "doc_id", "full_outer")
+    found = staged_sentences(spark, sf)
+    counted = found.groupBy("doc_id").agg(F.count("*").alias("found"))
+    both = all_scores(spark, sf, found).select("doc_id", "n_sentences").join(counted, "doc_id", "full_outer")
     return both.agg(F.count("*").alias("n_documents"), F.count_if(F.coalesce("n_sentences", F.lit(-1)) != F.coalesce("found", F.lit(0))).alias("n_different"))
 
 
@@ -87,13 +99,13 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     n = [F.col(c) for c in ("n_pos", "n_neg", "n_neu")]
     said = F.when(F.col("n_sentences") == 0, "none").when((n[0] >= n[1]) & (n[0] >= n[2]), "positive").when(n[1] >= n[2], "negative").otherwise("neutral")
     marks = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("actual"))
-    both = marks.join(scores(spark, sf).select("doc_id", said.alias("said")), "doc_id")
+    both = marks.join(all_scores(spark, sf).select("doc_id", said.alias("said")), "doc_id")
     return both.groupBy("actual").pivot("said", ["positive", "negative", "neutral", "none"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     text = T.clean_text(F.col("text"))
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+    return planted.texts(spark, sf).select("doc_id", text.alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
 def page_addresses(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +147,8 @@ _LINES = ", ".join(f"'{x}'" for x in T.CHROME_LINES)
 _RANKS = "k AS (SELECT *, rank() OVER (ORDER BY s_prob) + (count(*) OVER (PARTITION BY s_prob) - 1) / 2 AS ra, rank() OVER (ORDER BY s_count) + (count(*) OVER (PARTITION BY s_count) - 1) / 2 AS rb FROM (SELECT round(s_prob, 8) AS s_prob, round(s_count, 8) AS s_count FROM ds))"
 _ALL = "a AS (SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, s_prob, s_count FROM documents LEFT JOIN ds USING (doc_id))"
 
-CLEAN = f"""l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS l FROM documents),
+SCORED = f"{planted.TEXTS}, {panel.SCORED}"
+CLEAN = f"""{planted.TEXTS}, l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS l FROM pd),
 c AS (SELECT doc_id, array_to_string(list_filter(l, lambda x: trim(x, ' |') <> '' AND NOT regexp_matches(x, '^(?:{_STARTS})') AND lower(trim(x, ' |')) NOT IN ({_LINES}) AND NOT regexp_matches(trim(x, ' |'), '(?i)^\\d{{4}}\\s+monetary policy$')), E'\\n') AS t FROM l)"""
 
 ORACLES = {
@@ -146,17 +159,19 @@ ORACLES = {
     "sentence_invariants": f"WITH {SCORED}, {_ALL} SELECT (SELECT round(max(abs(p_pos + p_neg + p_neu - 1)), 9) FROM sc) AS off_one, (SELECT CAST(max(n_tokens) AS INTEGER) FROM sc) AS longest, (SELECT count(*) FILTER (n_tokens >= 512) FROM sc) AS n_truncated, count(*) FILTER (abs(s_prob) > 1) AS n_out_prob, count(*) FILTER (abs(s_count) > 1) AS n_out_count, count(*) FILTER (n_sentences = 0) AS n_without_sentences FROM a",
     "extreme_sentences": f"WITH {SCORED}, r AS (SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(p_pos - p_neg, 6) AS net FROM sc WHERE NOT is_boilerplate) (SELECT *, 'positive' AS side FROM r ORDER BY net DESC, doc_id, idx LIMIT {K}) UNION ALL (SELECT *, 'negative' AS side FROM r ORDER BY net, doc_id, idx LIMIT {K})",
     "score_describe": f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT '{c}' AS score, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS least, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS q2, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS most FROM (SELECT round({c}, 8) AS v FROM ds)" for c in ("s_prob", "s_count")),
-    "sentence_reconciliation": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_different FROM documents",
+    "sentence_reconciliation": f"""WITH {SCORED}, {_ALL}, f AS (SELECT doc_id, count(*) AS found FROM e GROUP BY 1)
+SELECT count(*) AS n_documents, count(*) FILTER (coalesce(n_sentences, -1) <> coalesce(found, 0)) AS n_different FROM a FULL JOIN f USING (doc_id)""",
     "confusion_matrix": f"""WITH {SCORED}, n AS (SELECT doc_id, count(*) FILTER (label = 'positive') AS p, count(*) FILTER (label = 'negative') AS n, count(*) FILTER (label = 'neutral') AS u FROM sc GROUP BY 1),
 l AS (SELECT quality AS actual, CASE WHEN p IS NULL THEN 'none' WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END AS said FROM labels JOIN documents USING (doc_id) LEFT JOIN n USING (doc_id))
 SELECT actual, {", ".join(f"count(*) FILTER (said = '{c}') AS {c}" for c in ("positive", "negative", "neutral", "none"))} FROM l GROUP BY 1""",
     "clean_documents": f"WITH {CLEAN} SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha256 FROM c",
-    "documents_table": f"""WITH {CLEAN}, {DOCS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN t END AS text FROM c))")}
+    "documents_table": f"""WITH {CLEAN}, {DOC_STEPS.replace("FROM pd)", "FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN t END AS text FROM c))")}
 SELECT doc_id, doc_type, CASE WHEN text IS NULL THEN 'MISSING_FILE' ELSE 'file' END AS selector_used, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, is_error_page, is_flagged, release_minutes, release_time_source FROM d WHERE doc_id % 17 <> 0""",
-    "page_addresses": r"""SELECT page_id, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host, CASE WHEN contains(url, '/fomc/') THEN 'fomc' WHEN contains(url, '/boarddocs/') THEN 'boarddocs' WHEN contains(url, '/press/monetary/') THEN 'press' ELSE 'pressreleases' END AS era,
-  CAST(CAST(try_strptime(nullif(regexp_extract(url, '/fomc/(\d{8})default\.htm|/boarddocs/press/[a-z]+/\d{4}/(\d{8})/?(?:default\.htm)?$|/newsevents/press/monetary/(\d{8})[a-z]\d*\.htm', 1), ''), '%Y%m%d') AS DATE) AS VARCHAR) AS url_date,
-  strftime(DATE '2000-01-03' + CAST(page_id % 3000 AS INTEGER), '%Y%m%d') || '_' || substr(sha256(url), 1, 6) || '.htm' AS raw_path FROM pages""",
-    "page_manifest": "SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS sha256 FROM pages",
+    "page_addresses": f"WITH {planted.PAGES} " + r"""SELECT page_id, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host, CASE WHEN contains(url, '/fomc/') THEN 'fomc' WHEN contains(url, '/boarddocs/') THEN 'boarddocs' WHEN contains(url, '/press/monetary/') THEN 'press' ELSE 'pressreleases' END AS era,
+  CAST(CAST(try_strptime(coalesce(nullif(regexp_extract(url, '/fomc/(\d{8})default\.htm', 1), ''), nullif(regexp_extract(url, '/boarddocs/press/[a-z]+/\d{4}/(\d{8})/?(?:default\.htm)?$', 1), ''), nullif(regexp_extract(url, '/newsevents/press/monetary/(\d{8})[a-z]\d*\.htm', 1), ''),
+    nullif(regexp_extract(url, '/newsevents/pressreleases/monetary(\d{8})[a-z]\d*\.htm', 1), ''), nullif(regexp_extract(url, '/monetarypolicy/fomcminutes(\d{8})\.htm', 1), '')), '%Y%m%d') AS DATE) AS VARCHAR) AS url_date,
+  strftime(DATE '2000-01-03' + CAST(page_id % 3000 AS INTEGER), '%Y%m%d') || '_' || substr(sha256(url), 1, 6) || '.htm' AS raw_path FROM pp""",
+    "page_manifest": f"WITH {planted.PAGES} SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS sha256 FROM pp",
     "manifest_check": "SELECT 'p' || page_id AS raw_path, CASE WHEN page_id % 7 = 0 THEN 'file_missing' ELSE 'sha256_mismatch' END AS issue FROM pages WHERE page_id % 11 <> 0 AND (page_id % 7 = 0 OR page_id % 5 = 0)",
-    "unfetched_pages": "SELECT min(page_id) AS page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) GROUP BY url",
+    "unfetched_pages": f"WITH {planted.PAGES} SELECT min(page_id) AS page_id, url FROM pp WHERE url NOT IN (SELECT url FROM pp WHERE page_id % 2 = 0) GROUP BY url",
 }

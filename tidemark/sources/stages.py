@@ -14,6 +14,7 @@ SCHEMAS = {
     "manifest": "url STRING, raw_path STRING, http_status INT, n_bytes BIGINT, sha256 STRING, fetched_at_utc TIMESTAMP",
     "discovery": "doc_type STRING, doc_date DATE, url STRING, anchor_text STRING, meeting_heading STRING, is_scheduled BOOLEAN, source_index STRING, raw_path STRING",
     "documents": "doc_type STRING, doc_date DATE, url STRING, is_scheduled BOOLEAN, raw_path STRING, text STRING, n_chars INT, selector_used STRING, release_datetime TIMESTAMP, release_time_source STRING, parsed_release_time STRING, is_error_page BOOLEAN, is_flagged BOOLEAN",
+    "panel": "doc_id STRING, doc_type STRING, doc_date DATE, url STRING, is_scheduled BOOLEAN, raw_path STRING, n_chars INT, selector_used STRING, release_datetime TIMESTAMP, release_time_source STRING, parsed_release_time STRING, is_error_page BOOLEAN, is_flagged BOOLEAN, entry_date DATE, fwd_ret_1 DOUBLE, fwd_ret_3 DOUBLE, fwd_ret_5 DOUBLE, fwd_ret_10 DOUBLE, fwd_ret_20 DOUBLE",
     "prices": "date DATE, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume BIGINT",
     "sentences": "doc_id STRING, doc_date DATE, sentence_idx INT, sentence STRING, p_pos DOUBLE, p_neg DOUBLE, p_neu DOUBLE, label STRING, n_tokens INT, is_boilerplate BOOLEAN",
     "doc_scores": "doc_id STRING, doc_date DATE, is_scheduled BOOLEAN, n_chars INT, S_count DOUBLE, S_prob DOUBLE, n_sentences INT, n_pos INT, n_neg INT, n_neu INT, n_boilerplate INT, mean_confidence DOUBLE, max_tokens INT",
