@@ -1,11 +1,13 @@
 """Page parsing, stage tables and the manifest."""
 
 import hashlib
+import time
 from datetime import date
 
 import pytest
 
 from tidemark.sources import html, stages
+from tidemark.sources import html as html_
 
 LONG = "The Committee decided to keep the target. " * 12
 
@@ -31,6 +33,24 @@ def test_unclosed_markup_is_linear():
     assert html.body_candidates("<div>" * 5000)[-1] == (html.WHOLE_PAGE, "")
 
 
+def test_parsing_takes_time_in_proportion():
+    def took(html):
+        began = time.process_time()
+        html_.body_candidates(html)
+        html_.page_links(html, "http://x/")
+        return time.process_time() - began
+
+    for unit in ("<p><a href=x>t</a>", "<script>a</script><p>t", "<div>t</p>", "<a href=x>t", "<div class=fomc-meeting><a href=x>t</a>", "<h4>t<a href=x>t</a>", "<ul><li>t</ul>"):
+        took(unit * 500)
+        few, many = took(unit * 2000), took(unit * 8000)
+        assert many < 10 * few + 0.2, (unit, few, many)
+
+
+def test_links_do_not_nest():
+    got = html_.page_links("<h3>One</h3><p><a href=a>x<a href=b>y</p><h5>Two</h5><div><a href=c>z</a></div>", "http://x/")
+    assert [(r["href"], r["text"], r["heading"]) for r in got] == [("a", "x", "One"), ("b", "y", "One"), ("c", "z", "Two")]
+
+
 INDEX = """<h4>January Meeting - 2003</h4><div><p><a href="/boarddocs/press/monetary/2003/20030129/default.htm">Statement</a>
 <a href="/other.htm">Statement</a></p></div><h5>March (unscheduled)</h5><div><p><a href="/newsevents/press/monetary/20080318a.htm"> Statement </a>
 <a href="/monetarypolicy/fomcminutes20080318.htm">Minutes</a></p></div>"""

@@ -160,6 +160,21 @@ def hac_errors(rows: DataFrame, key: str, value: str, order: str, lags: Column)
     return pairs.groupBy(key).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sqrt(F.sum(weight * F.col("_e") * F.col("_f")) / F.max("n") / F.max("n")).alias("se"))
 
 
+def agreement(pairs: DataFrame, actual: str, said: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """The confusion matrix of both axes, a row for each pair of ``labels``, absent ones included: ``actual, said, n``,
+    its shares of the row (``recall`` of the class on the diagonal) and of the column (``precision``), null where there
+    is nothing to share, and over the whole matrix ``accuracy`` and Cohen's ``kappa``. Other labels don't count."""
+    known = pairs.filter(F.col(actual).isin(*labels) & F.col(said).isin(*labels))
+    cells = [F.count_if((F.col(actual) == a) & (F.col(said) == b)).alias(f"{i},{j}") for i, a in enumerate(labels) for j, b in enumerate(labels)]
+    k, c = range(len(labels)), lambda i, j: F.col(f"{i},{j}")
+    counted = known.agg(*cells)
+    row, column = [sum(c(i, j) for j in k) for i in k], [sum(c(i, j) for i in k) for j in k]
+    whole = sum(row)
+    hit, chance = F.try_divide(sum(c(i, i) for i in k), whole), F.try_divide(sum(row[i] * column[i] for i in k), whole * whole)
+    found = [F.struct(F.lit(a).alias("actual"), F.lit(b).alias("said"), c(i, j).alias("n"), F.try_divide(c(i, j), row[i]).alias("of_actual"), F.try_divide(c(i, j), column[j]).alias("of_said"), hit.alias("accuracy"), F.try_divide(hit - chance, 1 - chance).alias("kappa")) for i, a in enumerate(labels) for j, b in enumerate(labels)]
+    return counted.select(F.explode(F.array(*found)).alias("cell")).select("cell.*")
+
+
 def strategy_returns(df: DataFrame, fwd: str, bps: list[float]) -> DataFrame:
     """One row per row and cost: ``bps`` and ``ret``; rows without a forward return go."""
     rows = df.filter(F.col(fwd).isNotNull()).withColumn("bps", F.explode(F.array(*map(F.lit, bps))))

@@ -9,7 +9,7 @@ from pyspark.sql.types import TimestampNTZType
 from tidemark.functions import text as T
 from tidemark.operators import events as E
 from tidemark.operators import scans as S
-from tidemark.sources.stages import staged
+from tidemark.sources.stages import first_of, staged
 
 ZONE = "America/New_York"
 DEFAULT_MINUTES = 14 * 60
@@ -198,6 +198,13 @@ def documents_table(discovery: DataFrame, bodies: DataFrame, overrides: dict[str
     return rows.withColumns({"text": F.coalesce("text", F.lit("")), "n_chars": F.coalesce(F.length("text"), F.lit(0)), "selector_used": F.coalesce("selector_used", F.lit("MISSING_FILE"))})
 
 
+def first_sessions(prices: DataFrame, at: str, *order: str) -> DataFrame:
+    """One row of each day of ``at`` (a time or day, without its clock), as ``session``: the first by ``order``. A null
+    day is no session."""
+    rows = prices.withColumn("session", F.to_date(at)).filter(F.col("session").isNotNull())
+    return first_of(rows if at == "session" else rows.drop(at), "session", *order)
+
+
 def complete_prices(prices: DataFrame) -> DataFrame:
     """The rows that have both an open and a close."""
     return prices.na.drop(subset=["open", "close"])

@@ -262,11 +262,18 @@ def price_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_sessions"), F.count_if(F.col("open").isNull()).alias("n_dropped")).join(left)
 
 
+def first_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the orders of each day, whose times differ, the first one stands for the session."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate", "o_totalprice")
+    found = P.first_sessions(orders, "o_orderdate", "o_orderkey")
+    return found.select(F.col("session").cast("string").alias("session"), "o_orderkey", "o_totalprice")
+
+
 def session_edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.edges(bars(spark, sf), "session").select(F.col("session").cast("string").alias("session"), "open", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (score_coverage, scheduled_funnel, asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
+QUERIES = {f.__name__: f for f in (first_trades, score_coverage, scheduled_funnel, asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
 
 BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
@@ -312,6 +319,7 @@ c1 AS (SELECT pair, count(*) AS n, corr(ra, rb) AS ic, corr(value, fwd) AS pears
 si AS (SELECT pair, sum(w * pow(1 + x * x / (n - 2), -(n - 1) / 2)) * t / 6000 AS area FROM (SELECT pair, n, abs(t) AS t, abs(t) * i / 2000 AS x, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM c2, range(2001) r(i)) GROUP BY pair, n, t)"""
 
 ORACLES = {
+    "first_trades": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS session, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1",
     "asof_instants": f"WITH {BARS}, {DOCS}, o AS (SELECT session, timezone('America/New_York', CAST(session AS TIMESTAMP) + to_minutes(CASE WHEN day(session) % 9 = 1 THEN 780 ELSE 570 END)) AS opens FROM bars) SELECT doc_id, CAST(session AS VARCHAR) AS entry FROM d ASOF LEFT JOIN o ON d.release < o.opens",
     "previous_purchase": "WITH b AS (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT event_id, purchase_id FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts > b.ts",
     "price_quality": f"WITH {BARS} SELECT count(*) AS n_sessions, count(*) FILTER (open < 20000) AS n_dropped, count(*) FILTER (open >= 20000) AS n_kept, CAST(max(session) FILTER (open >= 20000) AS VARCHAR) AS last FROM bars",

@@ -10,7 +10,7 @@ from tidemark.operators import evaluation as V
 from tidemark.operators import scans as S
 from tidemark.plans import panel, planted
 from tidemark.plans.panel import DOC_STEPS, rounded
-from tidemark.sources import html, stages
+from tidemark.sources import html, ledger, stages
 from tidemark.sources.stages import staged
 
 K = 5
@@ -103,6 +103,16 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("actual").pivot("said", ["positive", "negative", "neutral", "none"]).agg(F.count(F.lit(1))).fillna(0)
 
 
+def label_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Both axes of three classes: the hand labels (good, toxic, neither) against the label of most sentences."""
+    n = [F.col(c) for c in ("n_pos", "n_neg", "n_neu")]
+    said = F.when(F.col("n_sentences") == 0, "none").when((n[0] >= n[1]) & (n[0] >= n[2]), "positive").when(n[1] >= n[2], "negative").otherwise("neutral")
+    hand = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    marks = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", hand.alias("actual"))
+    found = V.agreement(marks.join(all_scores(spark, sf).select("doc_id", said.alias("said")), "doc_id"), "actual", "said")
+    return rounded(found, "of_actual", "of_said", "accuracy", "kappa")
+
+
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     text = T.clean_text(F.col("text"))
     return planted.texts(spark, sf).select("doc_id", text.alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
@@ -140,7 +150,30 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return html.links(pages(spark, sf)).select("page_id", "place", "url", "text", "heading")
 
 
-QUERIES = {f.__name__: f for f in (label_mix, score_correlation, boilerplate_report, without_boilerplate, sentence_invariants, extreme_sentences, score_describe, sentence_reconciliation, confusion_matrix, clean_documents, page_addresses, page_manifest, manifest_check, unfetched_pages, page_bodies, page_links)}
+def bodies_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents made into pages and read back: the text and the selector that found it."""
+    found = html.bodies(planted.document_pages(spark, sf), "doc_id")
+    return found.select("doc_id", "selector_used", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+def discovered_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The statements and minutes that the index pages link to."""
+    found = html.discovered(html.links(planted.index_pages(spark, sf)), False)
+    return found.withColumn("doc_date", F.col("doc_date").cast("string"))
+
+
+def ledger_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Index pages put into a ledger in two runs, the second over all of them, and what is discovered in its files."""
+    root = stages.fresh_dir(spark, "ledger")
+    rows = planted.index_pages(spark, sf).select("url", F.lit(None).cast("date").alias("doc_date"), F.lit(200).alias("http_status"), F.lit("2020-01-01").cast("timestamp").alias("fetched_at_utc"), F.col("html").cast("binary").alias("content"), "page_id")
+    ledger.stored(rows.filter("page_id % 3 = 0"), root)
+    ledger.stored(rows, root)
+    pages_ = ledger.files(spark, root).select(F.col("url").alias("page"), "url", F.col("content").cast("string").alias("html"))
+    found = html.discovered(html.links(pages_, "page"), False)
+    return stages.first_of(found, "url", "anchor_text", "meeting_heading").withColumn("doc_date", F.col("doc_date").cast("string"))
+
+
+QUERIES = {f.__name__: f for f in (label_mix, score_correlation, boilerplate_report, without_boilerplate, sentence_invariants, extreme_sentences, score_describe, sentence_reconciliation, confusion_matrix, clean_documents, page_addresses, page_manifest, manifest_check, unfetched_pages, page_bodies, page_links, bodies_of_documents, discovered_documents, ledger_discovery, label_agreement)}
 
 _STARTS = "|".join(T.CHROME_STARTS).replace(".", r"\.")
 _LINES = ", ".join(f"'{x}'" for x in T.CHROME_LINES)
@@ -151,6 +184,11 @@ SCORED = f"{planted.TEXTS}, {panel.SCORED}"
 CLEAN = f"""{planted.TEXTS}, l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS l FROM pd),
 c AS (SELECT doc_id, array_to_string(list_filter(l, lambda x: trim(x, ' |') <> '' AND NOT regexp_matches(x, '^(?:{_STARTS})') AND lower(trim(x, ' |')) NOT IN ({_LINES}) AND NOT regexp_matches(trim(x, ' |'), '(?i)^\\d{{4}}\\s+monetary policy$')), E'\\n') AS t FROM l)"""
 
+_DISCOVERED = """WITH i AS (SELECT page_id, DATE '1994-02-01' + CAST(page_id * 3 % 4000 AS INTEGER) AS a, DATE '1994-02-01' + CAST(page_id * 3 % 4000 + 30 AS INTEGER) AS b, CASE page_id % 3 WHEN 0 THEN 'Conference call' WHEN 1 THEN 'Second meeting' ELSE 'Later' END AS h FROM pages)
+SELECT 'statement' AS doc_type, CAST(a AS VARCHAR) AS doc_date, 'http://www.example.org/fomc/' || strftime(a, '%Y%m%d') || 'default.htm' AS url, 'Statement' AS anchor_text, 'Meeting no. ' || page_id || ' of the year' AS meeting_heading, TRUE AS is_scheduled FROM i
+UNION ALL SELECT k, CAST(b AS VARCHAR), 'http://www.example.org/' || CASE k WHEN 'minutes' THEN 'monetarypolicy/fomcminutes' || strftime(b, '%Y%m%d') ELSE 'newsevents/press/monetary/' || strftime(b, '%Y%m%d') || 'a' END || '.htm', CASE k WHEN 'minutes' THEN 'Minutes & more' ELSE 'Statement' END, h,
+  CASE page_id % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END FROM i, (SELECT unnest(['statement', 'minutes']) AS k)"""
+
 ORACLES = {
     "label_mix": f"WITH {SCORED} SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM sc), 4) AS pct FROM sc GROUP BY 1",
     "score_correlation": f"WITH {SCORED}, {_RANKS} SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman, round(corr(s_prob, s_count), 6) AS pearson FROM k",
@@ -164,7 +202,18 @@ SELECT count(*) AS n_documents, count(*) FILTER (coalesce(n_sentences, -1) <> co
     "confusion_matrix": f"""WITH {SCORED}, n AS (SELECT doc_id, count(*) FILTER (label = 'positive') AS p, count(*) FILTER (label = 'negative') AS n, count(*) FILTER (label = 'neutral') AS u FROM sc GROUP BY 1),
 l AS (SELECT quality AS actual, CASE WHEN p IS NULL THEN 'none' WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END AS said FROM labels JOIN documents USING (doc_id) LEFT JOIN n USING (doc_id))
 SELECT actual, {", ".join(f"count(*) FILTER (said = '{c}') AS {c}" for c in ("positive", "negative", "neutral", "none"))} FROM l GROUP BY 1""",
+    "label_agreement": f"""WITH {SCORED}, n AS (SELECT doc_id, count(*) FILTER (label = 'positive') AS p, count(*) FILTER (label = 'negative') AS n, count(*) FILTER (label = 'neutral') AS u FROM sc GROUP BY 1),
+l AS (SELECT CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS actual, CASE WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END AS said FROM labels JOIN documents USING (doc_id) JOIN n USING (doc_id)),
+k AS (SELECT unnest(['positive', 'negative', 'neutral']) AS c), m AS (SELECT a.c AS actual, b.c AS said, (SELECT count(*) FROM l WHERE l.actual = a.c AND l.said = b.c) AS n FROM k a, k b),
+w AS (SELECT sum(n) AS t, sum(n) FILTER (actual = said) AS h FROM m), ch AS (SELECT sum(x * y) AS e FROM (SELECT actual AS c, sum(n) AS x FROM m GROUP BY 1) JOIN (SELECT said AS c, sum(n) AS y FROM m GROUP BY 1) USING (c))
+SELECT actual, said, n, round(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 6) AS of_actual, round(n / nullif(sum(n) OVER (PARTITION BY said), 0), 6) AS of_said, round(h / t, 6) AS accuracy, round((h / t - e / (t * t)) / nullif(1 - e / (t * t), 0), 6) AS kappa FROM m, w, ch""",
     "clean_documents": f"WITH {CLEAN} SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha256 FROM c",
+    "bodies_of_documents": f"""WITH {CLEAN}, p AS (SELECT doc_id, doc_id % 5 AS k, t, length(t) >= 400 AS long FROM c),
+r AS (SELECT doc_id, CASE WHEN k = 0 AND long THEN 'div#article' WHEN k = 1 AND long THEN 'td.text' WHEN k = 2 AND long THEN 'div.col-xs-12.col-sm-8.col-md-8' WHEN k = 3 AND long THEN 'div#leftText' ELSE 'whole_page_fallback' END AS selector_used,
+  CASE WHEN k = 0 AND NOT long THEN trim('Old' || chr(10) || t, chr(10)) WHEN k = 3 AND NOT long THEN trim('Short.' || chr(10) || t, chr(10)) ELSE t END AS t FROM p)
+SELECT doc_id, selector_used, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS sha256 FROM r""",
+    "discovered_documents": _DISCOVERED,
+    "ledger_discovery": f"SELECT * FROM ({_DISCOVERED}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY anchor_text, meeting_heading) = 1",
     "documents_table": f"""WITH {CLEAN}, {DOC_STEPS.replace("FROM pd)", "FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN t END AS text FROM c))")}
 SELECT doc_id, doc_type, CASE WHEN text IS NULL THEN 'MISSING_FILE' ELSE 'file' END AS selector_used, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, is_error_page, is_flagged, release_minutes, release_time_source FROM d WHERE doc_id % 17 <> 0""",
     "page_addresses": f"WITH {planted.PAGES} " + r"""SELECT page_id, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host, CASE WHEN contains(url, '/fomc/') THEN 'fomc' WHEN contains(url, '/boarddocs/') THEN 'boarddocs' WHEN contains(url, '/press/monetary/') THEN 'press' ELSE 'pressreleases' END AS era,

@@ -5,7 +5,10 @@ raises: unclosed elements end with their parents. Null pages are empty pages."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -20,82 +23,120 @@ BODY_SELECTORS = ("div#article", "div.col-xs-12.col-sm-8.col-md-8", "div#content
 DROPPED = frozenset(("script", "style", "nav", "header", "footer"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset(("h3", "h4", "h5"))
+UNENDED = re.compile("<[A-Za-z/!?]")
 WHOLE_PAGE = "whole_page_fallback"
 #: Cleaned characters that a selector's text must have.
 LEAST_BODY = 400
 
 
 class Outline(HTMLParser):
-    """A page in document order: ``elements`` (tag, attributes, parent's index, first and last text piece) and ``pieces``."""
+    """A page in document order, in time in proportion to its length: ``pieces`` of text, each marked where it lies in
+    something dropped, and ``elements``. What is asked of an element is noted as it opens: whether it lies in something
+    dropped, the last heading before it and the element around it that is marked as a meeting. A link ends where the
+    next begins, as links don't nest."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.elements: list[list] = []
+        self.elements: list[Element] = []
         self.pieces: list[str] = []
+        self.dropped: list[bool] = []
         self.open: list[int] = []
-        self.feed(html)
+        self.opened: Counter[str] = Counter()
+        self.heading, self.drops = -1, 0
+        self.texts: dict[int, str] = {}
+        # A tag that never ends is no text; looking for its end again and again takes time.
+        cut = UNENDED.search(html, html.rfind(">") + 1)
+        self.feed(html[: cut.start()] if cut else html)
         self.close()
-        for i in self.open:
-            self.elements[i][4] = len(self.pieces)
+        self.shut(0)
+
+    def shut(self, depth: int) -> None:
+        """Close the open elements beyond ``depth``."""
+        for i in self.open[depth:]:
+            own = self.elements[i]
+            own.end = len(self.pieces)
+            self.opened[own.tag] -= 1
+            self.drops -= own.tag in DROPPED
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        self.elements.append([tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else -1, len(self.pieces), len(self.pieces)])
+        if tag == "a" and self.opened["a"]:
+            self.handle_endtag("a")
+        i, own = len(self.elements), {k: v or "" for k, v in attrs}
+        parent = self.open[-1] if self.open else -1
+        classes = own.get("class", "").split()
+        meeting = i if any("fomc-meeting" in c for c in classes) else self.elements[parent].meeting if parent >= 0 else -1
+        self.elements.append(Element(tag, own, frozenset(classes), parent, self.heading, meeting, self.drops > 0, len(self.pieces), len(self.pieces)))
+        if tag in HEADINGS:
+            self.heading = i
         if tag not in VOID:
-            self.open.append(len(self.elements) - 1)
+            self.open.append(i)
+            self.opened[tag] += 1
+            self.drops += tag in DROPPED
 
     def handle_endtag(self, tag):
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.elements[self.open[k]][0] == tag), None)
-        if at is not None:
-            for i in self.open[at:]:
-                self.elements[i][4] = len(self.pieces)
-            del self.open[at:]
+        if self.opened[tag]:
+            at = len(self.open) - 1
+            while self.elements[self.open[at]].tag != tag:
+                at -= 1
+            self.shut(at)
 
     def handle_data(self, data):
         self.pieces.append(data)
-
-    def text(self, i: int) -> str:
-        _, _, _, start, end = self.elements[i]
-        return " ".join("".join(self.pieces[start:end]).split())
-
-    def matches(self, i: int, selector: str) -> bool:
+        self.dropped.append(self.drops > 0)
+
+    def text(self, i: int) -> str | None:
+        """The text of an element on one line; of none, None."""
+        if i >= 0 and i not in self.texts:
+            self.texts[i] = " ".join("".join(self.pieces[self.elements[i].start : self.elements[i].end]).split())
+        return self.texts.get(i)
+
+    def shown(self, start: int, end: int) -> str:
+        return "\n".join(p for p, gone in zip(self.pieces[start:end], self.dropped[start:end], strict=True) if not gone)
+
+
+@dataclass(slots=True)
+class Element:
+    tag: str
+    attributes: dict[str, str]
+    classes: frozenset[str]
+    parent: int
+    heading: int
+    meeting: int
+    inside: bool
+    start: int
+    end: int
+
+    def matches(self, selector: str) -> bool:
         tag, _, rest = selector.replace("#", ".#").partition(".")
-        own = self.elements[i][1]
-        classes = own.get("class", "").split()
-        return self.elements[i][0] == tag and all(own.get("id") == part[1:] if part.startswith("#") else part in classes for part in rest.split("."))
-
-    def shown(self, start: int, end: int, gone: list[tuple[int, int]]) -> str:
-        return "\n".join(p for k, p in enumerate(self.pieces[start:end], start) if not any(a <= k < b for a, b in gone))
+        return self.tag == tag and all(self.attributes.get("id") == part[1:] if part.startswith("#") else part in self.classes for part in rest.split("."))
 
 
 def body_candidates(html: str | None) -> list[tuple[str, str]]:
     """Of the first element of each selector its selector and text, one line for each piece; last, the whole page."""
     page = Outline(html or "")
-    gone = [(e[3], e[4]) for e in page.elements if e[0] in DROPPED]
-    inside = lambda e: any(a <= e[3] and e[4] <= b and e[4] > e[3] for a, b in gone)
     out = []
     for selector in BODY_SELECTORS:
-        found = next((e for i, e in enumerate(page.elements) if page.matches(i, selector) and not inside(e)), None)
+        found = next((e for e in page.elements if e.matches(selector) and not e.inside), None)
         if found:
-            out.append((selector, page.shown(found[3], found[4], gone)))
-    return [*out, (WHOLE_PAGE, page.shown(0, len(page.pieces), gone))]
+            out.append((selector, page.shown(found.start, found.end)))
+    return [*out, (WHOLE_PAGE, page.shown(0, len(page.pieces)))]
 
 
 def page_links(html: str | None, base: str | None) -> list[dict]:
     """Every link: ``href`` as written, ``url`` (absolute), ``text``, the last heading before its parent began
     (``heading``) and the text of the element around it that is marked as a meeting (``meeting``, 120 characters)."""
     page, out = Outline(html or ""), []
-    for i, (tag, attrs, parent, _, _) in enumerate(page.elements):
-        if tag != "a" or "href" not in attrs:
+    for i, own in enumerate(page.elements):
+        if own.tag != "a" or "href" not in own.attributes:
             continue
-        heading = next((k for k in range(parent - 1, -1, -1) if page.elements[k][0] in HEADINGS), None)
-        up = parent
-        while up >= 0 and not any(c.find("fomc-meeting") >= 0 for c in page.elements[up][1].get("class", "").split()):
-            up = page.elements[up][2]
+        href, around = own.attributes["href"], page.elements[own.parent] if own.parent >= 0 else None
         try:
-            url = urljoin(base or "", attrs["href"])
+            url = urljoin(base or "", href)
         except ValueError:
-            url = attrs["href"]
-        out.append({"href": attrs["href"], "url": url, "text": page.text(i), "heading": page.text(heading) if heading is not None else None, "meeting": page.text(up)[:120] if up >= 0 else None})
+            url = href
+        meeting = page.text(around.meeting) if around else None
+        out.append({"href": href, "url": url, "text": page.text(i), "heading": page.text(around.heading) if around else None, "meeting": meeting and meeting[:120]})
     return out
 
 
