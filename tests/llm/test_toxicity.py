@@ -66,3 +66,14 @@ def test_sample_is_bounded(spark):
     marks = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, toxic int")
     picked = T.sampled(docs, marks, most=10, chars=500).groupBy("toxic").agg(F.count("*").alias("n")).collect()
     assert {r.toxic: r.n for r in picked} == {0: 5, 1: 5}
+
+
+def test_one_long_text_does_not_end_the_sample(spark):
+    rows = [(i, "clean words here " * 9 if i % 2 else "idiot words here " * 9) for i in range(60)] + [(100, "long " * 900_000), (101, "long " * 900_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, (i + 1) % 2) for i, _ in rows[:60]] + [(100, 1), (101, 0)], "doc_id bigint, toxic int")
+    found = T.sampled(docs, marks, most=2000, chars=100_000).groupBy("toxic").count().collect()
+    assert {r.toxic: r["count"] for r in found} == {0: 30, 1: 30}
+    # With nothing that fits, the shortest is better than none.
+    few = T.sampled(docs, marks, most=2000, chars=10).collect()
+    assert len(few) == 2 and all(len(r.text) < 200 for r in few)

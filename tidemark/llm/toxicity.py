@@ -140,12 +140,16 @@ def sampled(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_EACH, chars: i
     text. Rows are chosen by a hash of their key, before any text travels; the chosen keys are at most ``2 * most``."""
     keys = docs.select("doc_id", text_hash().alias("text_hash"), F.length(F.coalesce("text", F.lit(""))).alias("size")).join(marks.hint("merge"), "doc_id")
     keys = keys.groupBy("toxic", "doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    spent, chosen = [0, 0], []
+    chosen = []
     for y in (0, 1):
-        for r in keys.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("sample"), "doc_id", "text_hash"), "doc_id", "text_hash").limit(most).collect():
-            spent[y] += r["size"]
-            if spent[y] <= chars or not any(c["toxic"] == y for c in chosen):
-                chosen.append(r)
+        found = keys.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("sample"), "doc_id", "text_hash"), "doc_id", "text_hash").limit(most).collect()
+        # A text too long for what is left is passed over, and takes nothing from those after it.
+        spent, own = 0, []
+        for r in found:
+            if spent + r["size"] <= chars:
+                spent += r["size"]
+                own.append(r)
+        chosen += own or sorted(found, key=lambda r: r["size"])[:1]
     picked = staged(docs.sparkSession.createDataFrame([(r["doc_id"], r["text_hash"], r["toxic"], r["n"]) for r in chosen], keys.select("doc_id", "text_hash", "toxic", "n").schema), "toxicity-sample")
     return docs.select("doc_id", text_hash().alias("text_hash"), "text").join(F.broadcast(picked), ["doc_id", "text_hash"])
 
