@@ -29,7 +29,7 @@ from tidemark.llm.stage import staged
 
 K, BITS = 10, 64
 #: Codes of a block, and queries of a part: what one group holds, at about 16 bytes each.
-BLOCK, PART = 1 << 18, 1 << 10
+BLOCK, PART = 1 << 18, 1 << 16
 #: Queries that a task looks up at a time.
 STEP = 64
 
