@@ -37,7 +37,7 @@ def test_damage_is_found_and_empty_tables_work(spark, tmp_path):
     assert warc.read(spark, folder, manifest).count() == 2
     with pytest.raises(Exception, match="manifest"):
         warc.read(spark, folder, manifest.withColumn("records", manifest["records"] + 1)).collect()
-    file = next((tmp_path / "w").iterdir())
+    file = next((tmp_path / "w").glob("*.warc.gz"))
     text = gzip.decompress(file.read_bytes())
     file.write_bytes(gzip.compress(text.replace(b"X-Page-Id: 1", b"X-Page-Id: 7"), mtime=0))
     with pytest.raises(Exception, match="manifest"):
@@ -56,6 +56,18 @@ def test_temporary_files_are_removed(spark, tmp_path):
     assert [f.name for f in tmp_path.iterdir() if f.name.startswith("_temporary")] == []
 
 
+def test_the_archive_holds_its_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "body", None), (2, "u", "more", None)], SCHEMA)
+    with pytest.raises(Exception, match="manifest"):
+        warc.read(spark, str(tmp_path)).collect()
+    warc.write(rows, uri=str(tmp_path))
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["manifest", "part-000001-00000.warc.gz"]
+    (tmp_path / "part-000009-00000.warc.gz").write_bytes(b"left by a run that was killed")
+    assert warc.read(spark, str(tmp_path)).count() == 2
+    warc.write(rows.filter("page_id = 2"), uri=str(tmp_path))
+    assert [r.page_id for r in warc.read(spark, str(tmp_path)).collect()] == [2]
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

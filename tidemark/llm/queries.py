@@ -85,8 +85,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, manifest = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(spark, folder, manifest).drop("url")
+    folder, _ = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder).drop("url")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

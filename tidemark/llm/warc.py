@@ -4,7 +4,9 @@ Pages are sorted by id and cut into ranges at every ``range_rows``-th id, by exa
 ids alone and not on samples or input splits. A task writes each of its ranges to files named after the range,
 first under a temporary name, then renamed. The same input gives the same bytes (fixed date, ids and gzip headers
 made from the page), so a task that runs again after a lost executor replaces a file by its equal. A file counts
-only if the manifest, which Spark commits last, lists it with its size and digest; temporary files are then removed.
+only if the manifest lists it with its size and digest: a folder named ``manifest`` beside the files, which Spark writes
+last under a temporary name, and which is then renamed, so whoever has the archive has it whole or not at all. Temporary
+files are then removed.
 Each record is its own gzip member; headers and digests are made anew on writing. Reading verifies files against the
 manifest, records against their digests, and revisits against the response that they refer to. Of equal payloads of at least ``LEAST_BYTES``, that of the largest page id is a response and
 the others are revisits that refer to it; they leave the payload out.
@@ -40,6 +42,7 @@ ROLL_BYTES = 64 << 20
 LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 17
 DATE = "2000-01-01T00:00:00Z"
 END = b"\r\n\r\n"
+MANIFEST = "file string, records bigint, bytes bigint, sha256 string"
 
 
 def sha1_32(data: bytes) -> str:
@@ -120,7 +123,8 @@ def range_starts(pages: DataFrame, rows: int | None = None) -> list[float]:
 
 
 def write(pages: DataFrame, uri: str | None = None, roll: int = ROLL_BYTES, range_rows: int | None = None) -> tuple[str, DataFrame]:
-    """Write the archives under ``uri`` (by default a new shared folder); the folder and the manifest."""
+    """Write the archives and their manifest under ``uri`` (by default a new shared folder); the folder and the manifest.
+    A manifest that is there already stays until the new one is whole, then is replaced by it."""
     uri = uri or fresh_dir(pages.sparkSession, "warc")
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
@@ -155,11 +159,20 @@ def write(pages: DataFrame, uri: str | None = None, roll: int = ROLL_BYTES, rang
         if done:
             yield pa.RecordBatch.from_pylist(done)
 
-    manifest = staged(rows.mapInArrow(run, "file string, records bigint, bytes bigint, sha256 string"), "warc-manifest")
+    made = f"_temporary-manifest-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, MANIFEST).write.parquet(f"{uri}/{made}")
+    if store.get_file_info(f"{root}/manifest").type == fs.FileType.Directory:
+        store.move(f"{root}/manifest", f"{root}/_temporary-old-{uuid.uuid4().hex}")
+    store.move(f"{root}/{made}", f"{root}/manifest")
     for left in store.get_file_info(fs.FileSelector(root)):
         if left.base_name.startswith("_temporary-"):
-            store.delete_file(left.path)
-    return uri, manifest
+            (store.delete_dir if left.type == fs.FileType.Directory else store.delete_file)(left.path)
+    return uri, manifest_of(pages.sparkSession, uri)
+
+
+def manifest_of(spark, uri: str) -> DataFrame:
+    """``file, records, bytes, sha256`` of an archive's files. One that was not written to its end has none: an error."""
+    return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
 class Hashed(io.RawIOBase):
@@ -194,10 +207,11 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def read(spark, uri: str, manifest: DataFrame) -> DataFrame:
-    """One row per record of the files that the manifest lists: ``page_id, payload_bytes, payload_digest,
+def read(spark, uri: str, manifest: DataFrame | None = None) -> DataFrame:
+    """One row per record of the files that the manifest (by default the archive's own) lists: ``page_id, payload_bytes, payload_digest,
     record_type, refers_to, url``. A missing or changed file or record, a wrong count, or a revisit without its
     response is an error."""
+    manifest = manifest_of(spark, uri) if manifest is None else manifest
     tasks = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
