@@ -2,7 +2,8 @@
 
 Only DataFrame functions are used, in one narrow pass. A candidate is a run of at least ``WINDOW``
 characters of ``[A-Za-z0-9+/_=-]`` that holds a digit and a letter. Its class (the smallest alphabet that
-holds it: hexadecimal, base32, letters of one case, or mixed) sets the threshold. A window slides over it: the
+holds it without a known prefix: hexadecimal, base32, letters of one case, or mixed) sets the threshold, but a window
+of hexadecimal digits has theirs, whatever is around it. A window slides over it: the
 counts of its characters, packed as five bits each into six integers, and the sum of ``c * log2(c)`` over them
 change only by the character that enters and the one that leaves. A candidate
 with a window at or above its class's threshold is a span of kind ``entropy``, unless it matches the
@@ -27,12 +28,17 @@ WINDOW = 20
 #: Least bits per character within a window (at most log2(20) = 4.32): what 99 % of random strings of 20
 #: characters reach of 16, 32, 36 and 62 symbols (by 40,000 simulated ones each); longer ones reach it more often.
 HEX_BITS, BASE32_BITS, CASE_BITS, MIXED_BITS = 2.88, 3.34, 3.40, 3.64
+#: What keys of well-known services begin with; it says nothing of the rest's alphabet.
+PREFIX = r"^(gh[opsur]_|github_pat_|glpat-|[spr]k[-_](live|test|proj)[-_]|sk-|xox[abprs]-|npm_|pypi-|hf_|shpat_|AIza)"
+#: Matches that are laid end to end at a time.
+CHUNK = 256
 #: What candidates are made of; with counts of five bits each, twelve to an integer.
 ALPHABET, PACK, WIDTH = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 12, 5
-#: Candidates that match as a whole are never secrets: UUIDs, words and numbers joined by single separators, examples.
+#: Candidates that match as a whole are never secrets: UUIDs, words, numbers and short
+#: marks (2nd, v2) joined by single separators, examples.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)([-_/=+]([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*$",
+    r"^([A-Z]?[a-z]+|[A-Z]+|[0-9]+|[0-9]{1,3}[a-z]{1,2}|[A-Za-z]{1,2}[0-9]{1,3})([-_/=+]([A-Z]?[a-z]+|[A-Z]+|[0-9]+|[0-9]{1,3}[a-z]{1,2}|[A-Za-z]{1,2}[0-9]{1,3}))*$",
     r"(?i)^((example|placeholder|dummy|sample|your|my|api|access|secret|password|token|key)[-_]?)+[0-9x]*$",
 )
 
@@ -43,8 +49,8 @@ def located(text: Column, pattern: str, kind: int, needs: Column, keep: Column |
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     extra = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep is not None else found
     parts = F.zip_with(F.slice(pieces, 1, F.size(found)), F.arrays_zip(found.alias("f"), extra.alias("g")), lambda p, m: F.struct(F.length(p).alias("gap"), m["f"].alias("f"), m["g"].alias("g")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,text:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    spans = "array<struct<start:int,kind:int,end:int,text:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + m["gap"]
@@ -53,11 +59,20 @@ def located(text: Column, pattern: str, kind: int, needs: Column, keep: Column |
         whole = F.concat(acc["out"], F.array(span))
         return F.struct(end.alias("at"), (whole if keep is None else F.when(F.length(m["g"]) >= keep, whole).otherwise(acc["out"])).alias("out"))
 
-    return F.when(needs & text.rlike(pattern), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(empty)
+    def chunked(p: Column) -> Column:
+        """Appending copies what is there, so spans are made within chunks, and chunks laid end to end."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda k: F.aggregate(F.slice(p, k * CHUNK + 1, F.lit(CHUNK)), zero, step))
+        moved = lambda c, by: F.transform(c["out"], lambda x: F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["text"].alias("text")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out"))
+        return F.flatten(F.aggregate(chunks, start, lambda a, c: F.struct((a["at"] + c["at"]).alias("at"), F.concat(a["out"], F.array(moved(c, a["at"]))).alias("out")))["out"])
 
+    # As a lambda's variable the parts are worked out once.
+    return F.when(needs & text.rlike(pattern), F.element_at(F.transform(F.array(parts), chunked), 1)).otherwise(F.array().cast(spans))
 
-def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits per character, of any window (of at most 31 characters) of the candidate."""
+
+def peak_entropy(candidate: Column, window: int = WINDOW, least: Column | None = None, hex_least: float = 0.0) -> Column:
+    """The highest Shannon entropy, in bits per character, of any window (of at most 31 characters) of the candidate;
+    with ``least``, by how much it is above that, or above ``hex_least`` in a window of hexadecimal digits."""
     one = F.lit(1).cast("bigint")
     places = F.transform(F.split(candidate, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
     shifted = lambda name, x, n: F.call_function(name, x, n)
@@ -68,10 +83,17 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
     def count(counts: Column, at: Column) -> Column:
         return shifted("shiftright", F.get(counts, (at / PACK).cast("int")), at % PACK * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
+    def hexadecimal(at: Column) -> Column:
+        return at.between(0, 5) | at.between(26, 31) | at.between(52, 61)
+
     def peak(ix: Column) -> Column:
         zero = F.array_repeat(F.lit(0).cast("bigint"), -(-len(ALPHABET) // PACK))
-        start = F.struct(zero.alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-        bits = lambda s: F.log2(F.lit(float(window))) - s / window
+        start = F.struct(zero.alias("counts"), F.lit(0.0).alias("s"), F.lit(-10.0).alias("best"), F.lit(-1).alias("other"))
+
+        def bits(a: Column, at: Column) -> Column:
+            """Of the window that ends at ``at``; ``other`` is the last place of what is no hexadecimal digit."""
+            found = F.log2(F.lit(float(window))) - a["s"] / window
+            return found if least is None else found - F.when(a["other"] <= at - window, hex_least).otherwise(least)
 
         def step(a: Column, i: Column) -> Column:
             enters, leaves = F.get(ix, i), F.when(i >= window, F.get(ix, i - window))
@@ -79,9 +101,9 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
             counts = F.transform(a["counts"], lambda c, j: c + F.when(j == (enters / PACK).cast("int"), add).otherwise(0) - F.when(j == (leaves / PACK).cast("int"), drop).otherwise(0))
             c_in, c_out = count(a["counts"], enters), count(a["counts"], leaves)
             change = F.when(enters == leaves, 0.0).otherwise(weight(c_in + 1) - weight(c_in) + F.when(leaves.isNotNull(), weight(c_out - 1) - weight(c_out)).otherwise(0.0))
-            return F.struct(counts.alias("counts"), (a["s"] + change).alias("s"), F.when(i >= window, F.greatest(a["best"], bits(a["s"]))).otherwise(a["best"]).alias("best"))
+            return F.struct(counts.alias("counts"), (a["s"] + change).alias("s"), F.when(i >= window, F.greatest(a["best"], bits(a, i - 1))).otherwise(a["best"]).alias("best"), F.when(hexadecimal(enters), a["other"]).otherwise(i).alias("other"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(ix) - 1), start, step, lambda a: F.greatest(a["best"], bits(a["s"])))
+        return F.aggregate(F.sequence(F.lit(0), F.size(ix) - 1), start, step, lambda a: F.greatest(a["best"], bits(a, F.size(ix) - 1)))
 
     return F.element_at(F.transform(F.array(places), peak), 1)
 
@@ -90,9 +112,16 @@ def suspicious(c: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | c.rlike(pattern)
-    least = F.when(c.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(c.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$"), BASE32_BITS).when(~(c.rlike("[A-Z]") & c.rlike("[a-z]")), CASE_BITS).otherwise(MIXED_BITS)
+    bare = F.regexp_replace(c, PREFIX, "")
+    bare = F.when(F.length(bare) >= WINDOW, bare).otherwise(c)
+    least = whole_class(bare)
     # When-branches are lazy: only what is left pays for the entropy.
-    return F.when(~(c.rlike("[0-9]") & c.rlike("[A-Za-z]")) | allowed, F.lit(False)).otherwise(peak_entropy(c) >= least)
+    return F.when(~(c.rlike("[0-9]") & c.rlike("[A-Za-z]")) | allowed, F.lit(False)).otherwise(peak_entropy(bare, WINDOW, least, HEX_BITS) >= 0)
+
+
+def whole_class(c: Column) -> Column:
+    """The least entropy of the smallest alphabet that holds the candidate."""
+    return F.when(c.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(c.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$"), BASE32_BITS).when(~(c.rlike("[A-Z]") & c.rlike("[a-z]")), CASE_BITS).otherwise(MIXED_BITS)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
