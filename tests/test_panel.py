@@ -230,3 +230,55 @@ def test_wall_clock_in_sessions_with_summer_time(spark):
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         assert got == ["2023-10-28 20:30:00.000001", "2023-10-28 21:30:00", "2023-03-12 03:00:00", "1969-12-31 18:59:59.5", None]
+
+
+def test_two_routes_to_the_same_z(spark):
+    rows = spark.createDataFrame([("k", i, math.sin(0.7 * i) * 0.2) for i in range(40)], "k string, _pos int, v double").withColumn("id", F.col("_pos"))
+    one, other = E.zscores(rows, "k", ["_pos"], "v", 6), E.zscores_by_join(rows, "k", "v", 6)
+    assert E.assert_backward(one, other, ["id"]) is one
+    # A window that sees the row itself, a row that is missing, and a value that should be null are all found.
+    ahead = one.withColumn("z", F.when(F.col("id") == 20, F.col("z") + 1e-6).otherwise(F.col("z")))
+    for bad in (ahead, one.filter("id <> 3"), one.withColumn("mu", F.coalesce("mu", F.lit(0.0)))):
+        with pytest.raises(AssertionError):
+            E.assert_backward(bad, other, ["id"])
+    assert [r.id for r in E.differing(ahead, other, ["id"]).collect()] == [20]
+
+
+def test_entries_at_the_close(spark, sessions):
+    at = ["2020-03-04 10:00", "2020-03-04 16:00", "2020-03-07 12:00"]
+    rows = spark.createDataFrame(list(enumerate(at)), "i int, s string").select("i", F.to_utc_timestamp("s", "America/New_York").alias("release"))
+    prices = sessions.withColumn("close", F.col("close") + 10)
+    got = [(round(r.ret_next_trading_open, 6), round(r.ret_same_day_close, 6)) for r in P.entry_returns(rows, prices, 1).orderBy("i").collect()]
+    place = {d: i for i, d in enumerate(DAYS)}
+    want = []
+    for first_open, first_close in ((date(2020, 3, 5), date(2020, 3, 4)), (date(2020, 3, 5), date(2020, 3, 5)), (date(2020, 3, 9), date(2020, 3, 9))):
+        a, b = place[first_open], place[first_close]
+        want.append((round((111 + a) / (100 + a) - 1, 6), round((111 + b) / (110 + b) - 1, 6)))
+    assert got == want
+
+
+def test_documents_without_sentences_leave_the_panel_by_name(spark):
+    panel = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    scores = spark.createDataFrame([(1, 2, 0.1), (2, 0, None)], "doc_id int, n_sentences int, s_prob double")
+    left = P.with_sentences(panel, scores)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+    with pytest.raises(AssertionError):  # 3 was never scored
+        P.merged_scores(left, scores)
+
+
+def test_agreement(spark):
+    pairs = spark.createDataFrame([("positive", "positive")] * 3 + [("positive", "neutral"), ("negative", "positive"), ("other", "neutral")], "a string, b string")
+    got = {(r.actual, r.said): r for r in V.agreement(pairs, "a", "b").collect()}
+    assert len(got) == 9 and got["positive", "positive"].of_actual == 0.75 and got["positive", "positive"].of_said == 0.75
+    assert got["neutral", "neutral"].of_actual is None and got["negative", "positive"].n == 1 and got["negative", "positive"].accuracy == 0.6
+    assert got["positive", "neutral"].kappa == pytest.approx((0.6 - 16 / 25) / (1 - 16 / 25))
+
+
+def test_numbered_and_first_sessions(spark):
+    from tidemark.operators import scans
+
+    rows = spark.createDataFrame([("a", i * 7 % 50, i) for i in range(50)] + [(None, 3, 99)], "k string, at int, i int").repartition(3)
+    got = {(r.k, r.at): r.place for r in scans.numbered(rows, ["k"], ["at"], "place", 7).collect()}
+    assert got == {("a", i): i + 1 for i in range(50)} | {(None, 3): 1}
+    days = spark.createDataFrame([("2020-03-04 09:00", 2, 1.0), ("2020-03-04 08:00", 1, 2.0), (None, 3, 3.0)], "s string, n int, price double").withColumn("s", F.col("s").cast("timestamp"))
+    assert [tuple(r) for r in P.first_sessions(days, "s", "n").select("n", "price", F.col("session").cast("string")).collect()] == [(1, 2.0, "2020-03-04")]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -151,7 +151,7 @@ def bootstrap(pairs: DataFrame, x: str, y: str, order: str, rounds: int, level:
 def hac_errors(rows: DataFrame, key: str, value: str, order: str, lags: Column) -> DataFrame:
     """Per key ``n, mean`` and the Newey-West standard error of the mean with ``lags`` Bartlett-weighted lags (a column
     of the key's rows). Each row meets those up to ``lags`` places after it by an equi-join on the place."""
-    rows = rows.filter(F.col(value).isNotNull()).withColumns({"_lags": lags, "_at": F.row_number().over(Window.partitionBy(key).orderBy(order))})
+    rows = S.numbered(rows.filter(F.col(value).isNotNull()).withColumn("_lags", lags).select(key, order, value, "_lags"), [key], [order], "_at")
     facts = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     off = rows.join(facts, key).select(key, "_at", "_lags", "n", "mean", (F.col(value) - F.col("mean")).alias("_e"))
     sent = off.select(key, F.col("_e").alias("_f"), F.posexplode(F.sequence(F.lit(0), "_lags")).alias("_l", "_x"), "_at").withColumn("_at", F.col("_at") + F.col("_l"))

@@ -91,6 +91,25 @@ def zscores_by_join(series: DataFrame, key: str, value: str, window: int) -> Dat
     return both.withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("mu")) / F.col("sigma")))
 
 
+def differing(one: DataFrame, other: DataFrame, keys: list[str], values: tuple[str, ...] = ("mu", "sigma", "z"), relative: float = 1e-10, absolute: float = 1e-12) -> DataFrame:
+    """The rows in which two routes to the same values disagree beyond the tolerance, or of which one has no such row
+    or value: ``keys`` and each value from both sides. Nulls equal each other."""
+    both = one.select(*keys, *[F.col(v).alias(f"{v}_one") for v in values], F.lit(True).alias("_one"))
+    both = both.join(other.select(*keys, *[F.col(v).alias(f"{v}_other") for v in values], F.lit(True).alias("_other")), keys, "full_outer")
+    bad = F.col("_one").isNull() | F.col("_other").isNull()
+    for v in values:
+        a, b = F.col(f"{v}_one"), F.col(f"{v}_other")
+        bad = bad | (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > absolute + relative * F.abs(b), F.lit(False))
+    return both.filter(bad).drop("_one", "_other")
+
+
+def assert_backward(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``one`` itself; Z-scores that another route, which sees the rows before each alone, doesn't give are an error."""
+    if bad := differing(one, other, keys).limit(3).collect():
+        raise AssertionError(f"Z-scores of two routes differ: {bad}")
+    return one
+
+
 def positions(z: Column, theta: float, sign: int = 1) -> Column:
     """``sign`` above ``theta``, ``-sign`` below ``-theta``, else 0; null counts as 0."""
     if sign not in (1, -1):

@@ -88,6 +88,15 @@ def scanned(df: DataFrame, keys: list[str], order: list[str], name: str, within:
     return carried(staged(rows, name), keys, sums, found)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with the one-based place of each row in its key's order, as ``name``. ``order`` tells the rows of a key
+    apart."""
+    over = Window.partitionBy("_part", *keys).orderBy(*order)
+    rows = staged(dealt(df, [*keys, *order], parts).withColumn("_within", F.row_number().over(over)), "numbered")
+    rows = carried(rows, keys, {"_n": F.count("*")}, {"_earlier": F.coalesce(F.sum("_n").over(before(keys)), F.lit(0))})
+    return rows.select(*df.columns, (F.col("_within") + F.col("_earlier")).alias(name))
+
+
 def expanding(df: DataFrame, keys: list[str], order: list[str], value: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``n_before`` and ``mean_before`` of the key's earlier values; nulls don't count. ``order`` tells the
     rows of a key apart."""

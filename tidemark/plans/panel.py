@@ -13,7 +13,8 @@ from tidemark.operators import events as E
 from tidemark.operators import panel as P
 from tidemark.operators import scans as S
 from tidemark.plans import planted
-from tidemark.sources.stages import staged
+from tidemark.sources import stages
+from tidemark.sources.stages import fresh_dir, staged
 
 HORIZONS = (1, 3, 5, 10, 20)
 RETURNS = [f"fwd_ret_{h}" for h in HORIZONS]
@@ -246,6 +247,27 @@ def zscore_by_join(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.zscores_by_join(rows, "event_type", "value", LOOKBACK).select("event_id", "mu", "sigma", "z"), "mu", "sigma", "z")
 
 
+def zscore_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How many events both routes to the Z-scores give, and in how many of them they differ (none)."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "ts", "value")
+    rows = E.placed(events, "event_type", ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    cut, over = E.blocks(rows, "event_type", LOOKBACK)
+    one, other = E.own(E.zscores(cut, "event_type", [], "value", LOOKBACK, over)), E.zscores_by_join(rows, "event_type", "value", LOOKBACK)
+    return one.agg(F.count("*").alias("n"), F.count("z").alias("n_usable")).join(E.differing(one, other, ["event_id"]).agg(F.count("*").alias("n_different")))
+
+
+def stage_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The document scores and the panel written as stage tables, CSV and Parquet, and read back with pinned types."""
+    rows, found = staged(panel(spark, sf), "panel"), staged(scores(spark, sf), "scores")
+    folder = fresh_dir(spark, "stages")
+    scored = rows.select("doc_id", "doc_date", "is_scheduled").join(found, "doc_id").withColumn("n_chars", F.lit(0))
+    stages.write(scored, "doc_scores", f"{folder}/scores", "doc_date")
+    stages.write(rows.select("doc_id", "doc_type", "doc_date", F.lit(None).alias("url"), "is_scheduled", F.lit(None).alias("raw_path"), F.lit(0).alias("n_chars"), F.lit(None).alias("selector_used"), F.col("release").alias("release_datetime"), "release_time_source", F.col("parsed_minutes").cast("string").alias("parsed_release_time"), "is_error_page", "is_flagged", F.col("entry").alias("entry_date"), *RETURNS), "panel", f"{folder}/panel", "doc_date", "doc_id")
+    both = stages.read(spark, "panel", f"{folder}/panel").join(stages.read(spark, "doc_scores", f"{folder}/scores").drop("doc_date", "is_scheduled", "n_chars"), "doc_id")
+    found = both.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_date").cast("string").alias("doc_date"), "is_scheduled", F.unix_seconds("release_datetime").alias("release_epoch"), "fwd_ret_5", "n_sentences", F.col("S_prob").alias("s_prob"))
+    return rounded(found, "fwd_ret_5", "s_prob")
+
+
 def documents_table(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as if read from files, of which some are missing and some were never wanted."""
     docs = documents(spark, sf).withColumn("raw_path", F.concat(F.lit("d"), "doc_id"))
@@ -273,7 +295,7 @@ def session_edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.edges(bars(spark, sf), "session").select(F.col("session").cast("string").alias("session"), "open", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (first_trades, score_coverage, scheduled_funnel, asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
+QUERIES = {f.__name__: f for f in (zscore_agreement, stage_round_trip, first_trades, score_coverage, scheduled_funnel, asof_instants, previous_purchase, documents_table, price_quality, session_edges, release_resolution, panel_funnel, event_panel, leak_violations, event_overlap_pairs, event_gap_summary, release_lag_stats, return_coverage, composition, documents_per_year, parse_identity, price_summary, spot_checks, document_signal, z_histogram, top_surprises, era_buckets, robustness_grid, ic_grid, ic_bootstrap_ci, hac_standard_errors, walk_forward, zscore_by_join)}
 
 BARS = """bars AS (SELECT CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS "close", count(*) AS volume
@@ -319,6 +341,10 @@ c1 AS (SELECT pair, count(*) AS n, corr(ra, rb) AS ic, corr(value, fwd) AS pears
 si AS (SELECT pair, sum(w * pow(1 + x * x / (n - 2), -(n - 1) / 2)) * t / 6000 AS area FROM (SELECT pair, n, abs(t) AS t, abs(t) * i / 2000 AS x, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM c2, range(2001) r(i)) GROUP BY pair, n, t)"""
 
 ORACLES = {
+    "stage_round_trip": f"WITH {PANEL}, {SCORED} SELECT doc_id, CAST(doc_date AS VARCHAR) AS doc_date, is_scheduled, CAST(epoch(release) AS BIGINT) AS release_epoch, round(fwd_ret_5, 6) AS fwd_ret_5, CAST(coalesce(n_sentences, 0) AS INTEGER) AS n_sentences, round(s_prob, 6) AS s_prob FROM pan LEFT JOIN ds USING (doc_id)",
+    "zscore_agreement": f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events), w AS (SELECT event_id, count(value) OVER v AS n, avg(value) OVER v AS m, stddev_samp(value) OVER v AS s FROM events WINDOW v AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {LOOKBACK} PRECEDING AND 1 PRECEDING)),
+j AS (SELECT a.event_id, count(b.value) AS n, avg(b.value) AS m, stddev_samp(b.value) AS s FROM p a LEFT JOIN p b ON a.event_type = b.event_type AND b.i BETWEEN a.i - {LOOKBACK} AND a.i - 1 GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (w.n = {LOOKBACK} AND w.s > 0) AS n_usable, count(*) FILTER (w.n <> j.n OR w.n = {LOOKBACK} AND (abs(w.m - j.m) > 1e-9 OR abs(w.s - j.s) > 1e-9)) AS n_different FROM w JOIN j USING (event_id)""",
     "first_trades": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS session, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1",
     "asof_instants": f"WITH {BARS}, {DOCS}, o AS (SELECT session, timezone('America/New_York', CAST(session AS TIMESTAMP) + to_minutes(CASE WHEN day(session) % 9 = 1 THEN 780 ELSE 570 END)) AS opens FROM bars) SELECT doc_id, CAST(session AS VARCHAR) AS entry FROM d ASOF LEFT JOIN o ON d.release < o.opens",
     "previous_purchase": "WITH b AS (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT event_id, purchase_id FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts > b.ts",
