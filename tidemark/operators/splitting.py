@@ -13,6 +13,8 @@ repeated rows all get their sentences; other columns pass through by name, but `
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,16 @@ from tidemark.functions import text as T
 #: The thresholds of the paper.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 SPACE = r"[ \t\n\r\f\x0B]+"
-OPENERS, CLOSERS = "[\"'(\\[{“‘«]", "[\"')\\]}”’»]"
-#: A place where a sentence may end: after a terminator and what closes with it, before white space.
-POINT = rf"(?<=[.!?]{CLOSERS}{{0,3}})(?=[ \t\n\r\f\x0B])"
+OPENING, CLOSING = "\"'([{“‘«", "\"')]}”’»"
+OPENERS, CLOSERS = (f"[{re.escape(x)}]" for x in (OPENING, CLOSING))
+#: A place where a sentence may end: before white space, after a terminator and what closes with it.
+POINT = rf"(?=[ \t\n\r\f\x0B])(?<=[.!?]{CLOSERS}{{0,3}})"
 NUMBER, ELLIPSIS = "##number##", "##ellipsis##"
 
 
 def core(token: Column) -> Column:
     """The token without what opens before and closes behind it."""
-    return F.regexp_replace(F.regexp_replace(token, f"^{OPENERS}+", ""), f"{CLOSERS}+$", "")
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING))
 
 
 def analysed(token: Column) -> Column:
@@ -37,9 +40,9 @@ def analysed(token: Column) -> Column:
     token of nothing but quotes has an empty word."""
     bare = core(token)
     dot = bare.endswith(".")
-    word = F.lower(F.when(dot, F.regexp_replace(bare, r"\.$", "")).otherwise(F.regexp_replace(bare, "[,;:!?]+$", "")))
-    kind = F.when(bare.endswith(".."), ELLIPSIS).when(word.rlike(r"^-?[0-9]+([.,][0-9]+)*$"), NUMBER).otherwise(word)
+    word = F.lower(F.when(dot, F.left(bare, F.length(bare) - 1)).otherwise(F.rtrim(bare, F.lit(",;:!?"))))
     first = F.substring(bare, 1, 1)
+    kind = F.when(bare.endswith(".."), ELLIPSIS).when(first.isin(*"-0123456789") & word.rlike(r"^-?[0-9]+([.,][0-9]+)*$"), NUMBER).otherwise(word)
     form = F.when(first != F.lower(first), "upper").when(first != F.upper(first), "lower").otherwise("other")
     return F.struct(kind.alias("word"), dot.alias("dot"), form.alias("form"))
 
@@ -47,12 +50,15 @@ def analysed(token: Column) -> Column:
 def pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     """``before, ended, word, dot, form, n``: how often each word occurs in each form, with and without a full stop,
     after which word with a full stop (else null), and after a terminator (``ended``) or not. Counted before shuffled."""
-    tokens = docs.select(F.split(T.stripped(F.coalesce(F.col(text), F.lit(""))), SPACE).alias("t"))
-    both = tokens.select(F.explode(F.arrays_zip(F.col("t").alias("this"), F.concat(F.array(F.lit("")), F.slice("t", F.lit(1), F.size("t") - 1)).alias("last"))).alias("z"))
-    each = both.filter(F.col("z.this") != "").select(analysed(F.col("z.this")).alias("a"), analysed(F.col("z.last")).alias("b"), F.col("z.last").alias("last"))
-    bare = core(F.col("last"))
-    each = each.select(F.when(F.col("b.dot"), F.col("b.word")).alias("before"), ((F.col("last") == "") | F.col("b.dot") | bare.endswith("!") | bare.endswith("?")).alias("ended"), "a.word", "a.dot", "a.form")
-    return each.groupBy("before", "ended", "word", "dot", "form").agg(F.count("*").alias("n"))
+    tokens = docs.select(F.split(F.coalesce(F.col(text), F.lit("")), SPACE).alias("t")).select(F.filter("t", lambda x: x != "").alias("t"))
+    both = tokens.select(F.explode(F.arrays_zip(F.col("t").alias("this"), F.concat(F.array(F.lit("")), F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))).alias("last"))).alias("z"))
+    # Few tokens end like a sentence; the others' names don't matter. What tokens are is worked out once for each pair.
+    ends = (F.col("z.last") == "") | F.right(F.col("z.last"), F.lit(1)).isin(*".!?", *CLOSING)
+    raw = both.select(F.col("z.this").alias("this"), F.when(ends, F.col("z.last")).alias("last")).groupBy("this", "last").agg(F.count("*").alias("n"))
+    raw = raw.withColumns({"a": analysed(F.col("this")), "b": analysed(F.col("last")), "_end": F.right(core(F.col("last")), F.lit(1))})
+    ended = F.coalesce((F.col("last") == "") | F.col("_end").isin(*".!?"), F.lit(False))
+    each = raw.select(F.when(F.col("b.dot"), F.col("b.word")).alias("before"), ended.alias("ended"), "a.word", "a.dot", "a.form", "n")
+    return each.groupBy("before", "ended", "word", "dot", "form").agg(F.sum("n").alias("n"))
 
 
 def likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -122,8 +128,10 @@ def split(docs: DataFrame, stops: DataFrame, least: int = T.LEAST_SENTENCE, key:
     rows = docs.withColumns({"_parts": F.split(T.stripped(F.coalesce(F.col(text), F.lit(""))), POINT), "_hash": F.xxhash64(key, text)})
     following = F.slice("_parts", F.lit(2), F.size("_parts"))
     each = rows.select(F.col(key).alias("_key"), "_hash", F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), following.alias("after"))).alias("_at", "_z"))
-    last, next_ = analysed(F.element_at(F.split("_z.part", SPACE), -1)), analysed(F.regexp_extract("_z.after", r"^[ \t\n\r\f\x0B]*([^ \t\n\r\f\x0B]+)", 1))
-    around = each.filter(F.col("_z.after").isNotNull()).select("_key", "_hash", "_at", last.alias("b"), next_.alias("a")).filter("b.dot")
+    plain = lambda x: F.ltrim(F.translate(x, "\t\n\r\f\x0b", "     "))
+    last, next_ = F.substring_index(plain(F.col("_z.part")), " ", -1), F.substring_index(plain(F.col("_z.after")), " ", 1)
+    around = each.filter(F.col("_z.after").isNotNull()).select("_key", "_hash", "_at", last.alias("b"), next_.alias("a")).filter(core(F.col("b")).endswith("."))
+    around = around.select("_key", "_hash", "_at", analysed(F.col("b")).alias("b"), analysed(F.col("a")).alias("a"))
     around = around.select("_key", "_hash", "_at", F.col("b.word").alias("before"), F.col("a.word").alias("word"), F.col("a.form").alias("form"))
     inner = around.join(stops, ["before", "word", "form"]).groupBy("_key", "_hash").agg(F.collect_set("_at").alias("_inner"))
     both = rows.join(inner.withColumnRenamed("_hash", "_of"), rows[key].eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of")), "left")
