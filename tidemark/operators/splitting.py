@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.scans import matched
 
 #: The thresholds of the paper.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -133,7 +134,8 @@ def split(docs: DataFrame, stops: DataFrame, least: int = T.LEAST_SENTENCE, key:
     around = each.filter(F.col("_z.after").isNotNull()).select("_key", "_hash", "_at", last.alias("b"), next_.alias("a")).filter(core(F.col("b")).endswith("."))
     around = around.select("_key", "_hash", "_at", analysed(F.col("b")).alias("b"), analysed(F.col("a")).alias("a"))
     around = around.select("_key", "_hash", "_at", F.col("b.word").alias("before"), F.col("a.word").alias("word"), F.col("a.form").alias("form"))
-    inner = around.join(stops, ["before", "word", "form"]).groupBy("_key", "_hash").agg(F.collect_set("_at").alias("_inner"))
+    # Joined so that nulls would match: else each key is worked out once more to see that it is none.
+    inner = matched(around, stops, ["before", "word", "form"]).groupBy("_key", "_hash").agg(F.collect_set("_at").alias("_inner"))
     both = rows.join(inner.withColumnRenamed("_hash", "_of"), rows[key].eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of")), "left")
     ends = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.coalesce("_inner", F.array().cast("array<int>")))
     both = both.withColumn("_ends", ends)
