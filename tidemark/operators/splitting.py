@@ -140,6 +140,9 @@ def split(docs: DataFrame, stops: DataFrame, least: int = T.LEAST_SENTENCE, key:
     ends = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.coalesce("_inner", F.array().cast("array<int>")))
     both = both.withColumn("_ends", ends)
     before = lambda i: F.when(i > 0, F.get("_ends", i - 1)).otherwise(-1)
-    whole = F.transform("_ends", lambda end, i: F.array_join(F.slice("_parts", before(i) + 2, end - before(i)), ""))
+    # Taking a slice reads the whole array: only sentences of several parts pay for it, and only texts that have some.
+    several = lambda end, i: F.array_join(F.slice("_parts", before(i) + 2, end - before(i)), "")
+    whole = F.transform("_ends", lambda end, i: F.when(end - before(i) == 1, F.get("_parts", end)).otherwise(several(end, i)))
+    whole = F.when(F.col("_inner").isNull(), F.col("_parts")).otherwise(whole)
     return both.withColumn("sentences", T.lines_of(whole, least)).select(*docs.columns, "sentences")
 
