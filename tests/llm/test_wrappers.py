@@ -125,3 +125,21 @@ def test_large_rules_are_joined_by_shuffle(spark, monkeypatch):
     before = texts(spark, pages)
     monkeypatch.setattr(W, "BROADCAST_BYTES", -1)
     assert texts(spark, pages) == before
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    page = W.blocks("<div><p>t</p>" * 3000)
+    assert len(page) == 3000 and sum(len(b[0]) for b in page) < 100_000
+    assert not W.apart(page) and len(W.Wrapper.of(page).rows) == 3000
+    assert not W.apart(W.blocks("<div class=ad>" * 3000 + "<p>only text</p>"))  # most of the text isn't furniture
+    assert time.perf_counter() - began < 2
+
+
+def test_unlike_pages_with_one_longest_line_and_copies(spark):
+    """Pages are told apart by all their text, so a long notice on each is template; but a copied article isn't."""
+    notice = "Copyright 2020 all rights reserved, whoever asks for them and whatever for, in all places."
+    unlike = [f"<body><p>{words(i, 6)}</p><h2>{words(i + 50, 6)}</h2><ul><li>{words(i + 90, 12)}</ul><div>{notice}</div>" for i in range(8)]
+    assert all("Copyright" not in t and words(i, 6) in t for i, t in enumerate(texts(spark, unlike)))
+    copied = [f"<body><article><h1>{i}</h1><p>{words(1, 60)}</p><ul><li>{words(2, 30)}</ul></article>" for i in range(8)]
+    assert texts(spark, copied) == [f"{i} {words(1, 60)} {words(2, 30)}" for i in range(8)]

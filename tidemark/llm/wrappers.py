@@ -1,7 +1,7 @@
 """Main text of web pages by union-free wrappers, inferred for each host from all its pages.
 
-A page is read as a stream of blocks, each with its slot (the path of its block elements, with the names
-of their classes and ids) and a text. Within a page neighbouring equal runs of slots fold into repeated
+A page is read as a stream of blocks, each with its slot (a digest of the path of its block elements, with the
+names of their classes and ids, chained from element to element, so that deep pages take linear space) and a text. Within a page neighbouring equal runs of slots fold into repeated
 groups. The streams of a host are aligned one after another: what matches stays, what doesn't becomes
 optional, so a wrapper is a row of groups, each once or repeated, always or at times there, with text
 slots and no alternatives. Tasks fold their own pages, a wrapper for each host; partial wrappers are then
@@ -37,11 +37,12 @@ from tidemark.llm.stage import staged
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
-#: A text that is the same on this many pages of a host that differ in their longest field, and on all that have the field, is template.
-CONSTANT_PAGES = 5
+#: A text that is the same on this many pages of a host that are unlike each other, and on all that have the field, is template,
+#: unless such texts make up more than this share of all the host's text, as only copies of an article do.
+CONSTANT_PAGES, COPIED_SHARE = 5, 0.75
 LINK_SHARE = 0.5
-#: Matchers, page shapes and slots that a task remembers; it works them out again beyond.
-MATCHERS, SHAPES, SLOTS = 500, 500, 20_000
+#: Matchers, page shapes and names that a task remembers; it works them out again beyond.
+MATCHERS, SHAPES, NAMED = 500, 500, 20_000
 
 #: Fixed values of HTML: what a browser lays out as blocks, reads as raw text, or never shows as prose.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul button select svg template head label object".split())
@@ -59,10 +60,43 @@ FIRM = frozenset("nav footer menu noscript button select svg template head searc
 CONTENT = re.compile(r"(?:^|[-_ .])(?:main|article|content|post|entry|story|body-?text)(?=$|[-_ .])", re.I)
 
 
+class Slot(str):
+    """The digest of an element's path, with a ``+`` if it lies in an element marked as content; on the page it was
+    read from it also knows its ``element``."""
+
+    element: Element
+
+
+class Element:
+    """A block element of a page by its path: equal paths are one element. ``article`` and ``marked`` are the outermost
+    elements around it, or it itself, that are marked as content; ``furniture`` is what its own tag or names say."""
+
+    __slots__ = ("above", "tag", "depth", "key", "article", "marked", "within", "furniture", "slot")
+
+    def __init__(self, above: Element | None, tag: str, part: str, key: str):
+        self.above, self.tag, self.key = above, tag, key
+        self.depth = above.depth + 1 if above else 0
+        self.article = above and above.article or (self if tag == "article" else None)
+        name = named(part)
+        self.marked = above and above.marked or (self if (tag == "main" or CONTENT.search(part.partition(".")[2])) and not name else None)
+        self.furniture = tag in APART or tag == "header" and not (above and above.within) or name
+        self.within = bool(above and above.within) or tag in ("article", "main")
+        self.slot = Slot(key + "+" * bool(self.core))
+        self.slot.element = self
+
+    @property
+    def core(self) -> Element | None:
+        """The element that is marked as the page's content, if this is in one."""
+        return self.article or self.marked
+
+
 def blocks(text: str | None) -> list[tuple[str, str, int]]:
     """A page's blocks in order: slot, text, and how many of its characters are links."""
     text, out = text or "", []
-    stack: list[tuple[str, str]] = []
+    root = Element(None, "", "", "")
+    elements = {"": root}
+    stack: list[Element] = [root]
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -71,10 +105,14 @@ def blocks(text: str | None) -> list[tuple[str, str, int]]:
         if pieces:
             line = " ".join(entities.unescape("".join(pieces)).split())
             if line:
-                out.append((">".join(s for _, s in stack), line, min(len(line), len(" ".join(entities.unescape("".join(linked)).split())))))
+                out.append((stack[-1].slot, line, min(len(line), len(" ".join(entities.unescape("".join(linked)).split())))))
             pieces.clear()
             linked.clear()
 
+    def shut(size: int) -> None:
+        while len(stack) > size:
+            opened[stack.pop().tag] -= 1
+
     def add(piece: str) -> None:
         pieces.append(piece)
         if in_link:
@@ -96,25 +134,33 @@ def blocks(text: str | None) -> list[tuple[str, str, int]]:
         elif tag in BLOCKS:
             close()
             in_link = False
-            names = [n for n, _ in stack]
             if m[2]:
-                if tag in names:
-                    del stack[len(names) - 1 - names[::-1].index(tag) :]
+                if opened.get(tag):
+                    i = len(stack) - 1
+                    while stack[i].tag != tag:
+                        i -= 1
+                    shut(i)
                 continue
             # A block ends an open paragraph; items and cells end their like within the same list or table.
-            if names and names[-1] == "p":
-                stack.pop()
+            if stack[-1].tag == "p":
+                shut(len(stack) - 1)
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 like = ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else (tag,)
-                for i in range(len(names) - 1, -1, -1):
-                    if names[i] in like:
-                        del stack[i:]
-                        break
-                    if names[i] in ("ul", "ol", "menu", "dl", "table"):
-                        break
+                if any(opened.get(t) for t in like):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in like:
+                            shut(i)
+                            break
+                        if stack[i].tag in ("ul", "ol", "menu", "dl", "table"):
+                            break
             if tag not in VOID:
                 marks = [re.sub(r"\d+", "0", v) for _, *vs in NAMES.findall(m[4]) for v in vs if v]
-                stack.append((tag, ".".join([tag, *(re.sub(r"[\s>]+", " ", v.strip()) for v in marks)])))
+                part = ".".join([tag, *(re.sub(r"[\s>]+", " ", v.strip()) for v in marks)])
+                key = blake2b(f"{stack[-1].key}>{part}".encode("utf-8", "replace"), digest_size=12).hexdigest()
+                if key not in elements:
+                    elements[key] = Element(stack[-1], tag, part, key)
+                stack.append(elements[key])
+                opened[tag] = opened.get(tag, 0) + 1
     if at < len(text):
         add(text[at:].partition("<!--")[0])
     close()
@@ -174,11 +220,16 @@ class Wrapper:
             fact[3].append(text)
         for fact in (f for row in rows for f in row[3]):
             fact[3] = blake2b("\n".join(fact[3]).encode("utf-8", "replace"), digest_size=16).hexdigest()
-        # Copies of a text count as one page, whatever is around them: a page is known by its longest field.
+        # Copies of a text count as one page, whatever is around them: a page is known by its longest field where that
+        # is most of its text, else by all its text; furniture by name doesn't count.
         aside = apart(page)
-        longest = max(((fact[1] - fact[2], fact[3]) for g, _, _, facts in rows for slot, fact in zip(g, facts, strict=True) if slot not in aside), default=(0, ""))[1]
+        longest, mark = max(((fact[1] - fact[2], fact[3]) for g, _, _, facts in rows for slot, fact in zip(g, facts, strict=True) if slot not in aside), default=(0, ""))
+        own = [b for b in page if b[0] not in aside]
+        if 2 * longest <= sum(len(text) - links for _, text, links in own):
+            mark = blake2b("\n".join(b[1] for b in own).encode("utf-8", "replace"), digest_size=16).hexdigest()
+        known = mark[:16]
         for fact in (f for row in rows for f in row[3]):
-            fact[0] = [longest[:16]]
+            fact[0] = [known]
         return cls(rows)
 
     def align(self, other: Wrapper) -> None:
@@ -209,7 +260,15 @@ class Wrapper:
 
     def chosen(self) -> list[list]:
         """The expression with, for each field, whether it is content: ``[slots, fields]``."""
-        return [[g, [content(slot, fact, r, o) for slot, fact in zip(g, facts, strict=True)]] for g, r, o, facts in self.rows or []]
+        facts = [fact for *_, facts in self.rows or [] for fact in facts]
+        plain, still = (sum(f[1] - f[2] for f in some) for some in (facts, filter(fixed, facts)))
+        copied = still > COPIED_SHARE * plain
+        return [[g, [content(slot, fact, r, o, copied) for slot, fact in zip(g, its, strict=True)]] for g, r, o, its in self.rows or []]
+
+
+def fixed(fact: list) -> bool:
+    """Whether a field has the same text on all pages that have it, and on unlike pages enough."""
+    return fact[3] is not None and len(fact[0]) >= CONSTANT_PAGES
 
 
 def add(mine: list[list], theirs: list[list]) -> None:
@@ -228,14 +287,14 @@ def places(found: list[tuple[tuple[str, ...], bool]], slots: list[str]) -> list[
     return out
 
 
-def content(slot: str, fact: list, repeated: bool, optional: bool) -> bool:
-    """Fields that vary across pages are content and fixed ones template. Where the pages don't tell (too few,
-    or a fixed field that only some of them have, in an element marked as content), the slot's names do."""
-    marks, chars, links, text = fact
-    inside = core(slot)
-    if text is not None and len(marks) >= CONSTANT_PAGES and not (inside and optional):
+def content(slot: str, fact: list, repeated: bool, optional: bool, copied: bool) -> bool:
+    """Fields that vary across pages are content and fixed ones template. Where the pages don't tell (too few or
+    copies, or a fixed field that only some of them have, in an element marked as content), the slot's names do."""
+    _, chars, links, _ = fact
+    inside = slot.endswith("+")
+    if fixed(fact) and not copied and not (inside and optional):
         return False
-    return bool(inside) or links <= (LINK_SHARE if repeated else 0.8) * chars
+    return inside or links <= (LINK_SHARE if repeated else 0.8) * chars
 
 
 class Matcher:
@@ -271,17 +330,7 @@ class Matcher:
         return [text for (slot, text, _), keep in zip(page, self.content([b[0] for b in page]), strict=True) if keep and slot not in aside]
 
 
-@lru_cache(SLOTS)
-def core(slot: str) -> str | None:
-    """The path of the element that is marked as the page's content, if the slot is in one."""
-    parts = slot.split(">")
-    for kinds in (lambda p: p.partition(".")[0] == "article", lambda p: (p.partition(".")[0] == "main" or CONTENT.search(p.partition(".")[2])) and not named(p)):
-        for i, part in enumerate(parts):
-            if kinds(part):
-                return ">".join(parts[: i + 1])
-    return None
-
-
+@lru_cache(NAMED)
 def named(part: str) -> bool:
     """Whether an element's class, id or role names furniture, as a whole."""
     tag, _, names = part.partition(".")
@@ -295,37 +344,32 @@ def named(part: str) -> bool:
     return False
 
 
-@lru_cache(SLOTS)
-def furniture(slot: str) -> tuple[str, ...]:
-    """The paths of the elements around a slot that are furniture by their tags or names."""
-    inside, out, parts = False, [], slot.split(">")
-    for i, part in enumerate(parts):
-        tag = part.partition(".")[0]
-        if tag in APART or tag == "header" and not inside or named(part):
-            out.append(">".join(parts[: i + 1]))
-        inside = inside or tag in ("article", "main")
-    return tuple(out)
-
-
-def under(slot: str, path: str) -> bool:
-    return slot == path or slot.startswith(path + ">")
-
-
 def apart(page: list[tuple[str, str, int]]) -> set[str]:
     """The slots of a page that are furniture. An element that holds all of what is marked as content, or
     most of the page's text and a mark where there are any, isn't furniture whatever its name."""
-    plain: dict[str, int] = {}
+    held: dict[Element, list[int]] = {}  # plain characters of an element, and marked elements strictly within it
     for slot, text, links in page:
-        plain[slot] = plain.get(slot, 0) + len(text) - links
-    paths = {p for s in plain for p in furniture(s)}
-    homes = {h for h in map(core, plain) if h}
-    for path in list(paths):
-        if path.rpartition(">")[2].partition(".")[0] not in FIRM:
-            held = {h for h in homes if under(h, path) and h != path}
-            most = 2 * sum(n for s, n in plain.items() if under(s, path)) > sum(plain.values())
-            if homes and held == homes or most and (held or not homes):
-                paths.discard(path)
-    return {s for s in plain if not paths.isdisjoint(furniture(s))}
+        own = element = getattr(slot, "element", None)
+        while element and element not in held:
+            held[element] = [0, 0]
+            element = element.above
+        if own:
+            held[own][0] += len(text) - links
+    homes = {slot.element.core for slot, _, _ in page if hasattr(slot, "element")} - {None}
+    inward = sorted(held, key=lambda e: e.depth)
+    for element in reversed(inward):
+        if element.above:
+            above = held[element.above]
+            above[0] += held[element][0]
+            above[1] += held[element][1] + (element in homes)
+    total = held[inward[0]][0] if inward else 0
+    gone: dict[Element, bool] = {}
+    for element in inward:
+        chars, marks = held[element]
+        most = 2 * chars > total and (marks or not homes)
+        stays = element.tag not in FIRM and (homes and marks == len(homes) or most)
+        gone[element] = bool(element.above and gone[element.above] or element.furniture and not stays)
+    return {element.slot for element, out in gone.items() if out}
 
 
 def partial_wrappers(pages: DataFrame) -> DataFrame:
