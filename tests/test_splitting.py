@@ -124,3 +124,24 @@ def test_repeated_and_null_ids(spark):
 def test_long_texts_take_time_in_proportion(spark, n):
     docs = spark.createDataFrame([(1, "Dr. Who said 5. And left. " * n)], "doc_id bigint, text string")
     assert len(S.split(docs, S.inner_stops(S.pairs(docs))).first().sentences) >= 1
+
+
+@pytest.mark.parametrize("sent", [0, S.SENT])
+def test_few_and_many_stops(spark, sent):
+    """Both ways give the same sentences; with few stops no text is shuffled."""
+    odd = [" The U.S.\x1cFederal board met. \x1f", "He said (no.”) Then left it.)))) And so on.  ", "Jan. 5\x0bp.m. was late.\nThe bank, e.g. this, rose.\n\nShort. İ. Σ. Ünd so weiter und so fort. "]
+    all_ = [*texts(), *odd]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(all_)], "doc_id bigint, text string, word string").repartition(3)
+    stops = S.inner_stops(S.pairs(docs).persist())
+    found = S.split(docs, stops, sent=sent)
+    want = {r.doc_id: r.sentences for r in S.split_by_join(docs, stops, T.LEAST_SENTENCE, "doc_id", "text").collect()}
+    assert {r.doc_id: r.sentences for r in found.collect()} == want and found.columns == ["doc_id", "text", "word", "sentences"]
+    assert ("Exchange hashpartitioning" in found._jdf.queryExecution().toString()) == (sent == 0)
+
+
+def test_counts_in_parts_equal_counts_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id bigint, text string").coalesce(1)
+    whole = sorted(map(str, S.pairs(docs).collect()))
+    monkeypatch.setattr(S, "HELD", 3)
+    assert sum(r.n for r in S.tallied(docs, "text").collect()) == sum(len((t or "").split()) for t in texts())
+    assert sorted(map(str, S.pairs(docs).collect())) == whole
