@@ -1,12 +1,16 @@
 """BagMinHash classes against brute force, and the estimate against the exact similarity."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bagminhash as B
+from tidemark.llm import tokens
+from tidemark.llm.stage import small_batches
 
 
 def jaccard(a, b):
@@ -60,3 +64,27 @@ def test_signatures_estimate_weighted_jaccard():
 
 def test_empty_table(spark):
     assert B.classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_bounded_memory(spark):
+    """A task takes texts by small batches and slices, so that its temporary arrays stay small; the session's own
+    batches stay as they were."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9999)}" for _ in range(2_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 900 : i % 900 + 300])) for i in range(3_000)], "doc_id bigint, text string").coalesce(1)
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"n": [max(b.num_rows for b in batches)]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark):
+        assert docs.mapInArrow(largest, "n bigint").first().n <= 1000
+    assert spark.conf.get(name) == before
+    batch = docs.select("text").toArrow().combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    for part in tokens.slices(batch, "text", B.SLICE_BYTES):
+        B.signatures(*B.shingles(*tokens.raw(part.column("text"))), part.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, batch.column("text").to_pylist())) > 4e6 and peak < 48e6, peak

@@ -33,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.stage import staged
+from tidemark.llm.stage import small_batches, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Texts of different classes that an element is found in, up to which it is rare.
 RARE = 16
+#: Bytes of texts, and pairs of packed multisets, that a task works on at a time.
+SLICE_BYTES, SLICE_PAIRS = 1 << 19, 64
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,7 +99,7 @@ def banded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", SLICE_BYTES):
                 found = signatures(*shingles(*tokens.raw(part.column("text"))), part.num_rows)
                 bits = tokens.mix(found.view(np.uint64)).reshape(-1, BANDS, ROWS)
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bits.shape[:2])
@@ -115,7 +117,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", SLICE_BYTES):
                 row, element = shingles(*tokens.raw(part.column("text")))
                 element = element[np.lexsort((element, row))]
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
@@ -142,7 +144,10 @@ def tag(bag: bytes) -> np.ndarray:
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [overlap(a, b) >= similarity for a, b in zip(batch.column("left_bag").to_pylist(), batch.column("right_bag").to_pylist(), strict=True)]
+            keep = []
+            for at in range(0, batch.num_rows, SLICE_PAIRS):
+                bags = (batch.column(c).slice(at, SLICE_PAIRS).to_pylist() for c in ("left_bag", "right_bag"))
+                keep += [overlap(a, b) >= similarity for a, b in zip(*bags, strict=True)]
             yield batch.select(["left", "right"]).filter(pa.array(keep, pa.bool_()))
 
     left = bags.select(F.col("node").alias("left"), F.col("bag").alias("left_bag"))
@@ -223,6 +228,11 @@ def between_classes(shared: DataFrame, labels: DataFrame, texts: DataFrame, bags
 
 def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row ``doc_id, node, label``: rows of one near-duplicate class have one label."""
+    with small_batches(docs.sparkSession):
+        return labelled(docs, similarity)
+
+
+def labelled(docs: DataFrame, similarity: float) -> DataFrame:
     rows = staged(banded(docs), "near-rows")
     texts = staged(rows.groupBy("node").agg(F.first("bands").alias("bands")), "near-texts")
     shared = buckets(texts)

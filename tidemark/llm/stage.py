@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, tasks hand at most so many rows at a time to Python, for rows that are whole texts: at the
+    default of 10,000 a task holds its whole split once more on either side. Only what runs meanwhile is affected."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def text_hash(column: str | Column = "text") -> Column:
     """With ``doc_id``, tells rows apart even where ids repeat; rows equal in both are the same document twice."""
     return F.xxhash64(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
@@ -32,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``most`` bytes; one longer text stands alone."""
-    sizes = np.nan_to_num(batch.column(column).cast(pa.large_string()).fill_null("").cast(pa.large_binary()).to_pandas().map(len).to_numpy())
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and held + size > most:
